@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import fingerprint
+from ledgerloom.llm import fingerprint, packing
 from ledgerloom.llm.common import table
 
 
@@ -12,7 +12,12 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_packing": op3_packing,
     "op10_fingerprint": op10_fingerprint,
 }
 
