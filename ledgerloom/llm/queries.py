@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import fingerprint, mixing, neardup, packing
+from ledgerloom.llm import fingerprint, mixing, neardup, packing, quality
 from ledgerloom.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_neardup": op2_neardup,
     "op3_packing": op3_packing,
+    "op5_quality": op5_quality,
     "op10_fingerprint": op10_fingerprint,
 }
 
