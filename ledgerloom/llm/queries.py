@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import fingerprint, mixing, neardup, packing, quality
+from ledgerloom.llm import fingerprint, mixing, neardup, packing, pii, quality
 from ledgerloom.llm.common import table
 
 
@@ -23,6 +24,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -36,7 +41,9 @@ QUERIES = {
     "op2_neardup": op2_neardup,
     "op3_packing": op3_packing,
     "op5_quality": op5_quality,
+    "op9_pii": op9_pii,
     "op10_fingerprint": op10_fingerprint,
+    "pipeline": corpus_pipeline.run,
 }
 
 #: DuckDB SQL for those whose whole result SQL can express.
