@@ -8,11 +8,10 @@
    probability 1 - 1e-6. In a bucket of up to ``PAIRS_UP_TO`` classes all pairs are candidates; in a larger one each
    class is held against the bucket's smallest, which links most groups without listing their pairs.
 3. Candidates whose collision-corrected estimate lies within four standard deviations of the threshold, or above
-   it, are confirmed on full shingle sets, read again from whole texts. The best candidate of each class comes
-   first; after components are known, only candidates between different components are still confirmed.
+   it, are confirmed on full shingle sets, read again from whole texts.
 4. Large buckets that still hold several components get an exact way: they are cut into blocks, and every pair of
-   blocks is compared register by register inside a task, which emits only pairs of different components that
-   pass the estimate. Nothing is capped.
+   blocks is compared inside a task, by registers and then by full sets. Only links that join components are
+   returned. Nothing is capped.
 
 Defined cases: documents without words or text have empty sets and link with nothing; with fewer than five words
 the whole sequence is the only shingle; repeated rows with one ``doc_id`` are one class and each keeps its row;
@@ -41,6 +40,8 @@ BAND_ROWS = 5
 PAIRS_UP_TO = 8
 #: Rows of a block of a large bucket.
 BLOCK = 1024
+#: Low bits of a key, which hold its band.
+BAND_MASK = 63
 #: Approximate expected collisions of registers that hold different minima, from the published analysis.
 _COLLIDES = 0.169919487159739093975315012348
 #: Classes without any id get numbers from here on; a doc_id is below.
@@ -65,14 +66,13 @@ def registers(sets: np.ndarray, at: np.ndarray, count: int = REGISTERS) -> tuple
     packed = ((zeros << np.uint64(MANTISSA)) | mantissa).astype(np.uint16).reshape(n, count)
     full = full.reshape(n, count)
     filled = full.sum(1)
-    todo, step = ~full & (filled > 0)[:, None], 0
-    while todo.any():
-        doc, slot = np.nonzero(todo)
+    doc, slot = np.nonzero(~full & (filled > 0)[:, None])
+    step = 0
+    while len(doc):
         donor = (seeded(slot.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(step), 11) % np.uint64(count)).astype(np.int64)
         hit = full[doc, donor]
         packed[doc[hit], slot[hit]] = packed[doc[hit], donor[hit]]
-        todo[doc[hit], slot[hit]] = False
-        step += 1
+        doc, slot, step = doc[~hit], slot[~hit], step + 1
     return packed, filled
 
 
@@ -125,6 +125,7 @@ def bands(classes: DataFrame) -> DataFrame:
             key = np.broadcast_to(seeded(np.arange(count, dtype=np.uint64), 13), rows.shape[:2])
             for i in range(BAND_ROWS):
                 key = seeded(key ^ rows[:, :, i], 17 + i)
+            key = (key & ~np.uint64(BAND_MASK)) | np.arange(count, dtype=np.uint64)  # the band can be told from its key
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch["rep"].to_numpy(), count))], ["key", "rep"])
 
     return classes.select("rep", "registers").mapInArrow(run, "key long, rep long")
@@ -152,9 +153,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Data
     few = salted.groupBy("a").agg(F.count(F.lit(1)).alias("many"))
     salted = salted.join(few, "a").withColumn("salt", F.when(F.col("many") > 256, F.col("salt")).otherwise(0))
     wanted = salted.select(F.col("b").alias("id"), "a", "salt", F.lit(1).alias("turn")).unionAll(salted.select(F.col("a").alias("id"), "a", "salt", F.lit(0).alias("turn")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id is not null")
-    needed = wanted.select("id").distinct()
-    texts = texts.join(needed, "id", "left_semi").dropDuplicates(["id"])
+    texts = texts_of(docs, wanted.select("id").distinct())
     ready = wanted.join(texts, "id").repartition("a", "salt").sortWithinPartitions("a", "salt", "turn", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,30 +177,66 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Data
     return ready.select("text", "turn", "a", "id").mapInArrow(run, "a long, b long")
 
 
-def leftovers(rows: DataFrame, labels: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Candidates (a, b, near) between different components inside large buckets (key, rep): by blocks, with nothing left out."""
+def leftovers(rows: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between different components inside large buckets (key, rep): block by block, with nothing left out.
+
+    A pair that shares several buckets is met in the first of them alone. Pairs that pass the estimate are confirmed
+    on full sets inside the task, and only links that join parts of a block are returned, so fewer than its rows.
+    """
     at = rows.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     open_keys = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     cells = at.join(open_keys, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "rep", "label")
-    cells = cells.join(classes.select("rep", "registers", "n"), "rep").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "rep")
+    cells = cells.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "rep", "label")
+    side = texts_of(docs, cells.select(F.col("rep").alias("id")).distinct()).withColumnRenamed("id", "rep")
+    side = side.join(classes.select("rep", "registers", "n"), "rep")
+    cells = cells.join(side, "rep").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_group(batches, ["key", "p", "q"]):
-            regs = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            n, rep, label = (table[c].to_numpy() for c in ("n", "rep", "label"))
-            left, right, near = [], [], []
-            for i in range(len(rep) - 1):
-                j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-                if len(j):
-                    j = j[may_link(regs[i], regs[j], n[i], n[j], percent)]
-                    left += [rep[i]] * len(j)
-                    right += rep[j].tolist()
-                    near += similarity(regs[i], regs[j], n[i], n[j]).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(near, pa.float64())], ["a", "b", "near"])
-
-    return cells.mapInArrow(run, "a long, b long, near double")
+            left, right = block_links(table, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long")
+
+
+def block_links(table: pa.Table, percent: int) -> tuple[list[int], list[int]]:
+    """Links between different labels of a pair of blocks that join parts not joined before."""
+    regs = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    n, rep, label, mine = (table[c].to_numpy() for c in ("n", "rep", "label", "mine"))
+    band, count = int(table["key"][0].as_py()) & BAND_MASK, REGISTERS // BAND_ROWS
+    sets, at = shingles(table["text"].combine_chunks(), WIDTH)
+    _, part = np.unique(label, return_inverse=True)
+    across = table["p"][0] != table["q"][0]
+    left, right = [], []
+    for i in range(len(rep) - 1):
+        ok = part[i + 1 :] != part[i]
+        if across:
+            ok &= mine[i + 1 :] != mine[i]
+        j = i + 1 + np.flatnonzero(ok)
+        if len(j):
+            j = j[may_link(regs[i], regs[j], n[i], n[j], percent)]
+        if len(j) and band:
+            shared = (regs[j, : band * BAND_ROWS] == regs[i, : band * BAND_ROWS]).reshape(len(j), band, BAND_ROWS).all(2).any(1)
+            j = j[~shared]
+        if not len(j):
+            continue
+        own, sizes = sets[at[i] : at[i + 1]], at[j + 1] - at[j]
+        flat = np.concatenate([sets[at[x] : at[x + 1]] for x in j.tolist()])
+        hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+        for x in j[100 * both >= percent * (len(own) + sizes - both)].tolist():
+            if part[x] != part[i]:
+                part[part == part[x]] = part[i]
+                left.append(int(rep[i]))
+                right.append(int(rep[x]))
+    return left, right
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents whose id is in ids, one row an id."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id is not null")
+    return texts.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -230,13 +265,6 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends have different labels."""
-    side = lambda x: labels.select(F.col("v").alias(x), F.col("label").alias(f"l_{x}"))
-    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return both.filter(F.coalesce("l_a", "a") != F.coalesce("l_b", "b")).select(pairs.columns)
-
-
 def linked_classes(classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(v, label): components of the classes that have links."""
     keyed = written(bands(classes), "bands")
@@ -247,18 +275,10 @@ def linked_classes(classes: DataFrame, docs: DataFrame, percent: int = PERCENT)
     sets = small.groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("reps"))  # at most PAIRS_UP_TO
     sets = sets.select("reps", F.posexplode("reps").alias("i", "a")).select("a", F.explode(F.slice("reps", F.col("i") + 2, F.lit(PAIRS_UP_TO))).alias("b"))
     candidates = cut(estimated(stars.unionAll(sets).distinct(), classes, percent))
-    best = candidates.groupBy("b").agg(F.max(F.struct("near", -F.col("a"))).alias("top")).select((-F.col("top").getField("col2")).alias("a"), "b")
-    links = cut(confirmed(best, docs, percent))
+    links = cut(confirmed(candidates, docs, percent))
     labels = components(links)
-    rest = cut(between(candidates.join(best, ["a", "b"], "left_anti"), labels))
-    if not rest.isEmpty():
-        links = cut(links.unionAll(confirmed(rest, docs, percent)))
-        labels = components(links)
-    more = cut(leftovers(shared.filter(F.col("m") > PAIRS_UP_TO).select("key", "rep"), labels, classes, percent).select("a", "b").distinct().join(candidates.select("a", "b"), ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = cut(links.unionAll(confirmed(more, docs, percent)))
-        labels = components(links)
-    return labels
+    more = cut(leftovers(shared.filter(F.col("m") > PAIRS_UP_TO).select("key", "rep"), labels, classes, docs, percent))
+    return labels if more.isEmpty() else components(links.unionAll(more))
 
 
 def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
