@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import fingerprint, mixing, neardup, packing, pii, quality
+from ledgerloom.llm import embeddings, fingerprint, html, mixing, neardup, packing, pii, quality
 from ledgerloom.llm.common import table
 
 
@@ -24,6 +24,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.grouped(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(table(spark, sf_dir, "documents"))
 
@@ -41,6 +50,8 @@ QUERIES = {
     "op2_neardup": op2_neardup,
     "op3_packing": op3_packing,
     "op5_quality": op5_quality,
+    "op7_embeddings": op7_embeddings,
+    "op8_html": op8_html,
     "op9_pii": op9_pii,
     "op10_fingerprint": op10_fingerprint,
     "pipeline": corpus_pipeline.run,
