@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import embeddings, fingerprint, html, mixing, neardup, packing, pii, quality
+from ledgerloom.llm import embeddings, fingerprint, html, language, mixing, neardup, packing, pii, quality, warc
 from ledgerloom.llm.common import table
 
 
@@ -20,10 +20,18 @@ def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.index(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
+
+
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embeddings.grouped(table(spark, sf_dir, "embeddings"))
     return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
@@ -49,7 +57,9 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_neardup": op2_neardup,
     "op3_packing": op3_packing,
+    "op4_language": op4_language,
     "op5_quality": op5_quality,
+    "op6_warc": op6_warc,
     "op7_embeddings": op7_embeddings,
     "op8_html": op8_html,
     "op9_pii": op9_pii,
