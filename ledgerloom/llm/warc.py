@@ -45,7 +45,9 @@ def decided(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]", "%0A").alias("url"), html.alias("html"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha2(F.col("html").cast("binary"), 256)})
     groups = rows.filter(F.col("payload_bytes") >= LEAST_BYTES).groupBy(F.col("payload_digest").alias("of")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    out = rows.join(groups.filter("n > 1 and first is not null"), F.col("payload_digest") == F.col("of"), "left")
+    # Written first, so that its size is known: payloads are only shuffled where repeated ones are too many to broadcast.
+    groups = written(groups.filter("n > 1 and first is not null").select("of", "first"), "repeated")
+    out = rows.join(groups, F.col("payload_digest") == F.col("of"), "left")
     revisit = F.col("first").isNotNull() & ~same("page_id", "first")
     return out.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 
