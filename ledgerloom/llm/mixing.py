@@ -88,12 +88,10 @@ def _carry(pdf: pd.DataFrame) -> pd.DataFrame:
     """Copies of a block's documents: long ones first, each takes the copies that bring the running error nearest to 0."""
     pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], na_position="last")
     error, copies = 0.0, []
-    for size, n, rate in zip(pdf["size"].tolist(), pdf["n"].tolist(), pdf["rate"].tolist(), strict=True):
-        low = int(rate)
-        want = error + size * n * (rate - low)
-        up = rate > low and abs(want - size * n) < abs(want)
-        copies.append(low + up)
-        error = want - size * n * up
+    for size, n, rate, most in zip(pdf["size"].tolist(), pdf["n"].tolist(), pdf["rate"].tolist(), pdf["most"].tolist(), strict=True):
+        want = error + size * n * rate
+        copies.append(min(most, max(0, round(want / (size * n)))) if size else 0)
+        error = want - size * n * copies[-1]
     return pdf.assign(copies=copies)[["doc_id", "source", "size", "copies"]]
 
 
@@ -107,7 +105,7 @@ def rates(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = B
     keys = base.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")).join(goals, same("source", "of"))
     keys = keys.withColumns({"rate": rate, "block": F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("docs") / block_rows).cast("long"))})
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fields = keys.select("doc_id", "source", "size", "n", "rate", "block")
+    fields = keys.select("doc_id", "source", "size", "n", "rate", F.lit(most).alias("most"), "block")
     copies = fields.groupBy("source", "block").applyInPandas(_carry, f"doc_id {kind}, source string, size long, copies int")
     copies = copies.toDF("c_id", "c_source", "c_size", "copies")
     out = base.join(copies, same("doc_id", "c_id") & same("source", "c_source") & (F.col("size") == F.col("c_size"))).join(goals, same("source", "of"))
