@@ -1,26 +1,185 @@
-"""Queries over the driver's tables, one for each operator of the ledger engine."""
+"""Queries over the driver's tables, one for each operator of the ledger engine, each with its SQL.
+
+``events`` stands for the command stream (event_id the sequence, user_id the account), ``orders`` and ``lineitem`` for
+blocks and their commands, ``customer`` and ``supplier`` for accounts.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.plans import chain, ledger
+from ledgerloom.plans.predicates import listing, predicate
+
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_scan_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bounds on the sequence, an equality and a sorted limit: the shape of every listing query."""
-    e = _t(spark, sf_dir, "events")
-    found = e.filter((F.col("event_id") >= 100) & (F.col("event_id") < 100_000) & (F.col("event_type") == "purchase"))
-    return found.orderBy(F.col("ts").desc(), F.col("event_id")).limit(100).select("event_id", "ts", "user_id", "event_type", "value")
+def _cents(c: str | Column) -> Column:
+    return F.round((F.col(c) if isinstance(c, str) else c) * 100).cast("long")
+
+
+QUERIES = {}
+ORACLE_SQL = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query("SELECT event_id, ts, user_id, event_type, value FROM events WHERE event_id >= 100 AND event_id < 100000 AND event_type = 'purchase' ORDER BY ts DESC, event_id LIMIT 100")
+def bounded_scan_top_k(spark, sf_dir):
+    found = listing(_t(spark, sf_dir, "events"), {"event_id_gte": 100, "event_id_lt": 100_000, "event_type": "purchase"}, [F.col("ts").desc(), F.col("event_id")])
+    return found.select("event_id", "ts", "user_id", "event_type", "value")
+
+
+@query("SELECT event_id, user_id, event_type FROM events WHERE (event_type = 'error' OR (value >= 50 AND user_id < 10)) AND event_id <> 7")
+def nested_predicate(spark, sf_dir):
+    found = _t(spark, sf_dir, "events").filter(predicate({"or": [{"event_type": "error"}, {"value_gte": 50, "user_id_lt": 10}], "event_id_ne": 7}))
+    return found.select("event_id", "user_id", "event_type")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE lower(c_name) LIKE 'customer#00000001%'")
+def username_prefix(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").filter(predicate({"c_name_prefix": "CUSTOMER#00000001"})).select("c_custkey", "c_name")
+
+
+@query("SELECT o_custkey AS pk, o_orderkey AS block, 'from' AS side FROM orders UNION ALL SELECT l_suppkey, l_orderkey, 'to' FROM lineitem")
+def from_to_union(spark, sf_dir):
+    sent = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("pk"), F.col("o_orderkey").alias("block"), F.lit("from").alias("side"))
+    return sent.unionAll(_t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("pk"), F.col("l_orderkey").alias("block"), F.lit("to").alias("side")))
+
+
+@query("SELECT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS epoch, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS total, max(value) AS most, min(value) AS least FROM events GROUP BY ALL")
+def epoch_counters(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("epoch", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400).cast("long"))
+    return e.groupBy("user_id", "epoch").agg(F.count(F.lit(1)).alias("n"), F.sum(_cents("value")).alias("total"), F.max("value").alias("most"), F.min("value").alias("least"))
+
+
+@query("SELECT user_id, CAST(ts AS DATE) AS day, count(DISTINCT hour(ts)) AS slots FROM events GROUP BY ALL")
+def epoch_distinct_slots(spark, sf_dir):
+    return _t(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.countDistinct(F.hour("ts")).alias("slots"))
+
+
+@query("SELECT count(DISTINCT user_id) AS producers FROM events WHERE event_id > (SELECT max(event_id) FROM events) - 500")
+def unique_producers(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id")
+    top = F.broadcast(e.agg(F.max("event_id").alias("top")))  # one row
+    return e.join(top, F.col("event_id") > F.col("top") - 500).agg(F.countDistinct("user_id").alias("producers"))
+
+
+@query("SELECT l_suppkey, sum(CAST(round(l_extendedprice * l_discount * 100) AS BIGINT))::BIGINT AS fees, count(*) AS works FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def top_fees(spark, sf_dir):
+    own = _t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum(_cents(F.col("l_extendedprice") * F.col("l_discount"))).alias("fees"), F.count(F.lit(1)).alias("works"))
+    return own.orderBy(F.col("fees").desc(), "l_suppkey").limit(10)
+
+
+@query("SELECT c_nationkey AS delegate, sum(CAST(round(c_acctbal * 100) AS BIGINT))::BIGINT AS total_delegated, count(*) AS delegators, round_even(sum(CAST(round(c_acctbal * 100) AS BIGINT)) / (SELECT sum(CAST(round(c_acctbal * 100) AS BIGINT)) FROM customer) * 100, 2) AS share FROM customer GROUP BY 1")
+def delegation_shares(spark, sf_dir):
+    return ledger.delegations(_t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("delegate"), _cents("c_acctbal").alias("balance")))
+
+
+@query("SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
+def decorated_lookup(spark, sf_dir):
+    o, c, n = (_t(spark, sf_dir, x) for x in ("orders", "customer", "nation"))
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("o_orderkey", "c_name", "n_name")
+
+
+@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)")
+def anti_new_rows(spark, sf_dir):
+    heavy = _t(spark, sf_dir, "lineitem").filter("l_quantity > 49")
+    return _t(spark, sf_dir, "part").join(heavy, F.col("l_partkey") == F.col("p_partkey"), "left_anti").select("p_partkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+def semi_created(spark, sf_dir):
+    done = _t(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
+    return _t(spark, sf_dir, "customer").join(done, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")
+
+
+@query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_per_account(spark, sf_dir):
+    return ledger.latest(_t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["event_id", "event_type", "value"])
+
+
+@query("SELECT event_id, user_id, sum(CAST(round(value * 100) AS BIGINT)) OVER w::BIGINT AS total, max(value) OVER w AS most, min(value) OVER w AS least, row_number() OVER w AS nth FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def running_fees(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return _t(spark, sf_dir, "events").select("event_id", "user_id", F.sum(_cents("value")).over(w).alias("total"), F.max("value").over(w).alias("most"), F.min("value").over(w).alias("least"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("nth"))
+
+
+@query("WITH d AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END * CAST(round(value * 100) AS BIGINT) AS d FROM events), s AS (SELECT user_id, d, sum(d) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM d) SELECT user_id, (sum(d) - least(min(s), 0))::BIGINT AS balance FROM s GROUP BY 1")
+def saturating_fold(spark, sf_dir):
+    delta = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -1).otherwise(0) * _cents("value")
+    return ledger.saturating_balance(_t(spark, sf_dir, "events"), ["user_id"], "event_id", delta, block=1024)
+
+
+_FORKS = "SELECT event_id AS id, CASE WHEN event_id % 7 = 3 THEN event_id - 2 ELSE event_id - 1 END AS parent, event_id // 2 AS height, value FROM events WHERE event_id < 600"
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").filter("event_id < 600")
+    parent = F.when(F.col("event_id") % 7 == 3, F.col("event_id") - 2).otherwise(F.col("event_id") - 1)
+    return e.select(F.col("event_id").alias("state_hash"), parent.alias("parent_hash"), F.floor(F.col("event_id") / 2).alias("height"), F.col("value").alias("vrf"))
+
+
+@query(f"WITH RECURSIVE b AS ({_FORKS}), a AS (SELECT id, parent FROM b WHERE id = (SELECT id FROM b ORDER BY height DESC, value DESC, id DESC LIMIT 1) UNION ALL SELECT b.id, b.parent FROM b JOIN a ON b.id = a.parent) SELECT b.id AS state_hash, b.height, CASE WHEN a.id IS NOT NULL THEN 'Canonical' ELSE 'Orphaned' END AS canonicity FROM b LEFT JOIN a ON a.id = b.id")
+def ancestor_walk(spark, sf_dir):
+    return chain.canonicity(_blocks(spark, sf_dir)).select("state_hash", "height", "canonicity")
+
+
+@query(f"WITH b AS ({_FORKS}) SELECT id AS state_hash, height FROM b ORDER BY height DESC, value DESC, id DESC LIMIT 1")
+def fork_choice(spark, sf_dir):
+    return chain.best_block(_blocks(spark, sf_dir)).select("state_hash", "height")
+
+
+@query(f"WITH RECURSIVE b AS ({_FORKS}), o AS (SELECT id, parent FROM b WHERE id = 590 UNION ALL SELECT b.id, b.parent FROM b JOIN o ON b.id = o.parent), n AS (SELECT id, parent FROM b WHERE id = 597 UNION ALL SELECT b.id, b.parent FROM b JOIN n ON b.id = n.parent) SELECT id AS state_hash, 'unapply' AS change FROM o WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT id, 'apply' FROM n WHERE id NOT IN (SELECT id FROM o)")
+def reorganisation(spark, sf_dir):
+    b = _blocks(spark, sf_dir)
+    return chain.reorganisation(b, b.filter("state_hash = 590"), b.filter("state_hash = 597")).select("state_hash", "change")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_scalar(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("SELECT o_orderkey, greatest(1000000 - greatest(date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) // 30, 0) * 12345, 0)::BIGINT AS locked FROM orders")
+def vesting(spark, sf_dir):
+    from ledgerloom.functions.amounts import minimum_balance
+
+    day = F.greatest(F.datediff("o_orderdate", F.lit("1995-01-01")), F.lit(0))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", minimum_balance(day, F.lit(1_000_000), F.lit(0), F.lit(0), F.lit(30), F.lit(12_345)).cast("long").alias("locked"))
+
+
+@query("SELECT (SELECT count(*) FROM orders) AS blocks, (SELECT count(*) FROM lineitem) AS commands, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS failed, (SELECT max(o_orderkey) FROM orders) AS height, (SELECT sum(CAST(round(c_acctbal * 100) AS BIGINT))::BIGINT FROM customer) AS supply")
+def summary(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("blocks"), F.max("o_orderkey").alias("height"))
+    li = _t(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("commands"), F.count_if(F.col("l_returnflag") == "R").alias("failed"))
+    c = _t(spark, sf_dir, "customer").agg(F.sum(_cents("c_acctbal")).alias("supply"))
+    return o.crossJoin(li).crossJoin(c).select("blocks", "commands", "failed", "height", "supply")  # a row each
+
+
+@query("SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') AS failed, count(*) FILTER (l_returnflag <> 'R' AND l_linestatus = 'F') AS applied_canonical, count(*) AS every FROM lineitem GROUP BY 1")
+def applied_failed_counts(spark, sf_dir):
+    r, s = F.col("l_returnflag"), F.col("l_linestatus")
+    return _t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count_if(r == "R").alias("failed"), F.count_if((r != "R") & (s == "F")).alias("applied_canonical"), F.count(F.lit(1)).alias("every"))
+
 
+@query("SELECT l_suppkey, count(*) AS works FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_partkey FROM lineitem) GROUP BY 1")
+def deduplicated_works(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").dropDuplicates(["l_suppkey", "l_orderkey", "l_partkey"]).groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("works"))
 
-QUERIES = {
-    "bounded_scan_top_k": bounded_scan_top_k,
-}
 
-ORACLE_SQL = {
-    "bounded_scan_top_k": "SELECT event_id, ts, user_id, event_type, value FROM events WHERE event_id >= 100 AND event_id < 100000 AND event_type = 'purchase' ORDER BY ts DESC, event_id LIMIT 100",
-}
+@query("SELECT user_id, event_id, max(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous, min(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM events")
+def neighbour_slots(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    return _t(spark, sf_dir, "events").select("user_id", "event_id", F.lag("event_id").over(w).alias("previous"), F.lead("event_id").over(w).alias("following"))
