@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import same
+from ledgerloom.llm.common import same, written
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|head)\b.*?(?:</\1\s*>|\Z)"
@@ -183,7 +183,8 @@ def extracted(pages: DataFrame) -> DataFrame:
     def run(htmls: pa.Array, paths: pa.Array) -> pa.Array:
         return pa.array([extract(h.as_py() or "", p.as_py()) for h, p in zip(htmls, paths, strict=True)], pa.string())
 
-    winners = votes(pages).select(F.col("host").alias("of"), F.col("path").alias("winner"))
+    # Written first, so that its size is known: pages are only shuffled by host where hosts are too many to broadcast.
+    winners = written(votes(pages).select(F.col("host").alias("of"), F.col("path").alias("winner")), "winners")
     page = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).withColumn("host", host(F.col("url")))
     out = page.join(winners, same("host", "of"), "left").select("page_id", "url", run("html", "winner").alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
