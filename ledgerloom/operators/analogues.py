@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.plans import chain, ledger
+from ledgerloom.plans import chain, counters, ledger
 from ledgerloom.plans.predicates import listing, predicate
 
 
@@ -183,3 +183,39 @@ def deduplicated_works(spark, sf_dir):
 def neighbour_slots(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("event_id")
     return _t(spark, sf_dir, "events").select("user_id", "event_id", F.lag("event_id").over(w).alias("previous"), F.lead("event_id").over(w).alias("following"))
+
+
+@query("WITH g AS (SELECT year(l_shipdate) AS epoch, l_suppkey, sum(CAST(round(l_extendedprice * l_discount * 100) AS BIGINT))::BIGINT AS total, count(*) AS works FROM lineitem GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY total DESC, l_suppkey) AS nth FROM g QUALIFY nth <= 5")
+def top_fees_per_epoch(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem").withColumn("epoch", F.year("l_shipdate").cast("long"))
+    return counters.top_per_epoch(li, "epoch", "l_suppkey", _cents(F.col("l_extendedprice") * F.col("l_discount")), 5)
+
+
+@query("WITH h AS (SELECT c_nationkey AS token, sum(CAST(round(c_acctbal * 100) AS BIGINT))::BIGINT AS supply, count(*) AS holders FROM customer GROUP BY 1), u AS (SELECT s_nationkey AS token, count(*) AS txns FROM supplier GROUP BY 1) SELECT token, coalesce(supply, 0) AS supply, coalesce(holders, 0) AS holders, coalesce(txns, 0) AS txns FROM h FULL JOIN u USING (token)")
+def token_table(spark, sf_dir):
+    held = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("token"), _cents("c_acctbal").alias("balance"))
+    return counters.tokens(held, _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("token")))
+
+
+@query("SELECT l_orderkey, l_linestatus, l_suppkey, sum(CAST(round(l_extendedprice * l_tax * 100) AS BIGINT))::BIGINT AS fees FROM lineitem GROUP BY ALL HAVING fees <> 0")
+def payer_fees(spark, sf_dir):
+    return counters.payer_fees(_t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linestatus", "l_suppkey"], _cents(F.col("l_extendedprice") * F.col("l_tax")))
+
+
+@query("SELECT l_suppkey AS receiver, sum(CAST(round(l_extendedprice * 100) AS BIGINT))::BIGINT AS amount, count(DISTINCT l_partkey) AS senders FROM lineitem GROUP BY 1")
+def merged_transfers(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem")
+    return counters.merged_transfers(li.select(F.col("l_partkey").alias("sender"), F.col("l_suppkey").alias("receiver"), _cents("l_extendedprice").alias("amount")))
+
+
+@query("SELECT l_partkey AS txn_hash, l_orderkey AS state_hash, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC) AS nth, count(*) OVER (PARTITION BY l_partkey) AS blocks FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem)")
+def containing_blocks(spark, sf_dir):
+    held = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("txn_hash"), F.col("l_orderkey").alias("state_hash"))
+    return counters.containing_blocks(held, F.col("state_hash"))
+
+
+@query("WITH c AS (SELECT o_orderkey AS h, o_custkey AS s, o_custkey % 100 + 1 AS r, CAST(round(o_totalprice * 100) AS BIGINT) AS a, o_orderstatus <> 'P' AS ok FROM orders WHERE o_orderkey <= 3000), x AS (SELECT s AS pk, CASE WHEN ok THEN -a ELSE 0 END AS d, h + 1 AS n FROM c UNION ALL SELECT r, a, NULL FROM c WHERE ok UNION ALL SELECT s, -10, NULL FROM c UNION ALL SELECT s_suppkey, 72000, NULL FROM supplier WHERE s_suppkey <= 3000) SELECT pk, sum(d)::BIGINT AS balance, max(n) AS nonce FROM x GROUP BY 1")
+def staged_balances(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("height"), F.lit(0).alias("seq"), F.col("o_custkey").alias("sender"), (F.col("o_custkey") % 100 + 1).alias("receiver"), _cents("o_totalprice").alias("amount"), F.lit(10).alias("fee"), F.col("o_orderkey").alias("nonce"), (F.col("o_orderstatus") != "P").alias("applied"))
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("height"), F.lit("coinbase").alias("kind"), F.col("s_suppkey").alias("receiver"), F.lit(72_000).alias("amount"))
+    return counters.staged(counters.account_changes(o, s), 3000)

@@ -7,11 +7,11 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import amounts
+from ledgerloom.functions import amounts, keys
 from ledgerloom.operators import analogues
-from ledgerloom.plans import chain, ledger
+from ledgerloom.plans import chain, counters, ledger
 from ledgerloom.plans.predicates import predicate
-from ledgerloom.sources import files
+from ledgerloom.sources import exports, files
 from ledgerloom.streaming import ingest
 
 DATA = "/root/testdata/sf0.001"
@@ -89,3 +89,27 @@ def test_stream_keeps_each_block_once(spark, tmp_path):
         q = ingest.ingest(ingest.stream(spark, str(tmp_path / "in"), rows.schema), "id", str(tmp_path / "out"), str(tmp_path / "state"))
         q.awaitTermination(60)
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_account_changes_follow_the_order_of_a_block(spark):
+    commands = spark.createDataFrame([(1, 0, "a", "b", 5, 2, 0, True), (1, 1, "a", "c", 7, 2, 1, False), (2, 0, "b", "a", 1, 0, 4, True)], "height long, seq int, sender string, receiver string, amount long, fee long, nonce long, applied boolean")
+    rewards = spark.createDataFrame([(1, "coinbase", "d", 9), (1, "fee_transfer", "d", 4)], "height long, kind string, receiver string, amount long")
+    changes = counters.account_changes(commands, rewards)
+    got = [(r.pk, r.phase, r.delta, r.nonce) for r in changes.filter("height = 1").orderBy("phase", "seq", "delta").collect()]
+    assert got == [("a", 0, -5, 1), ("b", 0, 5, None), ("a", 0, 0, 2), ("d", 1, 9, None), ("a", 2, -4, None), ("d", 2, 4, None)]
+    assert {r.pk: (r.balance, r.nonce) for r in counters.staged(changes, 2).collect()} == {"a": (-8, 2), "b": (4, 5), "d": (13, None)}
+    assert counters.staged(changes, 0).count() == 0
+
+
+def test_produced_slots_and_keys(spark):
+    slots = spark.createDataFrame([(3,), (8,)], "global_slot long")
+    assert [counters.produced_slots(slots, s).first() for s in (1, 3, 5, 9)] == [(None, 3), (3, 3), (3, 8), (8, None)]
+    row = spark.createDataFrame([("3Nab",), ("4Nab",), ("3Na",), (None,)], "k string").select(keys.well_formed(F.col("k"), "3N", 4).alias("ok")).collect()
+    assert [r.ok for r in row] == [True, False, False, False]
+
+
+def test_csv_export(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", "b"), (2, "a", "a"), (3, "b", "c")], "height int, sender string, receiver string")
+    exports.csv(exports.commands_of(rows, "a"), str(tmp_path / "out"), [F.col("height"), F.col("side").desc()])
+    back = spark.read.option("header", True).csv(str(tmp_path / "out")).collect()
+    assert sorted((r.height, r.side) for r in back) == [("1", "from"), ("2", "from"), ("2", "to")]
