@@ -125,8 +125,9 @@ def saturating_fold(spark, sf_dir):
 _FORKS = "SELECT event_id AS id, CASE WHEN event_id % 7 = 3 THEN event_id - 2 ELSE event_id - 1 END AS parent, event_id // 2 AS height, value FROM events WHERE event_id < 600"
 
 
-def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "events").filter("event_id < 600")
+def _blocks(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    e = _t(spark, sf_dir, "events")
+    e = e if whole else e.filter("event_id < 600")
     parent = F.when(F.col("event_id") % 7 == 3, F.col("event_id") - 2).otherwise(F.col("event_id") - 1)
     return e.select(F.col("event_id").alias("state_hash"), parent.alias("parent_hash"), F.floor(F.col("event_id") / 2).alias("height"), F.col("value").alias("vrf"))
 
@@ -147,6 +148,27 @@ def reorganisation(spark, sf_dir):
     return chain.reorganisation(b, b.filter("state_hash = 590"), b.filter("state_hash = 597")).select("state_hash", "change")
 
 
+# The three queries above keep the first 600 events, as their SQL does; the next three take every event.
+_TREE = "SELECT event_id AS id, CASE WHEN event_id % 7 = 3 THEN event_id - 2 ELSE event_id - 1 END AS parent, event_id // 2 AS height, value FROM events"
+_BEST = "ORDER BY height DESC, value DESC, id DESC LIMIT 1"
+
+
+@query(f"WITH RECURSIVE b AS MATERIALIZED ({_TREE}), a AS (SELECT id, parent FROM b WHERE id = (SELECT id FROM b {_BEST}) UNION ALL SELECT b.id, b.parent FROM b JOIN a ON b.id = a.parent) SELECT b.id AS state_hash, b.height, CASE WHEN a.id IS NOT NULL THEN 'Canonical' ELSE 'Orphaned' END AS canonicity FROM b LEFT JOIN a ON a.id = b.id")
+def ancestor_walk_whole(spark, sf_dir):
+    return chain.canonicity(_blocks(spark, sf_dir, whole=True)).select("state_hash", "height", "canonicity")
+
+
+@query(f"WITH b AS ({_TREE}) SELECT id AS state_hash, height FROM b {_BEST}")
+def fork_choice_whole(spark, sf_dir):
+    return chain.best_block(_blocks(spark, sf_dir, whole=True)).select("state_hash", "height")
+
+
+@query(f"WITH RECURSIVE b AS MATERIALIZED ({_TREE}), n AS (SELECT id, parent FROM b WHERE id = (SELECT id FROM b {_BEST}) UNION ALL SELECT b.id, b.parent FROM b JOIN n ON b.id = n.parent), o AS (SELECT id, parent FROM b WHERE id = (SELECT id FROM b WHERE id NOT IN (SELECT id FROM n) {_BEST}) UNION ALL SELECT b.id, b.parent FROM b JOIN o ON b.id = o.parent) SELECT id AS state_hash, 'unapply' AS change FROM o WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT id, 'apply' FROM n WHERE id NOT IN (SELECT id FROM o)")
+def reorganisation_whole(spark, sf_dir):
+    b = _blocks(spark, sf_dir, whole=True)
+    return chain.reorganisation(b, *chain.rivals(b)).select("state_hash", "change")
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_scalar(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))

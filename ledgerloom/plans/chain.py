@@ -62,6 +62,12 @@ def canonicity(blocks: DataFrame) -> DataFrame:
     return out.withColumn("canonicity", F.when(F.col("on_chain"), "Canonical").when(F.col("height") <= F.col("top"), "Orphaned")).drop("on_chain", "top")
 
 
+def rivals(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The best block off the best chain (a row of nulls where there is none), and the best block."""
+    best = best_block(blocks)
+    return best_block(blocks.join(ancestors(blocks, best).select("state_hash"), "state_hash", "left_anti")), best
+
+
 def reorganisation(blocks: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """(state_hash, height, change): blocks to unapply from the old tip down, and to apply up to the new tip."""
     a, b = ancestors(blocks, old).select("state_hash"), ancestors(blocks, new).select("state_hash")

@@ -66,6 +66,38 @@ def test_chain(spark):
     assert ingest.missing_parents(b.filter("state_hash <> 'x'")).collect() == [("x", 2)]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_whole_chain_against_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    parent, height = {0: None}, {0: 0}
+    for i in range(1, 80):  # forks of several blocks
+        parent[i] = rnd.choice([i - 1, max(0, i - rnd.randint(1, 12))])
+        height[i] = height[parent[i]] + 1
+    b = spark.createDataFrame([(i, p, height[i], rnd.randint(0, 3)) for i, p in parent.items()], "state_hash long, parent_hash long, height int, vrf int")
+    rank = {r.state_hash: (r.height, r.vrf, r.state_hash) for r in b.collect()}
+
+    def walk(i):
+        return set() if i is None else {i} | walk(parent[i])
+
+    best = max(rank, key=rank.get)
+    off = max(set(rank) - walk(best), key=rank.get)
+    assert {r.state_hash for r in chain.canonicity(b).collect() if r.canonicity == "Canonical"} == walk(best)
+    old, new = chain.rivals(b)
+    assert (old.first().state_hash, new.first().state_hash) == (off, best)
+    moves = {(r.state_hash, r.change) for r in chain.reorganisation(b, old, new).collect()}
+    assert moves == {(i, "unapply") for i in walk(off) - walk(best)} | {(i, "apply") for i in walk(best) - walk(off)}
+    line = b.filter(F.col("state_hash").isin(walk(best)))
+    assert chain.reorganisation(line, *chain.rivals(line)).filter("change = 'unapply'").count() == 0
+
+
+def test_whole_chain_takes_every_event(spark):
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    rows = analogues.QUERIES["ancestor_walk_whole"](spark, DATA).collect()
+    assert len(rows) == events.count() > 600 and all(r.canonicity for r in rows)
+    top = events.agg(F.max(F.floor(F.col("event_id") / 2))).first()[0]
+    assert analogues.QUERIES["fork_choice_whole"](spark, DATA).first().height == top
+
+
 def test_functions(spark):
     one = spark.range(1)
     row = one.select(
