@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.plans import ledger
+
 
 def top_per_epoch(rows: DataFrame, epoch: str, key: str, amount: Column, n: int = 10) -> DataFrame:
     """epoch, key, total, works, nth: the n greatest totals of each epoch, equal ones by key."""
@@ -59,6 +61,16 @@ def staged(changes: DataFrame, height: int) -> DataFrame:
     return changes.filter(F.col("height") <= height).groupBy("pk").agg(F.sum("delta").alias("balance"), F.max("nonce").alias("nonce"))
 
 
+def folded(changes: DataFrame, height: int | Column | None = None, block: int = 1024) -> DataFrame:
+    """pk, balance, nonce after the block at a height (None: the last), each account's changes added in their order.
+
+    A debit beyond the balance leaves 0, unlike in staged(), which sums. A command credits before it debits, so at
+    equal height, phase and seq the greater change comes first.
+    """
+    own = changes if height is None else changes.filter(F.col("height") <= height)
+    return ledger.saturating_balance(own, ["pk"], "height", F.col("delta"), block, ("phase", "seq", -F.col("delta")), ("nonce",))
+
+
 def produced_slots(blocks: DataFrame, slot: int) -> DataFrame:
     """One row: the produced slots next to a slot, at or before it and at or after it (null where there is none)."""
     at = F.col("global_slot")

@@ -8,18 +8,21 @@ from pyspark.sql import functions as F
 BLOCK = 65_536
 
 
-def saturating_balance(changes: DataFrame, keys: list[str], order: str, delta: Column, block: int = BLOCK) -> DataFrame:
-    """keys and ``balance``: changes added in order, never below 0.
+def saturating_balance(changes: DataFrame, keys: list[str], order: str, delta: Column, block: int = BLOCK, then: tuple[str | Column, ...] = (), most: tuple[str, ...] = ()) -> DataFrame:
+    """keys and ``balance``: changes added in order, never below 0; equal places are ordered by ``then``.
+
+    The greatest value of each column of ``most`` is added.
 
     Adding with a floor of 0 from 0 on gives the sum less the lowest prefix sum, if that is negative. Prefix sums run
     inside blocks of the order, and a key's blocks are then joined by their sums, so a key of any size is spread.
     """
-    at = changes.select(*keys, F.col(order).alias("_at"), delta.alias("_d"), F.floor(F.col(order) / block).alias("_block"))
-    inner = Window.partitionBy(*keys, "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    parts = at.withColumn("_s", F.sum("_d").over(inner)).groupBy(*keys, "_block").agg(F.sum("_d").alias("_sum"), F.min("_s").alias("_low"))
+    ties = [(F.col(c) if isinstance(c, str) else c).alias(f"_then{i}") for i, c in enumerate(then)]
+    at = changes.select(*keys, *most, F.col(order).alias("_at"), *ties, delta.alias("_d"), F.floor(F.col(order) / block).alias("_block"))
+    inner = Window.partitionBy(*keys, "_block").orderBy("_at", *[f"_then{i}" for i in range(len(then))]).rowsBetween(Window.unboundedPreceding, 0)
+    parts = at.withColumn("_s", F.sum("_d").over(inner)).groupBy(*keys, "_block").agg(F.sum("_d").alias("_sum"), F.min("_s").alias("_low"), *[F.max(c).alias(c) for c in most])
     before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.withColumn("_low", F.col("_low") + before)
-    return parts.groupBy(*keys).agg((F.sum("_sum") - F.least(F.min("_low"), F.lit(0))).alias("balance"))
+    return parts.groupBy(*keys).agg((F.sum("_sum") - F.least(F.min("_low"), F.lit(0))).alias("balance"), *[F.max(c).alias(c) for c in most])
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:

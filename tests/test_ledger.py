@@ -133,6 +133,26 @@ def test_account_changes_follow_the_order_of_a_block(spark):
     assert counters.staged(changes, 0).count() == 0
 
 
+def test_folded_balances_are_the_ordered_fold(spark):
+    rnd = random.Random(7)
+    pks = ["a", "b", "c", None]
+    commands = [(h, s, rnd.choice(pks), rnd.choice(pks), rnd.randint(0, 30), rnd.randint(0, 3), h, rnd.random() < 0.8) for h in range(60) for s in range(4)]
+    rewards = [(h, "coinbase", rnd.choice(pks), 9) for h in range(60)]
+    changes = counters.account_changes(spark.createDataFrame(commands, "height long, seq int, sender string, receiver string, amount long, fee long, nonce long, applied boolean"), spark.createDataFrame(rewards, "height long, kind string, receiver string, amount long"))
+    for height in (20, None):
+        want, nonce, fees = dict.fromkeys(pks, 0), dict.fromkeys(pks), {}
+        for h in range(60 if height is None else height + 1):
+            for _, _, s, r, amount, fee, n, ok in (c for c in commands if c[0] == h):
+                if ok:
+                    want[r] += amount
+                    want[s] = max(0, want[s] - amount)
+                nonce[s], fees[s] = n + 1, fees.get(s, 0) + fee
+            want[rewards[h][2]] += 9
+            want, fees = {k: max(0, v - fees.get(k, 0)) for k, v in want.items()}, {}
+        assert {r.pk: (r.balance, r.nonce) for r in counters.folded(changes, height, block=8).collect()} == {k: (want[k], nonce[k]) for k in pks}
+    assert counters.folded(changes, -1).count() == 0
+
+
 def test_produced_slots_and_keys(spark):
     slots = spark.createDataFrame([(3,), (8,)], "global_slot long")
     assert [counters.produced_slots(slots, s).first() for s in (1, 3, 5, 9)] == [(None, 3), (3, 3), (3, 8), (8, None)]
