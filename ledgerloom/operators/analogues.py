@@ -238,6 +238,15 @@ def containing_blocks(spark, sf_dir):
 
 @query("WITH c AS (SELECT o_orderkey AS h, o_custkey AS s, o_custkey % 100 + 1 AS r, CAST(round(o_totalprice * 100) AS BIGINT) AS a, o_orderstatus <> 'P' AS ok FROM orders WHERE o_orderkey <= 3000), x AS (SELECT s AS pk, CASE WHEN ok THEN -a ELSE 0 END AS d, h + 1 AS n FROM c UNION ALL SELECT r, a, NULL FROM c WHERE ok UNION ALL SELECT s, -10, NULL FROM c UNION ALL SELECT s_suppkey, 72000, NULL FROM supplier WHERE s_suppkey <= 3000) SELECT pk, sum(d)::BIGINT AS balance, max(n) AS nonce FROM x GROUP BY 1")
 def staged_balances(spark, sf_dir):
+    return counters.staged(_changes(spark, sf_dir), 3000)
+
+
+@query("WITH c AS (SELECT o_orderkey AS h, o_custkey AS s, o_custkey % 100 + 1 AS r, CAST(round(o_totalprice * 100) AS BIGINT) AS a, o_orderstatus <> 'P' AS ok FROM orders), x AS (SELECT s AS pk, h, 0 AS phase, CASE WHEN ok THEN -a ELSE 0 END AS d, h + 1 AS n FROM c UNION ALL SELECT r, h, 0, a, NULL FROM c WHERE ok UNION ALL SELECT s, h, 2, -10, NULL FROM c UNION ALL SELECT s_suppkey, s_suppkey, 1, 72000, NULL FROM supplier), p AS (SELECT pk, d, n, sum(d) OVER (PARTITION BY pk ORDER BY h, phase, d DESC ROWS UNBOUNDED PRECEDING) AS low FROM x) SELECT pk, (sum(d) - least(min(low), 0))::BIGINT AS balance, max(n) AS nonce FROM p GROUP BY 1")
+def staged_balances_whole(spark, sf_dir):
+    return counters.folded(_changes(spark, sf_dir))
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("height"), F.lit(0).alias("seq"), F.col("o_custkey").alias("sender"), (F.col("o_custkey") % 100 + 1).alias("receiver"), _cents("o_totalprice").alias("amount"), F.lit(10).alias("fee"), F.col("o_orderkey").alias("nonce"), (F.col("o_orderstatus") != "P").alias("applied"))
     s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("height"), F.lit("coinbase").alias("kind"), F.col("s_suppkey").alias("receiver"), F.lit(72_000).alias("amount"))
-    return counters.staged(counters.account_changes(o, s), 3000)
+    return counters.account_changes(o, s)

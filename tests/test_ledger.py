@@ -153,6 +153,16 @@ def test_folded_balances_are_the_ordered_fold(spark):
     assert counters.folded(changes, -1).count() == 0
 
 
+def test_staged_balances_take_every_height(spark, tmp_path):
+    read = lambda t: spark.read.parquet(f"{DATA}/{t}.parquet")
+    read("orders").withColumn("o_orderkey", F.col("o_orderkey") * 100).write.parquet(str(tmp_path / "orders.parquet"))
+    read("supplier").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = analogues.QUERIES["staged_balances_whole"](spark, str(tmp_path)).collect()
+    assert {r.pk for r in read("orders").selectExpr("o_custkey AS pk").collect()} <= {r.pk for r in got}
+    assert max(r.nonce or 0 for r in got) == read("orders").agg(F.max("o_orderkey")).first()[0] * 100 + 1 > 3001
+    assert min(r.balance for r in got) >= 0
+
+
 def test_produced_slots_and_keys(spark):
     slots = spark.createDataFrame([(3,), (8,)], "global_slot long")
     assert [counters.produced_slots(slots, s).first() for s in (1, 3, 5, 9)] == [(None, 3), (3, 3), (3, 8), (8, None)]
