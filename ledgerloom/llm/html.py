@@ -5,7 +5,10 @@
 2. A container is named by its generalised path: tags and classes from the root, digits folded. Each page gives its
    shares of the score to its paths as votes, and Spark sums them per host; partial sums fold before the shuffle, so
    a host of any size is a few rows of each task.
-3. Each page is extracted again from its host's winning path; a page without it uses its own best container.
+3. The winner is widened to the article or main element around it, and on to the smallest container that holds nearly
+   all text of the host's pages that is no link.
+4. Each page is extracted again from its host's path; a page where it holds little uses its own best container, widened
+   in the same way.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by tag
 and by class or id. Character references are decoded, white space inside a block is one space, blocks are joined by
@@ -49,6 +52,10 @@ _DIGITS = re.compile(r"[0-9]+")
 _SPACE = re.compile(r"\s+")
 #: Share of a block's score that the next element out gets.
 FADE = 0.5
+#: A container holds nearly all of the text from this share on.
+NEARLY = 0.95
+#: A page's own container is used where the host's path holds less than this share of its text.
+LITTLE = 0.5
 
 
 def blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
@@ -143,15 +150,30 @@ def best(total: dict[tuple[str, ...], float]) -> tuple[str, ...] | None:
     return min(total, key=lambda p: (-total[p], p)) if total else None
 
 
+def held(found: list[tuple[str, tuple[str, ...], int]]) -> dict[tuple[str, ...], int]:
+    """Characters that are no link in each container path of a page, parts of parts included; () is the page."""
+    total: dict[tuple[str, ...], int] = defaultdict(int)
+    for text, path, links in found:
+        for i in range(len(path) + 1):
+            total[path[:i]] += max(0, len(text) - links)
+    return total
+
+
+def widened(own: dict[tuple[str, ...], int], path: tuple[str, ...]) -> tuple[str, ...]:
+    """The article or main element around a path, or else the path, and on to what holds nearly all text."""
+    top = next((i + 1 for i, n in enumerate(path) if n.split(".")[0] in ("article", "main")), len(path))
+    return next(path[:i] for i in range(top, -1, -1) if own.get(path[:i], 0) >= NEARLY * own.get((), 0))
+
+
 def extract(html: str, path: str | None) -> str:
-    """Text of the blocks in containers of a path, or else in the page's own best container."""
+    """Text of the blocks in containers of a path, or else in the page's own best container; the path '' is the page."""
     found = blocks(html)
-    want = tuple(path.split(">")) if path else None
-    mine = [t for t, p, _ in found if want is not None and p[: len(want)] == want]
-    if not mine:
-        own = best(scores(found))
-        mine = [t for t, p, _ in found if own is None or p[: len(own)] == own]
-    return "\n\n".join(mine)
+    own = held(found)
+    want = tuple(path.split(">")) if path else () if path == "" else None
+    inside = lambda c: [t for t, p, _ in found if p[: len(c)] == c]
+    if want is not None and own.get(want, 0) >= LITTLE * own.get((), 0) and (mine := inside(want)):
+        return "\n\n".join(mine)
+    return "\n\n".join(inside(widened(own, best(scores(found)) or ())))
 
 
 def host(url):
@@ -159,21 +181,29 @@ def host(url):
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, path): each host's winning path."""
+    """(host, path): each host's winning path, widened."""
 
-    @F.arrow_udf("array<struct<path:string,vote:double>>")
+    @F.arrow_udf("array<struct<path:string,vote:double,held:double>>")
     def cast(htmls: pa.Array) -> pa.Array:
         rows = []
         for html in htmls:
-            total = scores(blocks(html.as_py() or ""))
-            whole = sum(total.values())
-            rows.append([{"path": ">".join(p), "vote": s / whole} for p, s in total.items()])
-        return pa.array(rows, pa.list_(pa.struct([("path", pa.string()), ("vote", pa.float64())])))
+            found = blocks(html.as_py() or "")
+            total, own = scores(found), held(found)
+            whole, text = sum(total.values()), own.get((), 0)
+            rows.append([{"path": ">".join(p), "vote": total[p] / whole if p in total else 0.0, "held": n / text} for p, n in own.items()] if text else [])
+        return pa.array(rows, pa.list_(pa.struct([("path", pa.string()), ("vote", pa.float64()), ("held", pa.float64())])))
 
     cast_ = pages.select(host(F.col("url")).alias("host"), F.explode(cast(F.col("html").cast("string"))).alias("v"))
     # Votes are rounded, so that sums are the same in any order.
-    summed = cast_.groupBy("host", F.col("v.path").alias("path")).agg(F.sum(F.round(F.col("v.vote") * 1_000_000).cast("long")).alias("votes"))
-    return summed.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"))
+    million = lambda c: F.sum(F.round(F.col(c) * 1_000_000).cast("long"))
+    # Written, since it is read twice; each page's path '' holds all of its text.
+    summed = written(cast_.groupBy("host", F.col("v.path").alias("path")).agg(million("v.vote").alias("votes"), million("v.held").alias("held")), "votes")
+    tops = summed.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("won"), F.max("held").alias("whole"))
+    article = F.regexp_extract("won", r"^((?:[^>]*>)*?(?:article|main)(?:\.[^>]*)?)(?:>|$)", 1)
+    tops = tops.withColumn("top", F.when(article != "", article).otherwise(F.col("won")))
+    around = (F.col("path") == "") | F.concat("top", F.lit(">")).startswith(F.concat("path", F.lit(">")))
+    near = summed.join(tops, "host").filter(around & (F.col("held") >= NEARLY * F.col("whole")))
+    return near.groupBy("host").agg(F.max_by("path", F.length("path")).alias("path"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -213,6 +213,24 @@ def test_html(spark):
     assert html.extracted(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_html_keeps_all_parts_of_an_article(spark):
+    words = lambda n, w: f"<p>{' '.join([w] * (n // (len(w) + 1)))}</p>"
+    bodies = {
+        "a.b": f"<article><section class=intro>{words(1000, 'intro')}</section><section class=body>{words(2000, 'text')}</section></article>",
+        "c.d": f"<div class=post><h1>Heading</h1>{words(1000, 'para')}<ul>{'<li>item of a list</li>' * 160}</ul></div>",
+        "e.f": f"<article><h2>Head</h2><div class=text>{words(4000, 'word')}</div><blockquote>{words(90, 'quote')}</blockquote><table><tr><td>cell<td>other</table></article>",
+        "g.h": f"<main><h1>Title</h1><div class=text>{words(4000, 'word')}</div></main>",
+    }
+    want = {"a.b": ["intro", "text"], "c.d": ["Heading", "para", "item of a list"], "e.f": ["Head", "word", "quote", "cell", "other"], "g.h": ["Title", "word"]}
+    rows = [(i, f"http://{h}/{i}", f"<html><body><nav>menu</nav><div id=x>{b}</div><footer>end</footer></body></html>", h, "p") for i, (h, b) in enumerate([*bodies.items(), *bodies.items()])]
+    little = f"<html><body><div id=x><article><p>short</p></article><div class=other>{words(3000, 'elsewhere')}</div></div></body></html>"
+    rows.append((99, "http://a.b/99", little, "h", "p"))
+    for r in html.extracted(spark.createDataFrame(rows, PAGES)).collect():
+        for part in ["elsewhere"] if r.page_id == 99 else want[rows[r.page_id][3]]:
+            assert part in r.text, (r.page_id, part)
+        assert "menu" not in r.text and not r.text.endswith("end")
+
+
 def test_warc_round_trip(spark):
     big = "x" * 200
     rows = [(3, "http://b.org/x", big), (1, "http://a.org/?q=1", "s"), (2, "http://a.org/", big), (4, None, None), (5, "http://a.org/", "s"), (6, "http://c.org/\r\nX: y", "tail\r\n\r\nWARC/1.1\r\n" + "é" * 90), (None, "http://d.org", big), (2, "http://a.org/", big)]
