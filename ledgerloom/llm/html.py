@@ -11,11 +11,14 @@
    in the same way.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by tag
-and by class or id. Character references are decoded, white space inside a block is one space, blocks are joined by
+and by a whole class or id (or one of a few prefixes). What is left out by class or id, and a form, stays if it holds most
+of the page's text and has a first heading, an article or a main element, or nothing else on the page has one (reader
+comments only in the first case, and articles in them are no sign). Character references are decoded, white space inside a block is one space, blocks are joined by
 two line ends.
 
 Defined cases: null or empty html, or a page without any text outside such parts, has the empty text; an unclosed
-element ends with its parent; unclosed scripts and comments run to the end; pages without a url vote as one host;
+element ends with its parent, and head, svg, math and select at the first block element in them; unclosed scripts,
+styles, text areas and comments run to the end; of other unclosed raw text only the tag is skipped; pages without a url vote as one host;
 repeated rows vote each; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -31,20 +35,28 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import same, written
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|head)\b.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']++|\"[^\"]{0,8192}+\"|'[^']{0,8192}+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)([^>]*)>|<[!?/][^>]*>|[^<]+|<",
-    re.S | re.I,
-)
+_PIECE = re.compile(r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9-]*)|<[!?/][^>]*>|[^<]+|<")
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_ANY_REST = re.compile(r"([^>]*)>")
+#: Skipped as raw text up to their end tags; without one, the first three run to the end, the others are skipped alone.
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "iframe", "object", "noscript", "template")}
+_TO_END = frozenset(("script", "style", "textarea"))
+#: Skipped up to their end tags or the first block element in them.
+_SKIP = frozenset("head svg math select".split())
+#: Tags that are read with their quotes until so many quotes were left open; then up to the next '>'.
+OPEN_QUOTES = 16
 _NAME = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _OUT_TAG = frozenset("nav header footer aside form button menu dialog fieldset label".split())
 _CLOSES_SELF = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+_COMMENT_NAME = re.compile(r"comments?|comment-?(?:list|form|area|section)|comments-?(?:list|area|section)|respond|disqus(?:[_-].*)?", re.I)
+#: Whole classes and ids.
 _OUT_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|paywall"
-    r"|comments?|respond|disqus|replies|discussion|sidebar|side|aside|widget|related|recommended|more-?stories|share|sharing|social|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|tags|tagcloud"
-    r"|header|masthead|topbar|footer|copyright|toolbar|skip|search|hidden|sr-only)(?:$|[\s_-])",
+    r"(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|paywall"
+    r"|replies|discussion|sidebar|side|aside|widget|widget-area|related|recommended|more-?stories|share|sharing|social|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|tags|tagcloud"
+    r"|header|masthead|topbar|footer|copyright|toolbar|skip|skip-link|search|search-form|hidden|sr-only|(?:site|page|main|top|global)[_-](?:header|footer|nav|navigation|menu|sidebar)"
+    r"|(?:ads?|advert|cookie|gdpr|newsletter|breadcrumbs?|sponsored|share|social|related|pagination)[_-].*)",
     re.I,
 )
 _OUT_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
@@ -58,39 +70,81 @@ NEARLY = 0.95
 LITTLE = 0.5
 
 
+def tokens(html: str) -> Iterator[tuple[str | None, bool, str]]:
+    """(tag or None, whether it is an end tag, attributes or text), in one pass; raw text and comments are skipped."""
+    at, open_quotes, last = 0, 0, html.rfind(">")
+    unclosed: set[str] = set()
+    while m := _PIECE.match(html, at):
+        at = m.end()
+        if m[2] is None:
+            if m[0] == "<!--":
+                found = html.find("-->", at)
+                at = len(html) if found < 0 else found + 3
+            elif m[0][0] != "<" or len(m[0]) == 1:
+                yield None, False, m[0]
+            continue
+        rest = None
+        if at <= last:
+            rest = _REST.match(html, at) if open_quotes < OPEN_QUOTES else None
+            if rest is None:
+                open_quotes += 1
+                rest = _ANY_REST.match(html, at)
+        if rest is None:
+            yield None, False, "<"
+            at = m.start() + 1
+            continue
+        tag, end, at = m[2].lower(), bool(m[1]), rest.end()
+        if tag in _RAW and not end:
+            found = None if tag in unclosed else _RAW[tag].search(html, at)
+            if found:
+                at = found.end()
+            elif tag in _TO_END:
+                return
+            else:
+                unclosed.add(tag)
+            continue
+        if tag not in _RAW:
+            yield tag, end, rest[1]
+
+
+#: What leaves out an element and its children for good: a part like a menu, or one that is no text at all.
+_OUT, _NO_TEXT = -1, -2
+
+
 def blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
     """(text, generalised path of its container, characters of links) of the text blocks, left-out parts skipped."""
-    out: list[tuple[str, tuple[str, ...], int]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, generalised name, left out
+    found: list[tuple[str, tuple[str, ...], int, tuple[int, ...]]] = []
+    stack: list[tuple[str, str, tuple[int, ...]]] = []  # tag, generalised name, elements that leave it out by name
+    named: list[list[bool]] = []  # of each such element: is it of comments, does it have a sign of the main text
     text: list[str] = []
     links = 0
 
     def flush() -> None:
         nonlocal links
         if text:
-            found = _SPACE.sub(" ", unescape("".join(text))).strip()
-            if found and not (stack and stack[-1][2]):
+            own = _SPACE.sub(" ", unescape("".join(text))).strip()
+            outs = stack[-1][2] if stack else ()
+            if own and not (outs and outs[-1] < 0):
                 path = [n for t, n, _ in stack if t in _BLOCK]
-                if path and stack and (last := next((t for t, _, _ in reversed(stack) if t in _BLOCK), "")) in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "dd", "dt", "pre", "summary", "figcaption"):
-                    del last
+                last = next((t for t, _, _ in reversed(stack) if t in _BLOCK), "")
+                if path and last in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "dd", "dt", "pre", "summary", "figcaption"):
                     path.pop()
-                out.append((found, tuple(path), links))
+                found.append((own, tuple(path), links, outs))
             text.clear()
         links = 0
 
     def close(i: int) -> None:
         del stack[i:]
 
-    for m in _TOKEN.finditer(html):
-        tag = m[3] or m[6]
+    main_outside = False
+    for tag, end, rest in tokens(html):
         if tag is None:
-            piece = m[0]
-            if piece[0] != "<" or len(piece) == 1:
-                text.append(piece)
-                if any(t == "a" for t, _, _ in stack[-4:]):
-                    links += len(piece)
+            if stack and stack[-1][2] and stack[-1][2][-1] == _NO_TEXT:
+                continue
+            text.append(rest)
+            if any(t == "a" for t, _, _ in stack[-4:]):
+                links += len(rest)
             continue
-        tag, end, rest = tag.lower(), m[2] or m[5], m[4] or m[7] or ""
         if tag in _BLOCK:
             flush()
         elif tag == "br":
@@ -106,6 +160,13 @@ def blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
         if tag in _VOID:
             continue
         if tag in _BLOCK:
+            if stack and stack[-1][2] and stack[-1][2][-1] == _NO_TEXT:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == "foreignobject" or stack[i][2][-1:] != (_NO_TEXT,):
+                        break
+                    if stack[i][0] in _SKIP:
+                        close(i)
+                        break
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
                     close(i)
@@ -119,20 +180,41 @@ def blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
                     break
                 if stack[i][0] in _CLOSES_SELF[tag]:
                     break
-        name, left_out = tag, bool(stack and stack[-1][2]) or tag in _OUT_TAG
-        if rest and not rest.isspace():
-            for a in _NAME.finditer(rest):
-                kind, value = a[1].lower(), a[2] or a[3] or a[4] or ""
-                if kind == "class":
-                    name = ".".join([tag, *sorted({_DIGITS.sub("#", c) for c in value.split()})])
-                if kind in ("class", "id") and tag not in ("html", "body") and _OUT_NAME.search(value):
-                    left_out = True
-                elif kind == "role" and value.lower() in _OUT_ROLE or kind == "hidden" or kind == "aria-hidden" and value.lower() == "true" or kind == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                    left_out = True
+        name, outs = tag, stack[-1][2] if stack else ()
+        if not (outs and outs[-1] < 0):
+            gone = _NO_TEXT if tag in _SKIP else _OUT if tag in _OUT_TAG and tag != "form" else 0
+            by_name = tag == "form"
+            comments = False
+            if rest and not rest.isspace():
+                for a in _NAME.finditer(rest):
+                    kind, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+                    if kind == "class":
+                        name = ".".join([tag, *sorted({_DIGITS.sub("#", c) for c in value.split()})])
+                    if kind in ("class", "id") and tag not in ("html", "body"):
+                        comments = comments or any(_COMMENT_NAME.fullmatch(c) for c in value.split())
+                        by_name = by_name or comments or any(_OUT_NAME.fullmatch(c) for c in value.split())
+                    elif kind == "role" and value.lower() in _OUT_ROLE or kind == "hidden" or kind == "aria-hidden" and value.lower() == "true" or kind == "style" and re.search(r"display\s*:\s*none", value, re.I):
+                        gone = gone or _OUT
+            if by_name and not gone:
+                named.append([comments, tag in ("article", "main")])
+                outs = (*outs, len(named) - 1)
+            if gone:
+                outs = (*outs, gone)
+            elif tag in ("article", "main", "h1"):
+                main_outside = main_outside or not outs
+                for e in outs:
+                    named[e][1] = named[e][1] or tag != "article" or not named[e][0]
         if not rest.endswith("/") or tag in _BLOCK:
-            stack.append((tag, name, left_out))
+            stack.append((tag, name, outs))
     flush()
-    return out
+    # An element that is left out by name, yet holds most of the text, stays if the main text seems to be in it.
+    size = lambda t, n: max(0, len(t) - n)
+    whole, own = sum(size(t, n) for t, _, n, _ in found), [0] * len(named)
+    for t, _, n, outs in found:
+        for e in outs:
+            own[e] += size(t, n)
+    stays = {e for e, (comments, main) in enumerate(named) if 2 * own[e] > whole and (main or not main_outside and not comments)}
+    return [(t, p, n) for t, p, n, outs in found if stays.issuperset(outs)]
 
 
 def scores(found: list[tuple[str, tuple[str, ...], int]]) -> dict[tuple[str, ...], float]:

@@ -231,6 +231,32 @@ def test_html_keeps_all_parts_of_an_article(spark):
         assert "menu" not in r.text and not r.text.endswith("end")
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><body><div class='layout with-sidebar'><article class='post comments-open'><p>kept text</p></article></div></body></html>",
+        "<html><body><div class='widget'><article><h1>kept</h1><p>text of it</p></article></div></body></html>",
+        "<html><body><form id=main><div><p>kept text</p></div></form></body></html>",
+        "<html><head><title>out</title><meta charset=utf-8><script>var a='<p>out</p>'</script><body><p>kept text</p></body></html>",
+        "<html><head><title>out</title><p>kept text</p></html>",
+        "<html><body><p>kept</p><svg><path d='M0'><p>text</p></body></html>",
+        "<html><body><p>kept</p><select><option>out<p>text</p></body></html>",
+        "<html><body><p>kept</p><object data=x><p>text</p></body></html>",
+        "<html><body><p>kept <svg><title>out</title><text>out</text></svg>text</p></body></html>",
+        f"<html><body><p>kept <img src='data:image/svg+xml,{'<g>out</g>' * 2000}'>text</p></body></html>",
+    ],
+)
+def test_html_never_loses_a_page(page):
+    text = html.extract(page, None)
+    assert "kept" in text and "text" in text and "out" not in text
+
+
+def test_html_leaves_out_whole_names():
+    page = "<body><div class='cookie-note big'>out</div><div id=related_posts>out</div><div class='Sidebar left'>out</div><article><h1>kept</h1></article><ol class=comment-list><li><article>%s</article></ol></body>" % ("out " * 900)
+    assert html.extract(page, None) == "kept"
+    assert len(html.extract("<a title=\"x " * 20000 + "<p>end", None)) > 0  # in linear time
+
+
 def test_warc_round_trip(spark):
     big = "x" * 200
     rows = [(3, "http://b.org/x", big), (1, "http://a.org/?q=1", "s"), (2, "http://a.org/", big), (4, None, None), (5, "http://a.org/", "s"), (6, "http://c.org/\r\nX: y", "tail\r\n\r\nWARC/1.1\r\n" + "é" * 90), (None, "http://d.org", big), (2, "http://a.org/", big)]
