@@ -34,6 +34,8 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "address", "number", "account", "secret")
 PRECISION = 0.98
 CONTEXT = 24
+#: Characters of a candidate that are scored, the first of a secret and the last of an address; its span is whole.
+SCORED = 256
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -44,7 +46,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ADDRESS = re.compile(r"(?: ?[(\[{]at[)\]}] ?| at )(?=([\w-]{1,63}(?:(?: ?[(\[{]dot[)\]}] ?| dot |\.)[\w-]{2,63}){1,4}))", re.I)
 _NUMBER = re.compile(r"(?<![\w.+-])\(?[0-9][0-9 ().\-/]{5,22}[0-9](?![\w])")
 _ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
-_SECRET = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,4}[:=]\s{0,4}[\"']?([^\s\"']{6,256})", re.I)
+_SECRET = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,4}[:=]\s{0,4}[\"']?([^\s\"']{6,})", re.I)
 _HINT = re.compile(r"password|passwd|pwd|secret|token|key|phone|tel|call|mobile|fax|ssn|social|iban|account|card|mail|contact|reach|write", re.I)
 _AGAINST = re.compile(r"version|isbn|page|chapter|order|invoice|price|total|since|between|score|id\b|no\.", re.I)
 
@@ -90,7 +92,7 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     if " at " in lower or "at)" in lower or "at]" in lower or "at}" in lower or lower is text:
         for m in _ADDRESS.finditer(text):
             start = m.start()
-            while start > 0 and m.start() - start < 64 and text[start - 1] in _LOCAL:
+            while start > 0 and text[start - 1] in _LOCAL:
                 start -= 1
             if start < m.start():
                 out.append((start, 4, m.end(1)))
@@ -103,7 +105,7 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
 
 def features(text: str, start: int, kind: int, end: int) -> list[float]:
     """Format and context of a candidate."""
-    own = text[start:end]
+    own = text[max(start, end - SCORED) : end] if kind == 4 else text[start : min(end, start + SCORED)]
     before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
     digits = _digits(own)
     groups = re.findall(r"[0-9]+", own)

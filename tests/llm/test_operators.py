@@ -311,6 +311,15 @@ def test_pii(edge, none, spark):
     assert pii.found(none).count() == 0
 
 
+def test_pii_takes_long_values_whole(spark):
+    rnd = random.Random(9)
+    key = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_.") for _ in range(900)) + "z9"
+    local = "".join(rnd.choice("abcdefgh.") for _ in range(120)) + "z"
+    df = spark.createDataFrame([(1, f"the token={key} end", 1), (2, f"write a{local} (at) site (dot) com end", 1)], "doc_id long, text string, n_chars long")
+    out = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    assert out == {1: "the token=[SECRET] end", 2: "write [ADDRESS] end"}
+
+
 def test_fingerprints(edge, none, docs):
     got = fingerprint.edited_fingerprints(edge).collect()
     assert len(got) == len(EDGE)
