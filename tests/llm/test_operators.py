@@ -272,6 +272,16 @@ def test_warc_round_trip(spark):
     assert warc.index(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_warc_columns_agree_with_sql(spark):
+    import duckdb
+
+    pages = f"(SELECT page_id, coalesce(html, '') AS html FROM read_parquet('{DATA}/pages.parquet'))"
+    first = "CASE WHEN strlen(html) >= 100 THEN min(page_id) OVER (PARTITION BY html) END"
+    want = duckdb.sql(f"SELECT page_id, strlen(html), sha256(html), CASE WHEN r <> page_id THEN 'revisit' ELSE 'response' END, nullif(r, page_id) FROM (SELECT *, {first} AS r FROM {pages})").fetchall()
+    got = warc.index(spark.read.parquet(f"{DATA}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_loser_tree():
     rnd = random.Random(4)
     for n in range(9):
