@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The folder in ``spark.checkpoint.dir``; where the session names none, a temporary one, and only on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
         atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -42,8 +44,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder."""
+    return f"{shared_dir(spark)}/ledgerloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes what this application wrote to the shared folder, once no result that reads it is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/ledgerloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -53,5 +61,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until df has no column of them, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def same(a: Column | str, b: Column | str) -> Column:
     return (F.col(a) if isinstance(a, str) else a).eqNullSafe(F.col(b) if isinstance(b, str) else b)
+
+
+#: A key is hot if it holds more than one of so many parts of all rows, so fewer keys than that can be hot.
+HOT_PARTS = 1000
+#: No key is hot below this number of rows.
+HOT_ROWS = 256
+
+
+def by_key(rows: DataFrame, side: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined to side on a key that both name, however many rows a key has; ``how`` is inner or left.
+
+    side has one row a key, with the number ``size`` of rows that hold it, of ``total`` in all. Hot keys are fewer than
+    HOT_PARTS, so that their rows of side are broadcast; all other keys hold a small part of the rows each. rows is
+    read twice.
+    """
+    least = max(HOT_ROWS, total // HOT_PARTS)
+    hot, cold = F.broadcast(side.filter(F.col(size) > least)), side.filter(F.col(size) <= least)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, how))
+
+
+#: Rows of a small table that is sent to every task.
+FEW_ROWS = 10_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, marked for a broadcast if it has FEW_ROWS rows at most; df is read for that, so it is a written one."""
+    return F.broadcast(df) if len(df.limit(FEW_ROWS + 1).select(F.lit(1)).collect()) <= FEW_ROWS else df

@@ -3,20 +3,25 @@
 1. Every document's distinct shingle hashes are dealt to ``REGISTERS`` buckets; a register keeps its bucket's
    smallest hash as a leading-zero count and ``MANTISSA`` bits after it (16 bits in all). Empty registers borrow
    another bucket's value in a fixed probing order, so that short documents can be banded too. Documents with
-   equal shingle sets (128-bit digest and size) become one class, represented by its smallest ``doc_id``.
+   equal shingle sets (128-bit sum of the shingles' hashes, and size) become one class with a number of its own; its
+   text is found again by the smallest ``doc_id`` of the class and 128 bits of hash of that row's text.
 2. Bands of ``BAND_ROWS`` registers make keys. Two sets of similarity 0.75 share one of 51 bands with
    probability 1 - 1e-6. In a bucket of up to ``PAIRS_UP_TO`` classes all pairs are candidates; in a larger one each
    class is held against the bucket's smallest, which links most groups without listing their pairs.
 3. Candidates whose collision-corrected estimate lies within four standard deviations of the threshold, or above
-   it, are confirmed on full shingle sets, read again from whole texts.
+   it, are confirmed on full shingle sets, read again from whole texts. A pair of exactly 0.75 falls below that with
+   probability 3e-5, a pair of 0.8 practically never.
 4. Large buckets that still hold several components get an exact way: they are cut into blocks, and every pair of
-   blocks is compared inside a task, by registers and then by full sets. Only links that join components are
-   returned. Nothing is capped.
+   blocks is compared inside a task, first by registers alone, then by the full sets of the classes that are left.
+   Only links that join components are returned. Nothing is capped.
+
+Keys that may be hot (band buckets, leads, copies of a set, labels) are joined by ``by_key``, so that none is one task's.
 
 Defined cases: documents without words or text have empty sets and link with nothing; with fewer than five words
-the whole sequence is the only shingle; repeated rows with one ``doc_id`` are one class and each keeps its row;
-a row with a null ``doc_id`` joins the class of equal sets, and without one its component is null; a ``doc_id``
-stands for one text; other columns are ignored by ``grouped``; an empty table gives an empty result.
+the whole sequence is the only shingle; repeated rows with one ``doc_id`` and one text are one class and each keeps its
+row; rows with one ``doc_id`` and different texts are documents of their own, each with its own links; a row with a null
+``doc_id`` joins the class of equal sets, links like any other, and without any id in its group its component is null;
+other columns are ignored by ``grouped``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, same, written
+from ledgerloom.llm.common import by_key, cut, free, written
 from ledgerloom.llm.components import components
 from ledgerloom.llm.shingles import mix, seeded, shingles
 
@@ -44,8 +49,11 @@ BLOCK = 1024
 BAND_MASK = 63
 #: Approximate expected collisions of registers that hold different minima, from the published analysis.
 _COLLIDES = 0.169919487159739093975315012348
-#: Classes without any id get numbers from here on; a doc_id is below.
-_NO_ID = 1 << 62
+#: Rows of a task's group of candidates with one first class, about.
+GROUP = 256
+
+#: Stands for a null doc_id where a class looks for its text.
+_LAST = (1 << 63) - 1
 
 
 def registers(sets: np.ndarray, at: np.ndarray, count: int = REGISTERS) -> tuple[np.ndarray, np.ndarray]:
@@ -91,8 +99,12 @@ def may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent
     return (similarity(a, b, n, m) >= p - margin) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
 
 
+def text_hash(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("wide"), text).alias("h2")]
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_key, registers) of every row; the last two are null for empty sets."""
+    """(doc_id, h1, h2, n_shingles, set_key, registers) of every row; the last two are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -105,11 +117,12 @@ def sketches(docs: DataFrame) -> DataFrame:
                 for seed in (3, 5):
                     total = np.concatenate([[np.uint64(0)], np.cumsum(seeded(sets, seed), dtype=np.uint64)])
                     sums.append(total[at[1:]] - total[at[:-1]])
-                keys = np.stack(sums, 1).astype("<u8")
+                keys = np.stack([*sums, sizes.astype(np.uint64)], 1).astype("<u8")
                 some = sizes > 0
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(sizes.astype("int64")), pa.array([k.tobytes() if s else None for k, s in zip(keys, some, strict=True)], pa.binary()), pa.array([r.tobytes() if s else None for r, s in zip(rows, some, strict=True)], pa.binary())], ["doc_id", "n_shingles", "set_key", "registers"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h1"], batch["h2"], pa.array(sizes.astype("int64")), pa.array([k.tobytes() if s else None for k, s in zip(keys, some, strict=True)], pa.binary()), pa.array([r.tobytes() if s else None for r, s in zip(rows, some, strict=True)], pa.binary())], ["doc_id", "h1", "h2", "n_shingles", "set_key", "registers"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, registers binary")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *text_hash(text)).mapInArrow(run, "doc_id long, h1 long, h2 long, n_shingles long, set_key binary, registers binary")
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -132,7 +145,7 @@ def bands(classes: DataFrame) -> DataFrame:
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b, near) of the pairs (a, b) that may be links by their registers; near is the estimate."""
+    """(a, b, near) of the written pairs (a, b) that may be links by their registers; near is the estimate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,17 +157,18 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> D
             yield pa.RecordBatch.from_arrays([batch["a"].take(keep), batch["b"].take(keep), pa.array(similarity(left, right, n, m)[keep])], ["a", "b", "near"])
 
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("registers").alias(f"r_{x}"), F.col("n").alias(f"n_{x}"))
-    return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "r_a", "r_b", "n_a", "n_b").mapInArrow(run, "a long, b long, near double")
+    firsts = side("a").join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("many")), "a")
+    with_a = by_key(pairs.select("a", "b"), firsts, "a", "many", pairs.count())
+    return with_a.join(side("b"), "b").select("a", "b", "r_a", "r_b", "n_a", "n_b").mapInArrow(run, "a long, b long, near double")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. Each b's text is moved once a pair, a's once a block of its pairs."""
-    salted = pairs.select("a", "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)))
-    few = salted.groupBy("a").agg(F.count(F.lit(1)).alias("many"))
-    salted = salted.join(few, "a").withColumn("salt", F.when(F.col("many") > 256, F.col("salt")).otherwise(0))
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The written pairs (a, b) whose full shingle sets are similar enough. Each b's text is moved once a pair, a's once a group of GROUP of its pairs."""
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("many"))
+    salted = by_key(pairs.select("a", "b"), many, "a", "many", pairs.count()).withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / GROUP)))
     wanted = salted.select(F.col("b").alias("id"), "a", "salt", F.lit(1).alias("turn")).unionAll(salted.select(F.col("a").alias("id"), "a", "salt", F.lit(0).alias("turn")).distinct())
-    texts = texts_of(docs, wanted.select("id").distinct())
-    ready = wanted.join(texts, "id").repartition("a", "salt").sortWithinPartitions("a", "salt", "turn", "id")
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+    ready = wanted.join(texts_of(docs, classes, ids), "id").repartition("a", "salt").sortWithinPartitions("a", "salt", "turn", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: np.ndarray = np.zeros(0, np.uint64)
@@ -180,36 +194,42 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Data
 def leftovers(rows: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between different components inside large buckets (key, rep): block by block, with nothing left out.
 
-    A pair that shares several buckets is met in the first of them alone. Pairs that pass the estimate are confirmed
-    on full sets inside the task, and only links that join parts of a block are returned, so fewer than its rows.
+    A pair that shares several buckets is met in the first of them alone. Registers are compared first, so that texts
+    are moved only of classes that may have such a link. Those are confirmed on full sets inside the task, and only
+    links that join parts of a block are returned, so fewer than its rows.
     """
-    at = rows.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    open_keys = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    cells = at.join(open_keys, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    at = written(rows.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled")
+    open_keys = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi").select("key", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    cells = by_key(at, open_keys, "key", "m", at.count()).withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "rep", "label")
-    side = texts_of(docs, cells.select(F.col("rep").alias("id")).distinct()).withColumnRenamed("id", "rep")
-    side = side.join(classes.select("rep", "registers", "n"), "rep")
-    cells = cells.join(side, "rep").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "rep")
+    sketch = classes.select("rep", "registers", "n")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_group(batches, ["key", "p", "q"]):
+            left = near_rows(table, percent)
+            if left.any():
+                yield from table.select(["key", "p", "q", "mine", "rep", "label"]).filter(pa.array(left)).to_batches()
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_group(batches, ["key", "p", "q"]):
             left, right = block_links(table, percent)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return cells.mapInArrow(run, "a long, b long")
+    in_cells = lambda df: df.join(sketch, "rep").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "rep")
+    near = in_cells(cells).select("key", "p", "q", "mine", "rep", "label", "registers", "n").mapInArrow(compared, "key long, p int, q int, mine int, rep long, label long")
+    near = written(near, "near")
+    texts = texts_of(docs, classes, near.select(F.col("rep").alias("id")).distinct()).withColumnRenamed("id", "rep")
+    return in_cells(near.join(texts, "rep")).mapInArrow(linked, "a long, b long")
 
 
-def block_links(table: pa.Table, percent: int) -> tuple[list[int], list[int]]:
-    """Links between different labels of a pair of blocks that join parts not joined before."""
+def pairs_of_cell(table: pa.Table, percent: int, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js): later rows js of a cell that may link with row i by their registers, of another part, met in no earlier band."""
     regs = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-    n, rep, label, mine = (table[c].to_numpy() for c in ("n", "rep", "label", "mine"))
+    n, mine = table["n"].to_numpy(), table["mine"].to_numpy()
     band, count = int(table["key"][0].as_py()) & BAND_MASK, REGISTERS // BAND_ROWS
-    sets, at = shingles(table["text"].combine_chunks(), WIDTH)
-    _, part = np.unique(label, return_inverse=True)
     across = table["p"][0] != table["q"][0]
-    left, right = [], []
-    for i in range(len(rep) - 1):
+    for i in range(len(n) - 1):
         ok = part[i + 1 :] != part[i]
         if across:
             ok &= mine[i + 1 :] != mine[i]
@@ -219,8 +239,26 @@ def block_links(table: pa.Table, percent: int) -> tuple[list[int], list[int]]:
         if len(j) and band:
             shared = (regs[j, : band * BAND_ROWS] == regs[i, : band * BAND_ROWS]).reshape(len(j), band, BAND_ROWS).all(2).any(1)
             j = j[~shared]
-        if not len(j):
-            continue
+        if len(j):
+            yield i, j
+
+
+def near_rows(table: pa.Table, percent: int) -> np.ndarray:
+    """Which rows of a cell may link with another label's."""
+    left = np.zeros(table.num_rows, bool)
+    for i, j in pairs_of_cell(table, percent, table["label"].to_numpy()):
+        left[i] = True
+        left[j] = True
+    return left
+
+
+def block_links(table: pa.Table, percent: int) -> tuple[list[int], list[int]]:
+    """Links between different labels of a pair of blocks that join parts not joined before."""
+    rep = table["rep"].to_numpy()
+    sets, at = shingles(table["text"].combine_chunks(), WIDTH)
+    _, part = np.unique(table["label"].to_numpy(), return_inverse=True)
+    left, right = [], []
+    for i, j in pairs_of_cell(table, percent, part):
         own, sizes = sets[at[i] : at[i + 1]], at[j + 1] - at[j]
         flat = np.concatenate([sets[at[x] : at[x + 1]] for x in j.tolist()])
         hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
@@ -233,10 +271,12 @@ def block_links(table: pa.Table, percent: int) -> tuple[list[int], list[int]]:
     return left, right
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the documents whose id is in ids, one row an id."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id is not null")
-    return texts.join(ids, "id", "left_semi").dropDuplicates(["id"])
+def texts_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the classes whose number is in ids, one row each: the text of the class's row of the smallest doc_id."""
+    text = F.col("text").cast("string")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("at"), *text_hash(text), text.alias("text"))
+    wanted = classes.select(F.col("rep").alias("id"), "first.*").join(ids, "id", "left_semi")
+    return texts.join(wanted, ["at", "h1", "h2"]).select("id", "text").dropDuplicates(["id"])
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -268,35 +308,56 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
 def linked_classes(classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(v, label): components of the classes that have links."""
     keyed = written(bands(classes), "bands")
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    shared = written(keyed.join(shared, "key"), "buckets")
+    many = written(keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "many")
+    shared = written(by_key(keyed, many, "key", "m", keyed.count()), "buckets")
     small = shared.filter(F.col("m") <= PAIRS_UP_TO)
     stars = shared.filter(F.col("m") > PAIRS_UP_TO).filter("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
     sets = small.groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("reps"))  # at most PAIRS_UP_TO
     sets = sets.select("reps", F.posexplode("reps").alias("i", "a")).select("a", F.explode(F.slice("reps", F.col("i") + 2, F.lit(PAIRS_UP_TO))).alias("b"))
-    candidates = cut(estimated(stars.unionAll(sets).distinct(), classes, percent))
-    links = cut(confirmed(candidates, docs, percent))
+    pairs = written(stars.unionAll(sets).distinct(), "pairs")
+    candidates = cut(estimated(pairs, classes, percent))
+    links = cut(confirmed(candidates, classes, docs, percent))
     labels = components(links)
     more = cut(leftovers(shared.filter(F.col("m") > PAIRS_UP_TO).select("key", "rep"), labels, classes, docs, percent))
     return labels if more.isEmpty() else components(links.unionAll(more))
 
 
-def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable, itself included)."""
+def classified(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The written sketches of all rows, and the written classes: set_key, copies, least (smallest doc_id), first (its row) and label, one for each group."""
     sketched = written(sketches(docs), "sketches")
-    own = F.coalesce(F.col("doc_id"), F.lit(_NO_ID) + F.xxhash64("set_key").bitwiseAND(F.lit(_NO_ID - 1)))
-    filled = sketched.filter("n_shingles > 0")
-    classes = written(filled.groupBy("set_key", F.col("n_shingles").alias("n")).agg(F.min(own).alias("rep"), F.first("registers").alias("registers")), "classes")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("at"), "h1", "h2")).alias("first")
+    classes = sketched.filter("n_shingles > 0").groupBy("set_key", F.col("n_shingles").alias("n")).agg(first, F.min("doc_id").alias("least"), F.first("registers").alias("registers"), F.count(F.lit(1)).alias("copies"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     labels = linked_classes(classes, docs, percent)
-    names = classes.select("set_key", "n", "rep").join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("set_key", "n", F.coalesce("label", "rep").alias("label"))
-    out = sketched.select("doc_id", "n_shingles", F.col("set_key").alias("k")).join(names, (F.col("k") == F.col("set_key")) & (F.col("n_shingles") == F.col("n")), "left")
-    found = F.coalesce(F.col("label"), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(found < _NO_ID, found).alias("component_id"))
+    own = classes.select("set_key", "copies", "rep", "least", "first").join(labels.withColumnRenamed("v", "rep"), "rep", "left")
+    return sketched, written(own.withColumn("label", F.coalesce("label", "rep")), "own")
+
+
+def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable, itself included)."""
+    sketched, own = classified(docs, percent)
+    names = own.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    names = by_key(own.select("label", "set_key", "copies"), names, "label", "m", own.count()).select("set_key", "copies", F.col("component_id").alias("named"))
+    out = by_key(sketched.select("doc_id", "n_shingles", "set_key"), names, "set_key", "copies", sketched.count(), "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("named")).alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents of which the group keeps one (its smallest doc_id); all columns kept. A repeated doc_id keeps one row."""
-    keep = grouped(docs, percent).filter(same("doc_id", "component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
-    keep = cut(keep.withColumnRenamed("doc_id", "__kept"))
-    out = docs.join(keep, same(docs["doc_id"], F.col("__kept"))).select(*[docs[c] for c in docs.columns])
-    return out if keep.filter("__n > 1 and __kept is not null").isEmpty() else out.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionAll(out.filter("doc_id is null"))
+    """The documents of which each group keeps one, a row of its smallest doc_id; all columns kept.
+
+    Documents without words are kept. Rows of one doc_id and one text are one document, of which any row is kept.
+    """
+    sketched, own = classified(docs, percent)
+    names = free(docs, "at", "h1", "h2")
+    keys = sketched.groupBy(F.coalesce("doc_id", F.lit(_LAST)).alias("at"), "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.first("set_key").alias("set_key"))
+    leads = own.groupBy("label").agg(F.min("first").alias("first")).select("first.*")
+    keep = keys.filter("set_key is null").unionAll(keys.join(leads, ["at", "h1", "h2"], "left_semi"))
+    # Rows without an id and without words are documents of their own.
+    keep = cut(keep.select(*[F.col(a).alias(b) for a, b in zip(("at", "h1", "h2"), names, strict=True)], ((F.col("n") > 1) & ~(F.col("set_key").isNull() & (F.col("at") == _LAST))).alias(free(docs, "many")[0])))
+    text = docs["text"].cast("string")
+    rows = docs.select("*", F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias(names[0]), *[h.alias(n) for h, n in zip(text_hash(text), names[1:], strict=True)])
+    many = F.col(free(docs, "many")[0])
+    once = rows.join(keep.filter(~many), names, "left_semi").select(*docs.columns)
+    if keep.filter(many).isEmpty():
+        return once
+    return once.unionAll(rows.join(keep.filter(many), names, "left_semi").dropDuplicates(names).select(*docs.columns))
