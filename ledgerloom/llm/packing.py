@@ -13,6 +13,7 @@ whatever their names; an empty table packs into nothing.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,6 +31,7 @@ from ledgerloom.llm.common import written
 SEQUENCE = 1024
 END_ID = 0
 #: Words kept by a worker with their ids; beyond that the store is emptied, so memory stays bounded (about 200 bytes a word).
+#: Longer words, and odd ones, are encoded each time. Either way gives the same ids.
 KEPT_WORDS = 600_000
 KEPT_LENGTH = 40
 
@@ -39,20 +41,30 @@ _RUN = re.compile(r"\s\s")
 
 
 def vocabulary_path() -> str:
-    """The public byte-level vocabulary of 50,257 ids, as ranks (the same ids as ``byte_bpe_50k.json``)."""
+    """The public byte-level vocabulary of 50,257 ids; ``.tiktoken`` beside it holds the same ids as ranks."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 class Tokenizer:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes; ids of words met before are looked up."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes; ids of words met before are looked up.
+
+    Added tokens of the vocabulary file (such as one that ends texts) are ids of their own wherever they stand in a
+    text, the leftmost first and the longest of those; what lies between them is encoded apart.
+    """
 
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f).get("added_tokens", [])
+        if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that take in their surroundings are not supported")
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+        self.find_added = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
+        with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.sizes = np.zeros(max(ranks.values()) + 1, "int64")
@@ -71,6 +83,19 @@ class Tokenizer:
         return {w: flat[a:b] for w, a, b in zip(words, [0, *cuts], cuts)}  # noqa: B905
 
     def batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        some = {i: text for i, text in enumerate(texts) if self.find_added.search(text)} if self.added else {}
+        out = self.plain(["" if i in some else text for i, text in enumerate(texts)])
+        for i, text in some.items():
+            parts, at = [], 0
+            for m in self.find_added.finditer(text):
+                parts += [self.ids(text[at : m.start()]), self.added[m[0]]]
+                at = m.end()
+            out[i] = b"".join([*parts, self.ids(text[at:])])
+        return out
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts without added tokens."""
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
         cut = [_CUT.split(text) if _RUN.search(text) else text.split(" ") for text in texts]
