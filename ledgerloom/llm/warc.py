@@ -2,8 +2,9 @@
 
 Of records with equal payloads of at least ``LEAST_BYTES`` bytes the one with the smallest ``page_id`` is a response
 and the others are revisits of it. Records are written by Spark's text writer, whose line separator is the two line
-ends that close a record, so that archives go to whatever file system the shared folder is on; a file holds at most
-``FILE_RECORDS`` records, and is read back by its records' lengths.
+ends that close a record, so that archives go to whatever file system the shared folder is on. Records are written by
+size, a class of sizes with so many records a file that no file exceeds about ``FILE_BYTES``, but for one of a single
+longer record; an archive is read back by its records' lengths.
 
 The index is an external merge. Each archive gives one capture run, sorted by URL key and timestamp inside the task
 that reads it, and runs are written. Runs are then dealt to key ranges, and each range merges its slices of the runs
@@ -12,7 +13,8 @@ key, timestamp and page, so a URL of any number of captures spreads over ranges.
 
 Defined cases: null html is the empty payload; a null ``page_id`` never revisits or is revisited before others of its
 payload that have one; rows that repeat the smallest id are all responses; a null url has the empty key; line ends in
-urls are escaped; other columns are ignored; an empty table gives an empty archive and an empty index.
+urls are escaped; other columns are ignored; an empty table gives an empty archive and an empty index. Capture times
+are in UTC whatever the session's zone, and repeat after CAPTURE_SPAN seconds, so that any page_id gives a year of four digits.
 """
 
 from __future__ import annotations
@@ -29,11 +31,16 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import fresh_path, same, written
 
 LEAST_BYTES = 100
-FILE_RECORDS = 4000
+#: Bytes of an archive at most, unless a single record is longer; and of the payload and URL of the records of each class of sizes.
+FILE_BYTES = 1 << 26
+SIZES = (1 << 14, 1 << 18, 1 << 22)
+#: What a record's header takes at most beside its URL, about.
+HEAD_BYTES = 1 << 10
 #: Captures of a key range, about.
 RANGE_ROWS = 200_000
 #: The first page's capture time (2020-01-01) and the seconds between pages, since pages have none of their own.
 FIRST_CAPTURE, CAPTURE_STEP = 1_577_836_800, 1
+CAPTURE_SPAN = 86_400 * 36_524
 
 _FIELDS = "run string, position long, url_key string, captured_at string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, offset long, length long"
 _KEY = ("url_key", "captured_at", "page_id")
@@ -58,13 +65,21 @@ def _id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
+def capture_time(page_id: Column) -> Column:
+    """The capture time of a page as text in UTC, by whole numbers alone, so that no zone of the session takes part."""
+    at = F.lit(FIRST_CAPTURE) + F.pmod(F.coalesce(page_id, F.lit(0)), F.lit(CAPTURE_SPAN // CAPTURE_STEP)) * CAPTURE_STEP
+    two = lambda c: F.lpad(c.cast("int").cast("string"), 2, "0")
+    day = F.date_from_unix_date(F.floor(at / 86_400).cast("int")).cast("string")
+    return F.concat(day, F.lit("T"), two(F.floor(at % 86_400 / 3_600)), F.lit(":"), two(F.floor(at % 3_600 / 60)), F.lit(":"), two(at % 60), F.lit("Z"))
+
+
 def records(rows: DataFrame) -> DataFrame:
     """One column of whole records, without the two line ends that close each."""
     end = "\r\n"
     revisit = F.col("record_type") == "revisit"
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{end}Content-Type: text/html; charset=utf-8{end}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(end + end))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
-    when = F.date_format(F.timestamp_seconds(F.lit(FIRST_CAPTURE) + F.coalesce("page_id", F.lit(0)) * CAPTURE_STEP), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    when = capture_time(F.col("page_id"))
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(end))
     head = F.concat(
         F.lit(f"WARC/1.1{end}"), field("WARC-Type", F.col("record_type")), field("WARC-Record-ID", _id(F.col("page_id"))), field("WARC-Date", when), field("WARC-Target-URI", F.col("url")),
@@ -77,7 +92,17 @@ def records(rows: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    records(decided(pages)).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "none").text(path)
+    """Archives of all records under a path, one folder for each class of sizes that occurs."""
+    rows = decided(pages)
+    size = F.octet_length("url") + F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0)
+    kind = sum((F.when(size > most, 1).otherwise(0) for most in SIZES), F.lit(0))
+    # Of the pages alone, whether or not they revisit: it only tells which folders may be needed.
+    longest = pages.agg(F.max(F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)).cast("long") + F.coalesce(3 * F.octet_length(F.col("url").cast("string")), F.lit(0)))).first()[0] or 0
+    for i, least in enumerate((0, *SIZES)):
+        if i and longest <= least:
+            break
+        most = max(1, FILE_BYTES // (SIZES[i] + HEAD_BYTES)) if i < len(SIZES) else 1
+        records(rows.filter(kind == i)).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).option("compression", "none").text(f"{path}/size={i}")
 
 
 def url_key(url: str) -> str:
@@ -134,7 +159,7 @@ def capture_runs(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string() if n in ("run", "url_key", "captured_at", "record_type", "payload_digest") else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
 
     schema = "path string, modificationTime timestamp, length long, content binary"
-    return spark.read.schema(schema).format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(run, _FIELDS)
+    return spark.read.schema(schema).format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).select("path", "content").mapInArrow(run, _FIELDS)
 
 
 class LoserTree:
