@@ -1,10 +1,13 @@
 """Embedding near-duplicates by p-stable hashing, with exact cosines inside the buckets.
 
-Vectors are scaled to unit length; each of ``TABLES`` tables quantises ``PROJECTIONS`` Gaussian projections in steps of
-``STEP``. Two vectors of cosine 0.9 share a table with probability 0.14, so one of 40 with 0.998, and the more alike
-the surer. Equal vectors are one class first. A bucket of more than ``BLOCK`` classes is cut into blocks and each pair
-of blocks is a cell, so no bucket is one task's; inside a cell cosines are exact, in double precision. A pair is
-counted in the first table that it shares alone, so sums need no list of pairs, and a cell returns a row a class at most.
+Vectors are scaled to unit length; each of several tables quantises several Gaussian projections in steps of ``STEP``.
+The published collision probability gives how many: with more vectors more projections, so that a vector meets about
+``CANDIDATES`` unrelated ones whatever their number, and so many tables that a pair of the wanted cosine shares one
+with probability ``RECALL`` (the more alike, the surer). Tables are bounded by ``MOST_TABLES``, about 50 million vectors
+at cosine 0.9; beyond that unrelated candidates grow slowly, recall stays. Equal vectors are one class first. A bucket of
+more than ``BLOCK`` classes is cut into blocks and each pair of blocks is a cell, so no bucket is one task's; inside a
+cell cosines are exact, in double precision. A pair is counted in the first table that it shares alone, so sums need no
+list of pairs, and a cell returns a row a class at most. Hot buckets and common vectors are joined by ``by_key``.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
 different lengths do not link; repeated rows are vectors of their own; a null ``vec_id`` counts as a link of others
@@ -13,6 +16,7 @@ and has no component of its own unless linked to an id; other columns are ignore
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,24 +25,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, written
+from ledgerloom.llm.common import by_key, cut, written
 from ledgerloom.llm.components import components
 from ledgerloom.llm.shingles import seeded
 
 COSINE = 0.9
-TABLES = 40
-PROJECTIONS = 10
+#: Probability that a pair of the wanted cosine is found.
+RECALL = 0.995
+#: Unrelated vectors that a vector is compared with, about, over all tables.
+CANDIDATES = 256
+MOST_TABLES = 512
 STEP = 2.0
 BLOCK = 1024
 SEED = 29
-_TABLE_MASK = 63
+_TABLE_MASK = 1023
 _NO_ID = 1 << 62
 
 
+def collides(distance: float) -> float:
+    """Probability that a quantised projection of two vectors at a distance is the same."""
+    t = STEP / distance
+    return math.erf(t / math.sqrt(2)) - math.sqrt(2 / math.pi) / t * -math.expm1(-t * t / 2)
+
+
+def plan(n: int, cosine: float = COSINE) -> tuple[int, int]:
+    """Tables, and projections of each, for n vectors: unrelated ones are at right angles."""
+    near, far = collides(math.sqrt(max(1e-9, 2 - 2 * cosine))), collides(math.sqrt(2))
+    found = (1, 1)
+    for k in range(1, 64):
+        tables = math.ceil(math.log(1 - RECALL) / math.log1p(-(near**k)))
+        if tables > MOST_TABLES and k > 1:
+            break
+        found = (tables, k)
+        if n * far**k * tables <= CANDIDATES:
+            break
+    return found
+
+
 @lru_cache(8)
-def planes(dim: int) -> tuple[np.ndarray, np.ndarray]:
+def planes(dim: int, tables: int, projections: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([SEED, dim])
-    return rng.standard_normal((dim, TABLES * PROJECTIONS)), rng.uniform(0, STEP, TABLES * PROJECTIONS)
+    return rng.standard_normal((dim, tables * projections)), rng.uniform(0, STEP, tables * projections)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -46,14 +73,14 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def keys(u: np.ndarray) -> np.ndarray:
-    """(vectors x TABLES) bucket numbers; the table can be told from the low bits."""
-    a, b = planes(u.shape[1])
-    q = np.floor((u @ a + b) / STEP).astype(np.int64).astype(np.uint64).reshape(len(u), TABLES, PROJECTIONS)
-    key = np.broadcast_to(seeded(np.arange(TABLES, dtype=np.uint64), u.shape[1]), q.shape[:2])
-    for i in range(PROJECTIONS):
+def keys(u: np.ndarray, tables: int, projections: int) -> np.ndarray:
+    """(vectors x tables) bucket numbers; the table can be told from the low bits."""
+    a, b = planes(u.shape[1], tables, projections)
+    q = np.floor((u @ a + b) / STEP).astype(np.int64).astype(np.uint64).reshape(len(u), tables, projections)
+    key = np.broadcast_to(seeded(np.arange(tables, dtype=np.uint64), u.shape[1]), q.shape[:2])
+    for i in range(projections):
         key = seeded(key ^ q[:, :, i], 31 + i)
-    return (key & ~np.uint64(_TABLE_MASK)) | np.arange(TABLES, dtype=np.uint64)
+    return (key & ~np.uint64(_TABLE_MASK)) | np.arange(tables, dtype=np.uint64)
 
 
 def rows_of(column: pa.Array) -> list[np.ndarray]:
@@ -65,21 +92,21 @@ def rows_of(column: pa.Array) -> list[np.ndarray]:
     return [flat[at[a] : at[b]].reshape(b - a, dims[a]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
 
 
-def buckets(classes: DataFrame) -> DataFrame:
+def buckets(classes: DataFrame, tables: int, projections: int) -> DataFrame:
     """(key, rep): one row per table of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lo = 0
             for x in rows_of(batch["vec"]):
-                found = keys(unit(x))
-                yield pa.RecordBatch.from_arrays([pa.array(found.ravel().view(np.int64)), pa.array(np.repeat(batch["rep"].to_numpy()[lo : lo + len(x)], TABLES))], ["key", "rep"])
+                found = keys(unit(x), tables, projections)
+                yield pa.RecordBatch.from_arrays([pa.array(found.ravel().view(np.int64)), pa.array(np.repeat(batch["rep"].to_numpy()[lo : lo + len(x)], tables))], ["key", "rep"])
                 lo += len(x)
 
     return classes.select("rep", "vec").mapInArrow(run, "key long, rep long")
 
 
-def cell_links(table: int, rep: np.ndarray, w: np.ndarray, mine: np.ndarray, across: bool, x: np.ndarray, cosine: float) -> tuple[np.ndarray, ...] | None:
+def cell_links(table: int, rep: np.ndarray, w: np.ndarray, mine: np.ndarray, across: bool, x: np.ndarray, cosine: float, shape: tuple[int, int]) -> tuple[np.ndarray, ...] | None:
     """(rep, links, label) of a cell's classes that have links: counts of pairs first met in this table, and a member they join."""
     u = unit(x)
     near = u @ u.T >= cosine
@@ -92,7 +119,7 @@ def cell_links(table: int, rep: np.ndarray, w: np.ndarray, mine: np.ndarray, acr
     near, rep, w = near[np.ix_(some, some)], rep[some], w[some]
     first = near
     if table:
-        own, first = keys(u[some])[:, :table], near.copy()
+        own, first = keys(u[some], *shape)[:, :table], near.copy()
         for t in range(table):
             first &= own[:, t][:, None] != own[:, t][None, :]
     label, last = rep.copy(), None
@@ -104,9 +131,10 @@ def cell_links(table: int, rep: np.ndarray, w: np.ndarray, mine: np.ndarray, acr
 
 def linked(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(rep, links, label): partial sums of links, and joins, of classes that link with others."""
-    hashed = written(buckets(classes), "buckets")
-    shared = hashed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    cells = hashed.join(shared, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    shape = plan(classes.count(), cosine)
+    hashed = written(buckets(classes, *shape), "buckets")
+    shared = hashed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    cells = by_key(hashed, shared, "key", "m", hashed.count()).withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "rep")
     cells = cells.join(classes.select("rep", "w", "vec"), "rep").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
@@ -132,7 +160,7 @@ def linked(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
             for a, b in zip(cuts[:last], cuts[1 : last + 1], strict=True):
                 if b - a > 1:
                     x = flat[at[a] : at[b]].astype("f8").reshape(b - a, -1)
-                    found.append(cell_links(int(key[a]) & _TABLE_MASK, rep[a:b], w[a:b], mine[a:b], bool(p[a] != q[a]), x, cosine))
+                    found.append(cell_links(int(key[a]) & _TABLE_MASK, rep[a:b], w[a:b], mine[a:b], bool(p[a] != q[a]), x, cosine, shape))
             found = [f for f in found if f is not None]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found]).astype("int64")) for i in range(3)], ["rep", "links", "label"])
@@ -152,7 +180,7 @@ def grouped(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     labels = cut(components(parts.filter("rep != label").select(F.col("rep").alias("a"), F.col("label").alias("b"))))
     sums = parts.groupBy("rep").agg(F.sum("links").alias("links"))
     out = classes.join(sums, "rep", "left").join(labels.withColumnRenamed("v", "rep"), "rep", "left")
-    out = out.select(F.col("vec").alias("of"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("label", "rep").alias("label"))
-    found = rows.join(out, e == F.col("of"), "left")
+    out = out.select("vec", "w", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("label", "rep").alias("label"))
+    found = by_key(rows, out, "vec", "w", rows.count(), "left")
     label = F.coalesce("label", "vec_id")
     return found.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(label < _NO_ID, label).alias("component_id"))
