@@ -5,9 +5,15 @@ trimmed) and digested by two chained 64-bit xxhash values with different seeds:
 grouped by that digest; inside a digest's bucket the canonical bytes themselves are compared, and texts that
 differ there get a numbered suffix, so that equal fingerprints mean equal canonical bytes.
 
+Digests are counted first, so that texts are only shuffled where a digest occurs more than once, and copies fold
+before that. The next document by id is found inside blocks of the order of ids: a block starts at a row of a sample of
+the order, whose bounds are broadcast as one row, and the row that a block starts at is also sent to the block before
+it. So one shuffle moves every text once, and no window holds more than a block.
+
 Defined cases: a null text is the empty text; repeated rows share a fingerprint and each keeps its row; rows
-with a null ``doc_id`` are kept and come last; other columns are ignored, whatever their names; an empty table
-gives an empty result; a table of one row is its own next document.
+with a null ``doc_id`` are kept and come last; rows of one ``doc_id`` follow each other in the order of a hash of their
+texts; other columns are ignored, whatever their names; an empty table gives an empty result; a table of one row is its
+own next document.
 """
 
 from __future__ import annotations
@@ -15,12 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, same
+from ledgerloom.llm.common import cut, few
 
-#: Rows of a block of the id order: a window holds one block, never the table.
+#: Rows of a block of the id order, about: a window holds one block, never the table.
 BLOCK_ROWS = 1000
-#: Most blocks, since their bounds go to all executors (8 bytes each, 160 kB in all).
-MAX_BLOCKS = 20_000
+#: Blocks at most, about, since their bounds go to all executors (some 24 bytes each); blocks are larger beyond.
+MAX_BLOCKS = 100_000
 
 
 def canonical(text: Column) -> Column:
@@ -42,9 +48,13 @@ def digest(canon: Column) -> Column:
 def collisions(docs: DataFrame, digest_of=digest) -> DataFrame:
     """(digest, canon, ordinal) of the digests that more than one canonical text has, ordinals from 0.
 
-    Copies fold before the shuffle, so that a group of any size is one row of each task.
+    Digests that occur once are left out first, so their texts are never shuffled. Copies fold before the shuffle, so
+    that a group of any size is one row of each task.
     """
-    texts = docs.select(canonical(F.col("text")).alias("canon")).select(digest_of(F.col("canon")).alias("digest"), "canon").distinct()
+    # Folded once: what follows refers to the folded column, which is not inlined.
+    texts = docs.select(canonical(F.col("text")).alias("canon")).select(digest_of(F.col("canon")).alias("digest"), "canon")
+    often = cut(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    texts = texts.join(few(often.select("digest")), "digest", "left_semi").distinct()
     shared = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
     ordinal = F.row_number().over(Window.partitionBy("digest").orderBy("canon")) - 1
     return texts.join(shared, "digest").withColumn("ordinal", ordinal)
@@ -52,47 +62,49 @@ def collisions(docs: DataFrame, digest_of=digest) -> DataFrame:
 
 def fingerprints(docs: DataFrame, digest_of=digest) -> DataFrame:
     """(doc_id, text, fingerprint): the digest, with the ordinal of the text where a digest has several."""
-    canon = canonical(F.col("text"))
-    out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("fingerprint", digest_of(canon))
+    out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), canonical(F.col("text")).alias("_canon"))
+    out = out.select("doc_id", "text", "_canon", digest_of(F.col("_canon")).alias("fingerprint"))
     clash = cut(collisions(docs, digest_of))
     if clash.isEmpty():
-        return out
+        return out.drop("_canon")
     clash = clash.filter("ordinal > 0").withColumnsRenamed({"digest": "fingerprint", "canon": "_canon"})
-    joined = out.withColumn("_canon", canon).join(clash, ["fingerprint", "_canon"], "left")
+    joined = out.join(clash, ["fingerprint", "_canon"], "left")
     suffix = F.when(F.col("ordinal").isNull(), F.lit("")).otherwise(F.concat(F.lit("-"), F.col("ordinal").cast("string")))
     return joined.select("doc_id", "text", F.concat("fingerprint", suffix).alias("fingerprint"))
 
 
-def bounds(docs: DataFrame) -> list[int]:
-    """Ids that cut the id order into blocks of about BLOCK_ROWS rows, fewer than MAX_BLOCKS of them."""
-    n = docs.agg(F.count("doc_id")).first()[0]
-    blocks = min(MAX_BLOCKS, n // BLOCK_ROWS)
-    if blocks < 2:
-        return []
-    found = docs.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 10 * blocks)).first()[0]
-    return sorted(set(found))
+def place(doc_id: Column, text: Column) -> Column:
+    """The greater, the later: descending ids, null last, then a hash of the text."""
+    return F.struct(doc_id.isNull().alias("last"), F.coalesce(F.bitwise_not(doc_id.cast("long")), F.lit(0).cast("long")).alias("down"), F.xxhash64(text).alias("tie"))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Adds next_text and next_fingerprint, of the next row in descending doc_id (after the last: the first).
+def bounds(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row: the places at which blocks start, in order, as groups (fine) and each group's first (coarse); every ``each`` make a group.
 
-    Blocks of ids hold the order together: each block also gets a copy of the row that follows its last one,
-    so that one shuffle moves every text once and no window is larger than a block.
+    The first place of all is one of them, the others are a sample by hash of about a row in block_rows.
     """
-    cuts = bounds(docs.select("doc_id"))
-    block = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c >= F.col("doc_id"))) if cuts else F.lit(0)
-    placed = docs.withColumn("block", F.coalesce(F.when(F.col("doc_id").isNull(), F.lit(len(cuts))), block)).withColumn("follows", F.lit(False))
-    first = F.broadcast(placed.groupBy("block").agg(F.max("doc_id").alias("top")).withColumnRenamed("block", "of"))  # a row for each block
-    order = [F.col("doc_id").desc_nulls_last(), F.col("fingerprint"), F.col("text")]
-    heads = placed.join(first, (F.col("block") == F.col("of")) & same("doc_id", "top")).withColumn("nth", F.row_number().over(Window.partitionBy("block").orderBy(*order))).filter("nth = 1")
-    blocks = [r[0] for r in first.select("of").orderBy("of").collect()]  # fewer than MAX_BLOCKS
-    if not blocks:
-        return docs.withColumns({"next_text": F.col("text"), "next_fingerprint": F.col("fingerprint")})
-    before = F.element_at(F.create_map(*[F.lit(x) for b, a in zip(blocks, blocks[-1:] + blocks[:-1], strict=True) for x in (b, a)]), F.col("block"))
-    heads = heads.select("doc_id", "text", "fingerprint", before.alias("block"), F.lit(True).alias("follows"))
-    w = Window.partitionBy("block").orderBy("follows", *order)
-    both = placed.select(heads.columns).unionAll(heads).withColumns({"next_text": F.lead("text").over(w), "next_fingerprint": F.lead("fingerprint").over(w)})
-    return both.filter(~F.col("follows")).drop("block", "follows")
+    every = max(block_rows, docs.count() // MAX_BLOCKS)
+    at = docs.select(place(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("at"))
+    sample = at.filter(F.pmod(F.xxhash64("at", F.lit(41)), F.lit(every)) == 0).unionAll(at.agg(F.min("at").alias("at")).filter("at is not null"))
+    found = sample.agg(F.sort_array(F.collect_set("at")).alias("b")).withColumn("each", F.greatest(F.ceil(F.sqrt(F.size("b"))), F.lit(1)).cast("int"))
+    starts = F.when(F.size("b") > 0, F.sequence(F.lit(0), F.size("b") - 1, F.col("each"))).otherwise(F.array().cast("array<int>"))
+    return found.select("each", F.size("b").alias("blocks"), F.transform(starts, lambda i: F.get("b", i)).alias("coarse"), F.transform(starts, lambda i: F.slice("b", i + 1, F.col("each"))).alias("fine"))
+
+
+def with_next(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """docs (doc_id, text, fingerprint) with next_text and next_fingerprint, of the next row in descending doc_id (after the last: the first)."""
+    placed = docs.withColumn("at", place(F.col("doc_id"), F.col("text"))).crossJoin(F.broadcast(cut(bounds(docs.select("doc_id", "text"), block_rows))))  # one row
+    upto = lambda places: F.size(F.filter(places, lambda b: b <= F.col("at")))
+    placed = placed.withColumn("group", upto(F.col("coarse")) - 1)
+    placed = placed.withColumn("inside", upto(F.get("fine", F.col("group")))).withColumn("block", F.col("group") * F.col("each") + F.col("inside"))
+    start = F.get(F.get("fine", F.col("group")), F.col("inside") - 1)
+    before = F.when(F.col("block") > 1, F.col("block") - 1).otherwise(F.col("blocks"))
+    own = F.struct(F.col("block"), F.lit(False).alias("follows"))
+    copies = F.when(F.col("at") == start, F.array(own, F.struct(before.alias("block"), F.lit(True).alias("follows")))).otherwise(F.array(own))
+    both = placed.select("doc_id", "text", "fingerprint", "at", F.explode(copies).alias("to")).select("doc_id", "text", "fingerprint", "at", "to.*")
+    w = Window.partitionBy("block").orderBy("follows", "at")
+    both = both.withColumns({"next_text": F.lead("text").over(w), "next_fingerprint": F.lead("fingerprint").over(w)})
+    return both.filter(~F.col("follows")).drop("block", "follows", "at")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -101,10 +113,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     half = F.floor(F.col("n_chars") / 2).cast("int")
     keep = F.col("n_chars").cast("int") - half
     df = df.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), keep), F.substring(F.col("next_text"), F.lit(1), half)))
-    df = df.withColumn("edited_fingerprint", digest(canonical(F.col("edited"))))
+    df = df.withColumn("edited_canon", canonical(F.col("edited"))).withColumn("edited_fingerprint", digest(F.col("edited_canon")))
     own = F.substring("fingerprint", 1, 32)
     # An edited text is in no bucket: it is held against its own document byte by byte where the digests agree.
-    like = F.when(own == F.col("edited_fingerprint"), F.when(canonical(F.col("text")) == canonical(F.col("edited")), 1.0).otherwise(0.0)).otherwise(0.0)
+    like = F.when(own == F.col("edited_fingerprint"), F.when(canonical(F.col("text")) == F.col("edited_canon"), 1.0).otherwise(0.0)).otherwise(0.0)
     return df.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         like.alias("near_edited"), F.when(F.col("fingerprint") == F.col("next_fingerprint"), 1.0).otherwise(0.0).alias("near_next"),
