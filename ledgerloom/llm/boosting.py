@@ -60,7 +60,7 @@ class Boosted:
         return sum((self.rate * _leaves(t, x) for t in self.trees), np.zeros(len(x)))
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        aside = np.arange(len(x)) % 4 == 3
+        aside = np.arange(len(x)) % 3 == 2
         own, want = x[~aside], y[~aside]
         score = np.zeros(len(own))
         for _ in range(self.size):
