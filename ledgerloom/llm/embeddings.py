@@ -73,14 +73,16 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def keys(u: np.ndarray, tables: int, projections: int) -> np.ndarray:
-    """(vectors x tables) bucket numbers; the table can be told from the low bits."""
-    a, b = planes(u.shape[1], tables, projections)
-    q = np.floor((u @ a + b) / STEP).astype(np.int64).astype(np.uint64).reshape(len(u), tables, projections)
-    key = np.broadcast_to(seeded(np.arange(tables, dtype=np.uint64), u.shape[1]), q.shape[:2])
+def keys(u: np.ndarray, tables: int, projections: int, lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """(vectors x tables) bucket numbers, of tables lo to hi alone; the table can be told from the low bits."""
+    hi = tables if hi is None else hi
+    a, b = (p[..., lo * projections : hi * projections] for p in planes(u.shape[1], tables, projections))
+    q = np.floor((u @ a + b) / STEP).astype(np.int64).astype(np.uint64).reshape(len(u), hi - lo, projections)
+    number = np.arange(lo, hi, dtype=np.uint64)
+    key = np.broadcast_to(seeded(number, u.shape[1]), q.shape[:2])
     for i in range(projections):
         key = seeded(key ^ q[:, :, i], 31 + i)
-    return (key & ~np.uint64(_TABLE_MASK)) | np.arange(tables, dtype=np.uint64)
+    return (key & ~np.uint64(_TABLE_MASK)) | number
 
 
 def rows_of(column: pa.Array) -> list[np.ndarray]:
@@ -117,11 +119,13 @@ def cell_links(table: int, rep: np.ndarray, w: np.ndarray, mine: np.ndarray, acr
     if not len(some):
         return None
     near, rep, w = near[np.ix_(some, some)], rep[some], w[some]
-    first = near
-    if table:
-        own, first = keys(u[some], *shape)[:, :table], near.copy()
-        for t in range(table):
+    first = near.copy()
+    for lo in range(0, table, 2):  # most pairs of near copies share one of the first tables
+        own = keys(u[some], *shape, lo, min(lo + 2, table))
+        for t in range(own.shape[1]):
             first &= own[:, t][:, None] != own[:, t][None, :]
+        if not first.any():
+            break
     label, last = rep.copy(), None
     while last is None or (label != last).any():
         last = label
