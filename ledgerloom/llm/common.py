@@ -100,3 +100,24 @@ FEW_ROWS = 10_000
 def few(df: DataFrame) -> DataFrame:
     """df, marked for a broadcast if it has FEW_ROWS rows at most; df is read for that, so it is a written one."""
     return F.broadcast(df) if len(df.limit(FEW_ROWS + 1).select(F.lit(1)).collect()) <= FEW_ROWS else df
+
+
+#: Bits of a map of marked hashes: 8 MB whatever is marked. Where it is full more rows pass than need be, none is lost.
+MARK_BITS = 1 << 26
+_PAGE = 32_768
+
+
+def marks(hashes: DataFrame) -> DataFrame:
+    """(page, marks): a bitmap of the 64-bit hashes in the only column, for a broadcast."""
+    at = F.pmod(F.col(hashes.columns[0]), F.lit(MARK_BITS))
+    own = hashes.select(at.alias("bit")).groupBy(F.floor(F.col("bit") / _PAGE).alias("page")).agg(F.bitmap_construct_agg(F.col("bit") % _PAGE).alias("marks"))
+    return cut(own)  # MARK_BITS / _PAGE rows at most
+
+
+def marked(df: DataFrame, hashed: Column, bitmap: DataFrame, name: str) -> DataFrame:
+    """df with a boolean column: whether the bitmap has the mark of a row's hash, as it has of all marked ones and of a few others."""
+    page, bits = free(df, "page", "marks")
+    at = F.pmod(hashed, F.lit(MARK_BITS))
+    out = df.join(F.broadcast(bitmap.toDF(page, bits)), F.floor(at / _PAGE) == F.col(page), "left")
+    byte = F.conv(F.hex(F.substring(bits, F.floor(at % _PAGE / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return out.withColumn(name, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop(page, bits)

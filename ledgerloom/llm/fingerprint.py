@@ -21,12 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut
+from ledgerloom.llm.common import cut, marked, marks
 
 #: Rows of a block of the id order, about: a window holds one block, never the table.
 BLOCK_ROWS = 1000
-#: Bits of the map of repeated digests, 8 MB; where it is full, more texts are shuffled than need be.
-BITS = 1 << 26
 #: Blocks at most, about, since their bounds go to all executors (some 24 bytes each); blocks are larger beyond.
 MAX_BLOCKS = 100_000
 
@@ -47,25 +45,17 @@ def digest(canon: Column) -> Column:
     return F.lower(F.concat(*[F.lpad(F.hex(x), 16, "0") for x in halves]))
 
 
-def bit(digest_: Column) -> Column:
-    return F.pmod(F.xxhash64(digest_), F.lit(BITS))
-
-
 def collisions(docs: DataFrame, digest_of=digest) -> DataFrame:
     """(digest, canon, ordinal) of the digests that more than one canonical text has, ordinals from 0.
 
-    Digests that occur more than once mark a bitmap of BITS bits, which is broadcast; texts of other digests, but for a
+    Digests that occur more than once mark a bitmap of a fixed size, which is broadcast; texts of other digests, but for a
     few that share a bit, are never shuffled. Copies fold before the shuffle, so that a group of any size is one row of
     each task.
     """
     # Folded once: what follows refers to the folded column, which is not inlined.
     texts = docs.select(canonical(F.col("text")).alias("canon")).select(digest_of(F.col("canon")).alias("digest"), "canon")
-    often = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(bit(F.col("digest")).alias("bit"))
-    marks = often.groupBy(F.floor(F.col("bit") / 32_768).alias("page")).agg(F.bitmap_construct_agg(F.col("bit") % 32_768).alias("marks"))
-    at = bit(F.col("digest"))
-    texts = texts.join(F.broadcast(cut(marks)), F.floor(at / 32_768) == F.col("page"))  # BITS / 8 bytes at most
-    byte = F.conv(F.hex(F.substring("marks", F.floor(at % 32_768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    texts = texts.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select("digest", "canon").distinct()
+    often = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.xxhash64("digest"))
+    texts = marked(texts, F.xxhash64("digest"), marks(often), "often").filter("often").select("digest", "canon").distinct()
     shared = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
     ordinal = F.row_number().over(Window.partitionBy("digest").orderBy("canon")) - 1
     return texts.join(shared, "digest").withColumn("ordinal", ordinal)

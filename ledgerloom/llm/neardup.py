@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import by_key, cut, free, written
+from ledgerloom.llm.common import by_key, cut, free, marked, marks, written
 from ledgerloom.llm.components import components
 from ledgerloom.llm.shingles import mix, seeded, shingles
 
@@ -99,6 +99,10 @@ def may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent
     return (similarity(a, b, n, m) >= p - margin) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
 
 
+#: What tells a row's document from others: its id and two hashes of its text.
+ROW = ["at", "h1", "h2"]
+
+
 def text_hash(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("wide"), text).alias("h2")]
 
@@ -198,9 +202,9 @@ def leftovers(rows: DataFrame, labels: DataFrame, classes: DataFrame, docs: Data
     are moved only of classes that may have such a link. Those are confirmed on full sets inside the task, and only
     links that join parts of a block are returned, so fewer than its rows.
     """
-    at = written(rows.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled")
+    at = rows.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     open_keys = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi").select("key", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    cells = by_key(at, open_keys, "key", "m", at.count()).withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    cells = by_key(at, open_keys, "key", "m", rows.count()).withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "rep", "label")
     sketch = classes.select("rep", "registers", "n")
@@ -275,8 +279,10 @@ def texts_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, text) of the classes whose number is in ids, one row each: the text of the class's row of the smallest doc_id."""
     text = F.col("text").cast("string")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("at"), *text_hash(text), text.alias("text"))
-    wanted = classes.select(F.col("rep").alias("id"), "first.*").join(ids, "id", "left_semi")
-    return texts.join(wanted, ["at", "h1", "h2"]).select("id", "text").dropDuplicates(["id"])
+    wanted = cut(classes.select(F.col("rep").alias("id"), "first.*").join(ids, "id", "left_semi"))
+    # Texts of other rows are left out by a bitmap before the shuffle.
+    texts = marked(texts, F.xxhash64(*ROW), marks(wanted.select(F.xxhash64(*ROW))), "wanted").filter("wanted")
+    return texts.select(*ROW, "text").join(wanted, ROW).select("id", "text").dropDuplicates(["id"])
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -307,9 +313,9 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
 
 def linked_classes(classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(v, label): components of the classes that have links."""
-    keyed = written(bands(classes), "bands")
+    keyed = bands(classes)
     many = written(keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "many")
-    shared = written(by_key(keyed, many, "key", "m", keyed.count()), "buckets")
+    shared = written(by_key(keyed, many, "key", "m", classes.count() * (REGISTERS // BAND_ROWS)), "buckets")
     small = shared.filter(F.col("m") <= PAIRS_UP_TO)
     stars = shared.filter(F.col("m") > PAIRS_UP_TO).filter("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
     sets = small.groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("reps"))  # at most PAIRS_UP_TO
@@ -348,16 +354,21 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Documents without words are kept. Rows of one doc_id and one text are one document, of which any row is kept.
     """
     sketched, own = classified(docs, percent)
-    names = free(docs, "at", "h1", "h2")
     keys = sketched.groupBy(F.coalesce("doc_id", F.lit(_LAST)).alias("at"), "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.first("set_key").alias("set_key"))
-    leads = own.groupBy("label").agg(F.min("first").alias("first")).select("first.*")
-    keep = keys.filter("set_key is null").unionAll(keys.join(leads, ["at", "h1", "h2"], "left_semi"))
+    leads = own.groupBy("label").agg(F.min("first").alias("first")).select("first.*", F.lit(True).alias("lead"))
+    keys = keys.join(leads, ROW, "left")
+    kept = F.col("set_key").isNull() | F.coalesce("lead", F.lit(False))
     # Rows without an id and without words are documents of their own.
-    keep = cut(keep.select(*[F.col(a).alias(b) for a, b in zip(("at", "h1", "h2"), names, strict=True)], ((F.col("n") > 1) & ~(F.col("set_key").isNull() & (F.col("at") == _LAST))).alias(free(docs, "many")[0])))
-    text = docs["text"].cast("string")
-    rows = docs.select("*", F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias(names[0]), *[h.alias(n) for h, n in zip(text_hash(text), names[1:], strict=True)])
-    many = F.col(free(docs, "many")[0])
-    once = rows.join(keep.filter(~many), names, "left_semi").select(*docs.columns)
-    if keep.filter(many).isEmpty():
-        return once
-    return once.unionAll(rows.join(keep.filter(many), names, "left_semi").dropDuplicates(names).select(*docs.columns))
+    many = (F.col("n") > 1) & ~(F.col("set_key").isNull() & (F.col("at") == _LAST))
+    unsure = cut(keys.select(*ROW, kept.alias("kept"), many.alias("many")).filter("not kept or many"))
+    names = free(docs, *ROW)
+    open_, = free(docs, "open")
+    rows = docs.select("*", F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias(names[0]), *[h.alias(n) for h, n in zip(text_hash(docs["text"].cast("string")), names[1:], strict=True)])
+    # Most documents are kept, and a bitmap tells so: only the others, and a few more, are shuffled.
+    rows = marked(rows, F.xxhash64(*names), marks(unsure.select(F.xxhash64(*ROW))), open_)
+    unsure = unsure.withColumnsRenamed(dict(zip(ROW, names, strict=True)))
+    maybe = rows.filter(open_)
+    out = rows.filter(~F.col(open_)).select(*docs.columns).unionAll(maybe.join(unsure.select(*names), names, "left_anti").select(*docs.columns))
+    if (several := unsure.filter("kept and many")).isEmpty():
+        return out
+    return out.unionAll(maybe.join(several.select(*names), names, "left_semi").dropDuplicates(names).select(*docs.columns))
