@@ -6,9 +6,12 @@ blocks and their commands, ``customer`` and ``supplier`` for accounts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import amounts, codecs
 from ledgerloom.plans import chain, counters, ledger
 from ledgerloom.plans.predicates import listing, predicate
 
@@ -112,8 +115,9 @@ def latest_per_account(spark, sf_dir):
 
 @query("SELECT event_id, user_id, sum(CAST(round(value * 100) AS BIGINT)) OVER w::BIGINT AS total, max(value) OVER w AS most, min(value) OVER w AS least, row_number() OVER w AS nth FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def running_fees(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return _t(spark, sf_dir, "events").select("event_id", "user_id", F.sum(_cents("value")).over(w).alias("total"), F.max("value").over(w).alias("most"), F.min("value").over(w).alias("least"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("nth"))
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts", _cents("value").alias("cents"), "value")
+    out = ledger.running(e, ["user_id"], F.to_date("ts"), ["ts", "event_id"], {"total": F.col("cents")}, {"most": F.col("value")}, {"least": F.col("value")})
+    return out.select("event_id", "user_id", "total", "most", "least", "nth")
 
 
 @query("WITH d AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END * CAST(round(value * 100) AS BIGINT) AS d FROM events), s AS (SELECT user_id, d, sum(d) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM d) SELECT user_id, (sum(d) - least(min(s), 0))::BIGINT AS balance FROM s GROUP BY 1")
@@ -122,51 +126,30 @@ def saturating_fold(spark, sf_dir):
     return ledger.saturating_balance(_t(spark, sf_dir, "events"), ["user_id"], "event_id", delta, block=1024)
 
 
-_FORKS = "SELECT event_id AS id, CASE WHEN event_id % 7 = 3 THEN event_id - 2 ELSE event_id - 1 END AS parent, event_id // 2 AS height, value FROM events WHERE event_id < 600"
-
-
-def _blocks(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    e = _t(spark, sf_dir, "events")
-    e = e if whole else e.filter("event_id < 600")
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     parent = F.when(F.col("event_id") % 7 == 3, F.col("event_id") - 2).otherwise(F.col("event_id") - 1)
-    return e.select(F.col("event_id").alias("state_hash"), parent.alias("parent_hash"), F.floor(F.col("event_id") / 2).alias("height"), F.col("value").alias("vrf"))
-
-
-@query(f"WITH RECURSIVE b AS ({_FORKS}), a AS (SELECT id, parent FROM b WHERE id = (SELECT id FROM b ORDER BY height DESC, value DESC, id DESC LIMIT 1) UNION ALL SELECT b.id, b.parent FROM b JOIN a ON b.id = a.parent) SELECT b.id AS state_hash, b.height, CASE WHEN a.id IS NOT NULL THEN 'Canonical' ELSE 'Orphaned' END AS canonicity FROM b LEFT JOIN a ON a.id = b.id")
-def ancestor_walk(spark, sf_dir):
-    return chain.canonicity(_blocks(spark, sf_dir)).select("state_hash", "height", "canonicity")
-
-
-@query(f"WITH b AS ({_FORKS}) SELECT id AS state_hash, height FROM b ORDER BY height DESC, value DESC, id DESC LIMIT 1")
-def fork_choice(spark, sf_dir):
-    return chain.best_block(_blocks(spark, sf_dir)).select("state_hash", "height")
-
+    return _t(spark, sf_dir, "events").select(F.col("event_id").alias("state_hash"), parent.alias("parent_hash"), F.floor(F.col("event_id") / 2).alias("height"), F.col("value").alias("vrf"))
 
-@query(f"WITH RECURSIVE b AS ({_FORKS}), o AS (SELECT id, parent FROM b WHERE id = 590 UNION ALL SELECT b.id, b.parent FROM b JOIN o ON b.id = o.parent), n AS (SELECT id, parent FROM b WHERE id = 597 UNION ALL SELECT b.id, b.parent FROM b JOIN n ON b.id = n.parent) SELECT id AS state_hash, 'unapply' AS change FROM o WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT id, 'apply' FROM n WHERE id NOT IN (SELECT id FROM o)")
-def reorganisation(spark, sf_dir):
-    b = _blocks(spark, sf_dir)
-    return chain.reorganisation(b, b.filter("state_hash = 590"), b.filter("state_hash = 597")).select("state_hash", "change")
 
-
-# The three queries above keep the first 600 events, as their SQL does; the next three take every event.
 _TREE = "SELECT event_id AS id, CASE WHEN event_id % 7 = 3 THEN event_id - 2 ELSE event_id - 1 END AS parent, event_id // 2 AS height, value FROM events"
 _BEST = "ORDER BY height DESC, value DESC, id DESC LIMIT 1"
 
 
 @query(f"WITH RECURSIVE b AS MATERIALIZED ({_TREE}), a AS (SELECT id, parent FROM b WHERE id = (SELECT id FROM b {_BEST}) UNION ALL SELECT b.id, b.parent FROM b JOIN a ON b.id = a.parent) SELECT b.id AS state_hash, b.height, CASE WHEN a.id IS NOT NULL THEN 'Canonical' ELSE 'Orphaned' END AS canonicity FROM b LEFT JOIN a ON a.id = b.id")
-def ancestor_walk_whole(spark, sf_dir):
-    return chain.canonicity(_blocks(spark, sf_dir, whole=True)).select("state_hash", "height", "canonicity")
+def ancestor_walk(spark, sf_dir):
+    return chain.canonicity(_blocks(spark, sf_dir)).select("state_hash", "height", "canonicity")
 
 
 @query(f"WITH b AS ({_TREE}) SELECT id AS state_hash, height FROM b {_BEST}")
-def fork_choice_whole(spark, sf_dir):
-    return chain.best_block(_blocks(spark, sf_dir, whole=True)).select("state_hash", "height")
+def fork_choice(spark, sf_dir):
+    return chain.best_block(_blocks(spark, sf_dir)).select("state_hash", "height")
 
 
 @query(f"WITH RECURSIVE b AS MATERIALIZED ({_TREE}), n AS (SELECT id, parent FROM b WHERE id = (SELECT id FROM b {_BEST}) UNION ALL SELECT b.id, b.parent FROM b JOIN n ON b.id = n.parent), o AS (SELECT id, parent FROM b WHERE id = (SELECT id FROM b WHERE id NOT IN (SELECT id FROM n) {_BEST}) UNION ALL SELECT b.id, b.parent FROM b JOIN o ON b.id = o.parent) SELECT id AS state_hash, 'unapply' AS change FROM o WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT id, 'apply' FROM n WHERE id NOT IN (SELECT id FROM o)")
-def reorganisation_whole(spark, sf_dir):
-    b = _blocks(spark, sf_dir, whole=True)
-    return chain.reorganisation(b, *chain.rivals(b)).select("state_hash", "change")
+def reorganisation(spark, sf_dir):
+    b = _blocks(spark, sf_dir)
+    ready = chain.contracted(b)
+    return chain.reorganisation(b, *chain.rivals(b, ready), ready).select("state_hash", "change")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -174,12 +157,10 @@ def json_scalar(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT o_orderkey, greatest(1000000 - greatest(date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) // 30, 0) * 12345, 0)::BIGINT AS locked FROM orders")
+@query("SELECT o_orderkey, (CASE WHEN d < 400 THEN 1000000 ELSE greatest(1000000 - (d - 400) // 30 * 12345, 0) END)::BIGINT AS locked FROM (SELECT o_orderkey, greatest(date_diff('day', TIMESTAMP '1992-01-01', o_orderdate), 0) AS d FROM orders)")
 def vesting(spark, sf_dir):
-    from ledgerloom.functions.amounts import minimum_balance
-
-    day = F.greatest(F.datediff("o_orderdate", F.lit("1995-01-01")), F.lit(0))
-    return _t(spark, sf_dir, "orders").select("o_orderkey", minimum_balance(day, F.lit(1_000_000), F.lit(0), F.lit(0), F.lit(30), F.lit(12_345)).cast("long").alias("locked"))
+    day = F.greatest(F.datediff("o_orderdate", F.lit("1992-01-01")), F.lit(0))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", amounts.minimum_balance(day, F.lit(1_000_000), F.lit(400), F.lit(30), F.lit(12_345)).cast("long").alias("locked"))
 
 
 @query("SELECT (SELECT count(*) FROM orders) AS blocks, (SELECT count(*) FROM lineitem) AS commands, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS failed, (SELECT max(o_orderkey) FROM orders) AS height, (SELECT sum(CAST(round(c_acctbal * 100) AS BIGINT))::BIGINT FROM customer) AS supply")
@@ -203,8 +184,7 @@ def deduplicated_works(spark, sf_dir):
 
 @query("SELECT user_id, event_id, max(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous, min(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM events")
 def neighbour_slots(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return _t(spark, sf_dir, "events").select("user_id", "event_id", F.lag("event_id").over(w).alias("previous"), F.lead("event_id").over(w).alias("following"))
+    return ledger.neighbours(_t(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], "event_id", F.floor(F.col("event_id") / 65_536))
 
 
 @query("WITH g AS (SELECT year(l_shipdate) AS epoch, l_suppkey, sum(CAST(round(l_extendedprice * l_discount * 100) AS BIGINT))::BIGINT AS total, count(*) AS works FROM lineitem GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY total DESC, l_suppkey) AS nth FROM g QUALIFY nth <= 5")
@@ -233,16 +213,11 @@ def merged_transfers(spark, sf_dir):
 @query("SELECT l_partkey AS txn_hash, l_orderkey AS state_hash, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC) AS nth, count(*) OVER (PARTITION BY l_partkey) AS blocks FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem)")
 def containing_blocks(spark, sf_dir):
     held = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("txn_hash"), F.col("l_orderkey").alias("state_hash"))
-    return counters.containing_blocks(held, F.col("state_hash"))
-
-
-@query("WITH c AS (SELECT o_orderkey AS h, o_custkey AS s, o_custkey % 100 + 1 AS r, CAST(round(o_totalprice * 100) AS BIGINT) AS a, o_orderstatus <> 'P' AS ok FROM orders WHERE o_orderkey <= 3000), x AS (SELECT s AS pk, CASE WHEN ok THEN -a ELSE 0 END AS d, h + 1 AS n FROM c UNION ALL SELECT r, a, NULL FROM c WHERE ok UNION ALL SELECT s, -10, NULL FROM c UNION ALL SELECT s_suppkey, 72000, NULL FROM supplier WHERE s_suppkey <= 3000) SELECT pk, sum(d)::BIGINT AS balance, max(n) AS nonce FROM x GROUP BY 1")
-def staged_balances(spark, sf_dir):
-    return counters.staged(_changes(spark, sf_dir), 3000)
+    return counters.containing_blocks(held, F.col("state_hash"), F.floor(F.col("state_hash") / 65_536))
 
 
 @query("WITH c AS (SELECT o_orderkey AS h, o_custkey AS s, o_custkey % 100 + 1 AS r, CAST(round(o_totalprice * 100) AS BIGINT) AS a, o_orderstatus <> 'P' AS ok FROM orders), x AS (SELECT s AS pk, h, 0 AS phase, CASE WHEN ok THEN -a ELSE 0 END AS d, h + 1 AS n FROM c UNION ALL SELECT r, h, 0, a, NULL FROM c WHERE ok UNION ALL SELECT s, h, 2, -10, NULL FROM c UNION ALL SELECT s_suppkey, s_suppkey, 1, 72000, NULL FROM supplier), p AS (SELECT pk, d, n, sum(d) OVER (PARTITION BY pk ORDER BY h, phase, d DESC ROWS UNBOUNDED PRECEDING) AS low FROM x) SELECT pk, (sum(d) - least(min(low), 0))::BIGINT AS balance, max(n) AS nonce FROM p GROUP BY 1")
-def staged_balances_whole(spark, sf_dir):
+def staged_balances(spark, sf_dir):
     return counters.folded(_changes(spark, sf_dir))
 
 
@@ -250,3 +225,140 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("height"), F.lit(0).alias("seq"), F.col("o_custkey").alias("sender"), (F.col("o_custkey") % 100 + 1).alias("receiver"), _cents("o_totalprice").alias("amount"), F.lit(10).alias("fee"), F.col("o_orderkey").alias("nonce"), (F.col("o_orderstatus") != "P").alias("applied"))
     s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("height"), F.lit("coinbase").alias("kind"), F.col("s_suppkey").alias("receiver"), F.lit(72_000).alias("amount"))
     return counters.account_changes(o, s)
+
+
+def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as commands, one in each block: a payment, or a delegation where the priority is 1-URGENT; open ones fail."""
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "Delegation").otherwise("Payment")
+    return _t(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("state_hash"), F.col("o_orderkey").alias("height"), F.lit(0).alias("seq"), kind.alias("kind"), F.col("o_custkey").alias("sender"), (F.col("o_custkey") % 100 + 1).alias("receiver"), _cents("o_totalprice").alias("amount"), F.col("o_orderkey").alias("nonce"), (F.col("o_orderstatus") != "O").alias("applied"))
+
+
+def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders")
+    fees = o.select(F.col("o_orderkey").cast("string").alias("state_hash"), F.col("o_orderkey").alias("height"), F.lit(0).alias("step"), F.col("o_custkey").alias("sender"), F.lit(7).alias("receiver"), F.lit(10).alias("amount"))
+    made = o.select(F.col("o_orderkey").cast("string").alias("state_hash"), F.col("o_orderkey").alias("height"), F.lit("7").alias("coinbase_receiver"), F.when(F.col("o_orderkey") % 2 == 0, 720).otherwise(0).alias("coinbase"))
+    return ledger.account_diffs(_commands(spark, sf_dir), fees, made)
+
+
+_DIFFS = """c AS (SELECT o_orderkey AS h, o_custkey AS s, o_custkey % 100 + 1 AS r, CAST(round(o_totalprice * 100) AS BIGINT) AS a, o_orderstatus <> 'O' AS ok, o_orderpriority = '1-URGENT' AS del FROM orders),
+x AS (SELECT r AS pk, h, 0 AS phase, 0 AS sub, a AS d, NULL AS nonce, NULL AS delegate FROM c WHERE ok AND NOT del UNION ALL SELECT s, h, 0, 1, -a, h + 1, NULL FROM c WHERE ok AND NOT del UNION ALL SELECT s, h, 0, 0, 0, h + 1, CASE WHEN ok THEN r END FROM c WHERE del OR NOT ok
+UNION ALL SELECT 7, h, 1, 0, 720, NULL, NULL FROM c WHERE h % 2 = 0 UNION ALL SELECT 7, h, 2, 0, 10, NULL, NULL FROM c UNION ALL SELECT s, h, 2, 1, -10, NULL, NULL FROM c)"""
+_FOLD = "SELECT CAST(pk AS VARCHAR) AS pk, (sum(d) - least(min(low), 0))::BIGINT AS balance, coalesce(max(nonce), 0)::BIGINT AS nonce, CAST(coalesce(arg_max(delegate, h) FILTER (delegate IS NOT NULL), pk) AS VARCHAR) AS delegate, min(h) AS since FROM (SELECT *, sum(d) OVER (PARTITION BY pk ORDER BY h, phase, sub ROWS UNBOUNDED PRECEDING) AS low FROM {rows}) GROUP BY pk"
+
+
+@query(f"WITH {_DIFFS} {_FOLD.format(rows='x')}")
+def account_fold(spark, sf_dir):
+    return ledger.accounts(_diffs(spark, sf_dir)).drop("token")
+
+
+@query(f"WITH {_DIFFS} {_FOLD.format(rows='x')}")
+def staged_from_snapshot(spark, sf_dir):
+    diffs = _diffs(spark, sf_dir)
+    middle = _t(spark, sf_dir, "orders").agg(F.floor(F.max("o_orderkey") / 2)).first()[0]
+    return ledger.from_snapshot(chain._cut(ledger.accounts(diffs, middle)), middle, diffs).drop("token")
+
+
+@query(f"WITH {_DIFFS}, m AS (SELECT max(h) // 2 AS m FROM c), k AS ({_FOLD.format(rows='(SELECT x.* FROM x, m WHERE h <= m)')}), t AS (SELECT DISTINCT CAST(pk AS VARCHAR) AS pk FROM x, m WHERE h > m) SELECT t.pk, k.balance, k.nonce, k.delegate, k.since IS NULL AS gone FROM t LEFT JOIN k USING (pk)")
+def apply_unapply(spark, sf_dir):
+    middle = _t(spark, sf_dir, "orders").agg(F.floor(F.max("o_orderkey") / 2)).first()[0]
+    return ledger.unapplied(_diffs(spark, sf_dir), middle).select("pk", "balance", "nonce", "delegate", "gone")
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS pk, o_orderkey AS height, CAST(o_custkey % 100 + 1 AS VARCHAR) AS delegate, o_orderkey + 1 AS nonce FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'O'")
+def delegation_diff(spark, sf_dir):
+    return _diffs(spark, sf_dir).filter("kind = 'Delegation'").select("pk", "height", "delegate", "nonce")
+
+
+# A tree of two blocks a height, both above one of the height before.
+_PAIRS = "SELECT event_id AS id, event_id // 2 AS height, CASE WHEN event_id // 2 > 0 THEN 2 * (event_id // 2 - 1) + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END END AS parent FROM events"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    height = F.floor(F.col("event_id") / 2)
+    parent = F.when(height > 0, 2 * (height - 1) + F.when(F.col("event_id") % 3 == 0, 1).otherwise(0))
+    return _t(spark, sf_dir, "events").select(F.col("event_id").alias("state_hash"), parent.alias("parent_hash"), height.alias("height"))
+
+
+@query(f"WITH RECURSIVE b AS MATERIALIZED ({_PAIRS}), r(id, height, nth) AS (SELECT id, height, row_number() OVER (ORDER BY id) FROM b WHERE height = 0 UNION ALL SELECT b.id, b.height, row_number() OVER (ORDER BY r.nth, b.id) FROM r JOIN b ON b.parent = r.id AND b.height = r.height + 1), t AS (SELECT id AS tip, height AS top FROM r ORDER BY height DESC, nth DESC LIMIT 1), a(id, parent) AS (SELECT id, parent FROM b WHERE id = (SELECT tip FROM t) UNION ALL SELECT b.id, b.parent FROM b JOIN a ON b.id = a.parent) SELECT b.id AS state_hash, b.height, a.id IS NOT NULL AS on_chain, CASE WHEN b.height >= (SELECT top FROM t) - 9 THEN 'Recent' WHEN a.id IS NOT NULL THEN 'Canonical' ELSE 'Orphaned' END AS status FROM b LEFT JOIN a ON a.id = b.id")
+def canonical_discovery(spark, sf_dir):
+    return chain.discovery(_pairs(spark, sf_dir), F.lit(True)).select("state_hash", "height", "on_chain", "status")
+
+
+_WORKS = "SELECT l_suppkey AS prover, l_orderkey AS height, l_linenumber % 3 AS idx, CAST(round(l_extendedprice * l_discount * 100) AS BIGINT) AS fee, l_linestatus = 'F' AS canonical, year(l_shipdate)::BIGINT AS epoch FROM lineitem"
+
+
+def _works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("prover"), F.col("l_orderkey").alias("height"), (F.col("l_linenumber") % 3).alias("idx"), _cents(F.col("l_extendedprice") * F.col("l_discount")).alias("fee"), (F.col("l_linestatus") == "F").alias("canonical"), F.year("l_shipdate").cast("long").alias("epoch"))
+
+
+@query(f"WITH w AS ({_WORKS}), n AS (SELECT prover, height, idx, bool_or(canonical) AS canonical, min(epoch) AS epoch FROM w GROUP BY ALL) SELECT epoch, prover AS pk, count(*) AS works, count(*) FILTER (canonical) AS canonical_works, grouping(epoch)::INT AS all_epochs, grouping(prover)::INT AS all_pks FROM n GROUP BY CUBE (epoch, prover)")
+def snark_counts(spark, sf_dir):
+    own = counters.new_works(_works(spark, sf_dir))
+    return counters.grouped_counts(own, {"works": F.lit(True), "canonical_works": F.col("canonical")}, pk="prover").select("epoch", "pk", "works", "canonical_works", F.col("all_epochs").cast("int").alias("all_epochs"), F.col("all_pks").cast("int").alias("all_pks"))
+
+
+@query("SELECT year(o_orderdate)::BIGINT AS epoch, o_custkey AS pk, count(*) AS every, count(*) FILTER (o_orderstatus <> 'O') AS applied, count(*) FILTER (o_orderstatus = 'O') AS failed, count(*) FILTER (o_orderpriority = '1-URGENT') AS delegations, count(*) FILTER (o_orderkey % 2 = 0) AS canonical, count(*) FILTER (o_orderkey % 2 = 0 AND o_orderstatus = 'O') AS failed_canonical, grouping(year(o_orderdate))::INT AS all_epochs, grouping(o_custkey)::INT AS all_pks FROM orders GROUP BY CUBE (year(o_orderdate), o_custkey)")
+def command_counts(spark, sf_dir):
+    failed, canonical = F.col("o_orderstatus") == "O", F.col("o_orderkey") % 2 == 0
+    own = _t(spark, sf_dir, "orders").withColumn("epoch", F.year("o_orderdate").cast("long"))
+    found = counters.grouped_counts(own, {"every": F.lit(True), "applied": ~failed, "failed": failed, "delegations": F.col("o_orderpriority") == "1-URGENT", "canonical": canonical, "failed_canonical": canonical & failed}, pk="o_custkey")
+    return found.withColumns({"all_epochs": F.col("all_epochs").cast("int"), "all_pks": F.col("all_pks").cast("int")})
+
+
+@query(f"WITH w AS ({_WORKS}), g AS (SELECT epoch, prover, sum(fee)::BIGINT AS total, max(fee) AS most, min(fee) AS least, count(*) AS works FROM w WHERE canonical GROUP BY ALL) SELECT * FROM g UNION ALL SELECT NULL, prover, sum(total)::BIGINT, max(most), min(least), sum(works)::BIGINT FROM g GROUP BY prover")
+def prover_fees(spark, sf_dir):
+    return counters.prover_fees(_works(spark, sf_dir)).select("epoch", "prover", "total", "most", "least", "works")
+
+
+@query(f"WITH w AS ({_WORKS} WHERE l_linestatus = 'F'), g AS (SELECT prover, sum(fee)::BIGINT AS total, max(fee) AS most, min(fee) AS least, count(*) AS works FROM w GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY total DESC, prover) AS a, row_number() OVER (ORDER BY total, prover) AS b, row_number() OVER (ORDER BY most DESC, prover) AS c, row_number() OVER (ORDER BY most, prover) AS d, row_number() OVER (ORDER BY least DESC, prover) AS e, row_number() OVER (ORDER BY least, prover) AS f FROM g) SELECT * EXCLUDE (a, b, c, d, e, f), 'total desc' AS sorted FROM r WHERE a <= 10 UNION ALL SELECT * EXCLUDE (a, b, c, d, e, f), 'total asc' FROM r WHERE b <= 10 UNION ALL SELECT * EXCLUDE (a, b, c, d, e, f), 'most desc' FROM r WHERE c <= 10 UNION ALL SELECT * EXCLUDE (a, b, c, d, e, f), 'most asc' FROM r WHERE d <= 10 UNION ALL SELECT * EXCLUDE (a, b, c, d, e, f), 'least desc' FROM r WHERE e <= 10 UNION ALL SELECT * EXCLUDE (a, b, c, d, e, f), 'least asc' FROM r WHERE f <= 10")
+def top_snarkers(spark, sf_dir):
+    fees = counters.prover_fees(_works(spark, sf_dir))
+    tops = [counters.top_provers(fees, by, ascending=up, limit=10).withColumn("sorted", F.lit(f"{by} {'asc' if up else 'desc'}")) for by in ("total", "most", "least") for up in (False, True)]
+    return reduce(DataFrame.unionAll, tops).select("prover", "total", "most", "least", "works", "sorted")
+
+
+@query("WITH b AS (SELECT o_custkey AS pk, count(*) AS blocks, count(*) FILTER (o_orderkey % 2 = 0) AS canonical_blocks, count(DISTINCT day(o_orderdate)) AS slots FROM orders WHERE year(o_orderdate) = 1995 GROUP BY 1), s AS (SELECT c_custkey % 50 + 1 AS pk, sum(CAST(round(c_acctbal * 100) AS BIGINT))::BIGINT AS delegated, count(*) AS delegators FROM customer GROUP BY 1) SELECT pk, blocks, canonical_blocks, slots, coalesce(delegated, 0) AS delegated, coalesce(delegators, 0) AS delegators FROM b LEFT JOIN s USING (pk) ORDER BY canonical_blocks DESC, pk LIMIT 100")
+def top_stakers(spark, sf_dir):
+    made = _t(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("epoch"), F.col("o_custkey").alias("creator"), (F.col("o_orderkey") % 2 == 0).alias("canonical"), F.dayofmonth("o_orderdate").alias("epoch_slot"))
+    held = _t(spark, sf_dir, "customer").select(F.lit(1995).alias("epoch"), (F.col("c_custkey") % 50 + 1).alias("delegate"), _cents("c_acctbal").alias("balance"))
+    return counters.top_stakers(made, held, 1995)
+
+
+@query("WITH o AS (SELECT o_custkey AS pk, count(*) AS sent, count(*) FILTER (o_orderstatus = 'O') AS failed, count(*) FILTER (o_orderkey % 2 = 0) AS canonical FROM orders GROUP BY 1), l AS (SELECT l_suppkey AS pk, count(*) AS works, sum(CAST(round(l_extendedprice * l_discount * 100) AS BIGINT))::BIGINT AS fees FROM lineitem GROUP BY 1) SELECT c_custkey AS pk, CAST(round(c_acctbal * 100) AS BIGINT) AS balance, coalesce(sent, 0) AS sent, coalesce(failed, 0) AS failed, coalesce(canonical, 0) AS canonical, coalesce(works, 0) AS works, coalesce(fees, 0)::BIGINT AS fees FROM customer LEFT JOIN o ON o.pk = c_custkey LEFT JOIN l ON l.pk = c_custkey")
+def account_counters(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("pk")).agg(F.count(F.lit(1)).alias("sent"), F.count_if(F.col("o_orderstatus") == "O").alias("failed"), F.count_if(F.col("o_orderkey") % 2 == 0).alias("canonical"))
+    li = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("pk")).agg(F.count(F.lit(1)).alias("works"), F.sum(_cents(F.col("l_extendedprice") * F.col("l_discount"))).alias("fees"))
+    of = lambda df, c: df.select("pk", F.col(c).alias("n"))
+    held = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pk"), _cents("c_acctbal").alias("balance"))
+    return counters.with_counters(held, {c: of(o, c) for c in ("sent", "failed", "canonical")} | {c: of(li, c) for c in ("works", "fees")})
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((epoch_us(ts) // 1000 % 1000)::VARCHAR, 3, '0') || 'Z' AS iso, strftime(ts, '%a, ') || day(ts)::VARCHAR || strftime(ts, ' %b %Y %H:%M:%S +0000') AS rfc FROM events")
+def dates(spark, sf_dir):
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return _t(spark, sf_dir, "events").select("event_id", amounts.iso_date(ms).alias("iso"), amounts.rfc2822_date(ms).alias("rfc"))
+
+
+@query("SELECT o_orderkey, (CASE WHEN o_orderkey * 11 <= 564479 THEN o_orderkey * 11 % 7140 ELSE (o_orderkey * 11 - 420) % 7140 END)::BIGINT AS epoch_slot, (CASE WHEN o_orderkey % 3 = 0 THEN 0 WHEN o_orderkey % 2 = 0 THEN 1440000000000 ELSE 720000000000 END)::BIGINT AS coinbase FROM orders")
+def slots_and_coinbases(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", amounts.epoch_slot(k * 11).alias("epoch_slot"), amounts.coinbase(k % 3, k % 2 == 0).alias("coinbase"))
+
+
+@query("SELECT event_id, (SELECT max(s) FROM (SELECT DISTINCT l_orderkey AS s FROM lineitem) WHERE s <= event_id * 3 + 1) AS previous, (SELECT min(s) FROM (SELECT DISTINCT l_orderkey AS s FROM lineitem) WHERE s >= event_id * 3 + 1) AS following FROM events")
+def snapped_slots(spark, sf_dir):
+    made = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("global_slot"))
+    asked = _t(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("event_id") * 3 + 1).alias("slot"))
+    return counters.snapped(made, asked).select(F.col("id").alias("event_id"), "previous", "following")
+
+
+@query("SELECT c_nationkey AS delegate, c_custkey AS pk, CAST(round(c_acctbal * 100) AS BIGINT) AS balance, row_number() OVER (PARTITION BY c_nationkey ORDER BY CAST(round(c_acctbal * 100) AS BIGINT) DESC, c_custkey) AS nth FROM customer")
+def delegators(spark, sf_dir):
+    return counters.delegators(_t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("delegate"), F.col("c_custkey").alias("pk"), _cents("c_acctbal").alias("balance")))
+
+
+@query("SELECT o_orderkey, md5(o_orderkey::VARCHAR) AS digest FROM orders")
+def checked_texts(spark, sf_dir):
+    """Bytes there and back through base58check, so that the digest of each number is its own."""
+    text = codecs.base58check(F.unhex(F.md5(F.col("o_orderkey").cast("string").cast("binary"))), 12)
+    return _t(spark, sf_dir, "orders").select("o_orderkey", text.alias("t")).select("o_orderkey", F.lower(F.hex(codecs.from_base58check(F.col("t"))["data"])).alias("digest"))

@@ -1,15 +1,27 @@
-"""The canonical chain: fork choice, ancestor walks, canonicity and reorganisation, over a table of blocks.
+"""The canonical chain: fork choice, ancestor walks, canonicity, discovery and reorganisation, over a table of blocks.
 
-Blocks have ``state_hash``, ``parent_hash``, ``height``, ``vrf`` (binary) and optionally ``hardfork`` (boolean).
+Blocks have ``state_hash`` (unique), ``parent_hash``, ``height``, ``vrf`` (binary) and optionally ``hardfork`` (boolean).
+
+A walk contracts the table first: heights are cut into segments of about ``SEGMENT`` blocks, and inside each the first
+ancestor beyond it is found for all of its blocks at once. Between segments few blocks are left, over which pointers are
+doubled, and only segments that a walk enters are walked inside. A table of n blocks takes one shuffle by segment and
+log2(n / SEGMENT) small rounds, whatever its depth. A block that is its own ancestor is an error.
 """
 
 from __future__ import annotations
 
+import math
 import tempfile
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SEGMENT = 50_000
+#: Depth of the recent part of the canonical chain (fixed value of the ledger format).
+RECENT = 10
+
 
 def preference(df: DataFrame) -> Column:
     """The greater, the better: hard-fork blocks, then height, then VRF output, then state hash."""
@@ -23,53 +35,209 @@ def best_block(blocks: DataFrame) -> DataFrame:
 
 
 def children(blocks: DataFrame) -> DataFrame:
-    """(parent, child, nth): each block's children, the preferred one first."""
-    own = blocks.select(F.col("parent_hash").alias("parent"), F.col("state_hash").alias("child"), preference(blocks).alias("rank"))
-    return own.withColumn("nth", F.row_number().over(Window.partitionBy("parent").orderBy(F.col("rank").desc()))).drop("rank")
+    """(parent, child, nth): each block's children one height above it, the preferred one first."""
+    parents = blocks.select(F.col("state_hash").alias("parent"), (F.col("height") + 1).alias("at"))
+    own = blocks.select(F.col("parent_hash").alias("parent"), F.col("height").alias("at"), F.col("state_hash").alias("child"), preference(blocks).alias("rank")).join(parents, ["parent", "at"])
+    return own.withColumn("nth", F.row_number().over(Window.partitionBy("parent").orderBy(F.col("rank").desc()))).drop("rank", "at")
+
+
+class Contracted(NamedTuple):
+    """nodes (seg, state_hash, parent_hash), and exits (state_hash, top, exit): the last ancestor in the segment and the first beyond it."""
+
+    nodes: DataFrame
+    exits: DataFrame
+
+
+def contracted(blocks: DataFrame, segment: int = SEGMENT) -> Contracted:
+    """The table cut into segments; a range of heights that holds too many blocks is cut again, by hash."""
+    n, low, high = blocks.agg(F.count(F.lit(1)), F.min("height"), F.max("height")).first()
+    width = max(1, math.ceil(((high or 0) - (low or 0) + 1) / max(1, math.ceil(n / segment))))
+    bins = blocks.select(F.floor((F.col("height") - F.lit(low or 0)) / width).alias("bin"), "state_hash", "parent_hash")
+    sizes = bins.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / (4 * segment)).alias("parts"))  # a row for each segment
+    split = bins.join(sizes, "bin") if n > 4 * segment else bins.withColumn("parts", F.lit(1))
+    seg = F.struct("bin", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("state_hash"), F.col("parts"))).otherwise(0).alias("part"))
+    nodes = _cut(split.select(seg.alias("seg"), "state_hash", "parent_hash"))
+    kind = blocks.schema["state_hash"].dataType.simpleString()
+    exits = nodes.groupBy("seg").applyInArrow(_contract, f"state_hash {kind}, top {kind}, exit {kind}")
+    return Contracted(nodes, _cut(exits))
+
+
+def _contract(table: pa.Table) -> pa.Table:
+    at = table["state_hash"].to_pylist()
+    up = dict(zip(at, table["parent_hash"].to_pylist(), strict=True))
+    ends: dict = {}
+    for start in at:
+        path, x = [], start
+        while x in up and x not in ends:
+            path.append(x)
+            x = up[x]
+            if len(path) > len(up):
+                raise ValueError(f"block {start} is its own ancestor")
+        end = ends[x] if x in ends else (path[-1], x)
+        for p in path:
+            ends[p] = end
+    kind = table.schema.field("state_hash").type
+    return pa.table({"state_hash": pa.array(at, kind), "top": pa.array([ends[x][0] for x in at], kind), "exit": pa.array([ends[x][1] for x in at], kind)})
+
+
+def _doubled(jump: DataFrame, step) -> None:
+    """Calls step(jump) for jumps (at, to) of 1, 2, 4 ... until none is left; more rounds than a path can have are an error."""
+    rounds = math.ceil(math.log2(jump.count() + 1)) + 1
+    for _ in range(rounds + 1):
+        if jump.isEmpty():
+            return
+        step(jump)
+        jump = _cut(jump.join(jump.select(F.col("at").alias("to"), F.col("to").alias("beyond")), "to").select("at", F.col("beyond").alias("to")))
+    raise ValueError("a block is its own ancestor")
+
+
+def entries(ready: Contracted, tips: DataFrame) -> DataFrame:
+    """(tip, state_hash): where each tip's walk enters each segment, the tip itself first."""
+    starts = _cut(tips.filter("state_hash is not null").select(F.col("state_hash").alias("tip"), "state_hash"))
+    exits = ready.exits.filter("exit is not null")
+    between = exits.select(F.col("exit").alias("state_hash")).unionAll(starts.select("state_hash")).distinct()
+    jump = _cut(exits.join(between, "state_hash", "left_semi").select(F.col("state_hash").alias("at"), F.col("exit").alias("to")))
+    reached = starts
+
+    def step(jump: DataFrame) -> None:
+        nonlocal reached
+        more = reached.join(jump.withColumnRenamed("at", "state_hash"), "state_hash").select("tip", F.col("to").alias("state_hash"))
+        reached = _cut(reached.unionAll(more).distinct())
 
+    _doubled(jump, step)
+    return reached
 
-def ancestors(blocks: DataFrame, tips: DataFrame) -> DataFrame:
-    """(tip, state_hash) of every ancestor of every tip, itself included, by pointer doubling.
 
-    Jumps of 1, 2, 4 ... parents are joined to the reached set, so a chain of n blocks takes log2(n) rounds, not n.
-    """
-    jump = blocks.select(F.col("state_hash").alias("at"), F.col("parent_hash").alias("to")).join(blocks.select(F.col("state_hash").alias("to")), "to")
-    reached = tips.select(F.col("state_hash").alias("tip"), "state_hash")
-    while True:
-        more = reached.join(jump.withColumnRenamed("at", "state_hash"), "state_hash").select("tip", F.col("to").alias("state_hash"))
-        reached = reached.unionAll(more).distinct()
-        jump = jump.join(jump.select(F.col("at").alias("to"), F.col("to").alias("beyond")), "to").select("at", F.col("beyond").alias("to"))
-        jump, reached = _cut(jump), _cut(reached)
-        if jump.isEmpty():
-            return reached
+def walked(ready: Contracted, reached: DataFrame) -> DataFrame:
+    """(tip, state_hash) of the blocks that walks pass, from their entries to the ends of the segments."""
+    kind = ready.nodes.schema["state_hash"].dataType.simpleString()
+    starts = reached.join(ready.nodes.select(F.col("seg").alias("of"), "state_hash"), "state_hash").select("of", "tip", F.col("state_hash").alias("start"))
+    nodes = ready.nodes.select(F.col("seg").alias("in"), "state_hash", "parent_hash").join(starts.select(F.col("of").alias("in")).distinct(), "in", "left_semi")
+    return nodes.groupBy("in").cogroup(starts.groupBy("of")).applyInArrow(_walk, f"tip {kind}, state_hash {kind}")
+
+
+def _walk(nodes: pa.Table, starts: pa.Table) -> pa.Table:
+    up = dict(zip(nodes["state_hash"].to_pylist(), nodes["parent_hash"].to_pylist(), strict=True))
+    tips, out = [], []
+    for tip, x in zip(starts["tip"].to_pylist(), starts["start"].to_pylist(), strict=True):
+        while x in up:
+            tips.append(tip)
+            out.append(x)
+            x = up[x]
+    kind = nodes.schema.field("state_hash").type
+    return pa.table({"tip": pa.array(tips, kind), "state_hash": pa.array(out, kind)})
+
+
+def ancestors(blocks: DataFrame, tips: DataFrame, ready: Contracted | None = None) -> DataFrame:
+    """(tip, state_hash) of every ancestor of every tip, itself included."""
+    ready = ready or contracted(blocks)
+    return walked(ready, entries(ready, tips))
+
+
+def differing(ready: Contracted, tips: DataFrame) -> DataFrame:
+    """(tip, state_hash) of the ancestors, but for segments that all tips enter at the same block."""
+    reached = entries(ready, tips)
+    n = reached.select("tip").distinct().count()
+    shared = reached.groupBy("state_hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == n).select("state_hash")
+    return walked(ready, reached.join(shared, "state_hash", "left_anti") if n > 1 else reached)
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names; in a temporary one only where it names none."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.sparkContext.setCheckpointDir(folder)
+    """A reliable checkpoint in the folder that the session names; in a temporary one only on one machine."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='spark-')}")
     return df.checkpoint()
 
 
-def canonicity(blocks: DataFrame) -> DataFrame:
+def canonicity(blocks: DataFrame, ready: Contracted | None = None) -> DataFrame:
     """Blocks with ``canonicity``: Canonical on the best chain, Orphaned at a height that it covers, null above it."""
-    best = best_block(blocks)
-    chain = ancestors(blocks, best).select("state_hash", F.lit(True).alias("on_chain"))
+    best = _cut(best_block(blocks))
+    chain = ancestors(blocks, best, ready).select("state_hash", F.lit(True).alias("on_chain"))
     top = best.select(F.col("height").alias("top"))  # one row
     out = blocks.join(chain, "state_hash", "left").crossJoin(F.broadcast(top))
     return out.withColumn("canonicity", F.when(F.col("on_chain"), "Canonical").when(F.col("height") <= F.col("top"), "Orphaned")).drop("on_chain", "top")
 
 
-def rivals(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def rivals(blocks: DataFrame, ready: Contracted | None = None) -> tuple[DataFrame, DataFrame]:
     """The best block off the best chain (a row of nulls where there is none), and the best block."""
-    best = best_block(blocks)
-    return best_block(blocks.join(ancestors(blocks, best).select("state_hash"), "state_hash", "left_anti")), best
+    best = _cut(best_block(blocks))
+    return _cut(best_block(blocks.join(ancestors(blocks, best, ready).select("state_hash"), "state_hash", "left_anti"))), best
 
 
-def reorganisation(blocks: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
-    """(state_hash, height, change): blocks to unapply from the old tip down, and to apply up to the new tip."""
-    a, b = ancestors(blocks, old).select("state_hash"), ancestors(blocks, new).select("state_hash")
-    out = a.join(b, "state_hash", "left_anti").withColumn("change", F.lit("unapply")).unionAll(b.join(a, "state_hash", "left_anti").withColumn("change", F.lit("apply")))
-    return out.join(blocks.select("state_hash", "height"), "state_hash").select("state_hash", "height", "change")
+def reorganisation(blocks: DataFrame, old: DataFrame, new: DataFrame, ready: Contracted | None = None) -> DataFrame:
+    """(state_hash, height, change): blocks to unapply from the old tip down, and to apply up to the new tip.
+
+    Segments below the common ancestor are not walked.
+    """
+    ready = ready or contracted(blocks)
+    tips = _cut(old.select("state_hash", F.lit("unapply").alias("change")).unionAll(new.select("state_hash", F.lit("apply").alias("change"))).filter("state_hash is not null"))
+    passed = differing(ready, tips.select("state_hash").distinct())
+    once = passed.groupBy("state_hash").agg(F.count(F.lit(1)).alias("n"), F.min("tip").alias("tip")).filter("n = 1")
+    only = tips.groupBy(F.col("state_hash").alias("tip")).agg(F.min("change").alias("change"), F.count(F.lit(1)).alias("n")).filter("n = 1").select("tip", "change")
+    return once.select("state_hash", "tip").join(F.broadcast(only), "tip").join(blocks.select("state_hash", "height"), "state_hash").select("state_hash", "height", "change")  # two rows
+
+
+def discovery(blocks: DataFrame, roots: Column, recent: int = RECENT) -> DataFrame:
+    """Blocks with ``status`` (Canonical, Recent or Orphaned) and ``on_chain``, as an initial load sorts them.
+
+    The tree is what children one height above their parents reach from the blocks at the lowest height that meet
+    ``roots``. Its tip is the last block of a breadth-first walk in the order of state hashes: not the fork choice, which
+    looks at VRF outputs. The last ``recent`` blocks of the tip's chain and all others from the first of them upwards are
+    recent; of the rest those on the chain are canonical, the others orphaned. Without a tip all blocks are recent.
+    """
+    parents = blocks.select(F.col("state_hash").alias("parent_hash"), (F.col("height") + 1).alias("height"), F.lit(True).alias("_has"))
+    linked = blocks.join(parents, ["parent_hash", "height"], "left").withColumn("parent_hash", F.when(F.col("_has"), F.col("parent_hash"))).drop("_has")
+    linked = _cut(linked.select("state_hash", "parent_hash", "height", roots.alias("_root")))
+    ready = contracted(linked)
+    ends = _tops(ready)
+    lowest = F.broadcast(linked.agg(F.min("height").alias("_lowest")))  # one row
+    starts = linked.crossJoin(lowest).filter((F.col("height") == F.col("_lowest")) & F.col("_root")).select(F.col("state_hash").alias("top"))
+    tree = _cut(ends.join(starts, "top", "left_semi").join(linked.select("state_hash", "height"), "state_hash"))
+    highest = tree.agg(F.max("height").alias("_highest"))  # one row
+    tips = _cut(tree.crossJoin(F.broadcast(highest)).filter(F.col("height") == F.col("_highest")).select("state_hash", "height"))
+    tip = tips
+    if tips.count() > 1:
+        # Paths of equal length come in the order of a breadth-first walk if they are compared from the root on.
+        path = differing(ready, tips).join(linked.select("state_hash", "height"), "state_hash")
+        paths = path.groupBy("tip").agg(F.sort_array(F.collect_list(F.struct("height", "state_hash"))).alias("path"))
+        last = paths.agg(F.max_by("tip", F.transform("path", lambda p: p["state_hash"])).alias("state_hash"))
+        tip = _cut(tips.join(last, "state_hash", "left_semi"))
+    chain = ancestors(linked, tip, ready).select("state_hash", F.lit(True).alias("on_chain"))
+    least = tip.agg((F.max("height") - recent + 1).alias("_split"))  # one row, of null without a tip
+    out = blocks.join(chain, "state_hash", "left").withColumn("on_chain", F.coalesce("on_chain", F.lit(False))).crossJoin(F.broadcast(least))
+    status = F.when(F.col("_split").isNull() | (F.col("height") >= F.col("_split")), "Recent").when(F.col("on_chain"), "Canonical").otherwise("Orphaned")
+    return out.withColumn("status", status).drop("_split")
+
+
+def _tops(ready: Contracted) -> DataFrame:
+    """(state_hash, top): the last ancestor that the table holds, of every block."""
+    known = ready.nodes.select(F.col("state_hash").alias("exit"))
+    exits = ready.exits.join(known.withColumn("_in", F.lit(True)), "exit", "left").withColumn("exit", F.when(F.col("_in"), F.col("exit"))).drop("_in")
+    entered = exits.filter("exit is not null").select(F.col("exit").alias("state_hash")).distinct()
+    ends = _cut(exits.join(entered, "state_hash", "left_semi"))  # blocks that a walk enters a segment at
+    rounds = math.ceil(math.log2(ends.count() + 1)) + 1
+    for _ in range(rounds):
+        if ends.filter("exit is not null").isEmpty():
+            break
+        far = ends.select(F.col("state_hash").alias("exit"), F.col("top").alias("_top"), F.col("exit").alias("_exit"))
+        moved = F.col("_top").isNotNull()
+        ends = _cut(ends.join(far, "exit", "left").select("state_hash", F.when(moved, F.col("_top")).otherwise(F.col("top")).alias("top"), F.when(moved, F.col("_exit")).alias("exit")))
+    else:
+        if not ends.filter("exit is not null").isEmpty():
+            raise ValueError("a block is its own ancestor")
+    far = ends.select(F.col("state_hash").alias("exit"), F.col("top").alias("_top"))
+    return exits.join(far, "exit", "left").select("state_hash", F.coalesce("_top", "top").alias("top"))
+
+
+def successors(blocks: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """new where it is strictly better than old, or else old: the best tip after more blocks."""
+    return best_block(old.unionByName(new, allowMissingColumns=True))
+
+
+def due(tip_height: Column, root_height: Column, threshold: int = 2) -> Column:
+    """Whether the canonical root moves: the tip is at least so many blocks above it (fixed value of the ledger format)."""
+    return tip_height - root_height >= threshold

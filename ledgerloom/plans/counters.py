@@ -33,11 +33,15 @@ def merged_transfers(rows: DataFrame) -> DataFrame:
     return pairs.groupBy("receiver").agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("senders"))
 
 
-def containing_blocks(commands: DataFrame, rank: Column) -> DataFrame:
-    """txn_hash, state_hash, nth, blocks: the blocks that hold a command, best first; a command twice in a block is one."""
-    by = Window.partitionBy("txn_hash")
-    own = commands.dropDuplicates(["txn_hash", "state_hash"])
-    return own.select("txn_hash", "state_hash", F.row_number().over(by.orderBy(rank.desc(), F.col("state_hash").desc())).cast("long").alias("nth"), F.count(F.lit(1)).over(by).alias("blocks"))
+def containing_blocks(commands: DataFrame, rank: Column, part: Column | None = None) -> DataFrame:
+    """txn_hash, state_hash, nth, blocks: the blocks that hold a command, best first; a command twice in a block is one.
+
+    rank is a number; ``part`` a coarser form of it, so that a command of any number of blocks is spread.
+    """
+    own = commands.dropDuplicates(["txn_hash", "state_hash"]).select("txn_hash", "state_hash", (-rank).alias("_rank"), (-rank if part is None else -part).alias("_part"))
+    many = own.groupBy("txn_hash").agg(F.count(F.lit(1)).alias("blocks"))
+    out = ledger.running(own, ["txn_hash"], F.col("_part"), ["_rank", "state_hash"], {}, {}, {})
+    return out.join(many, "txn_hash").select("txn_hash", "state_hash", "nth", "blocks")
 
 
 def account_changes(commands: DataFrame, rewards: DataFrame) -> DataFrame:
@@ -56,15 +60,10 @@ def account_changes(commands: DataFrame, rewards: DataFrame) -> DataFrame:
     return sent.unionAll(got).unionAll(paid).unionAll(earned)
 
 
-def staged(changes: DataFrame, height: int) -> DataFrame:
-    """pk, balance, nonce after the block at a height, from changes of one chain; nonce is null for who never sent."""
-    return changes.filter(F.col("height") <= height).groupBy("pk").agg(F.sum("delta").alias("balance"), F.max("nonce").alias("nonce"))
-
-
 def folded(changes: DataFrame, height: int | Column | None = None, block: int = 1024) -> DataFrame:
     """pk, balance, nonce after the block at a height (None: the last), each account's changes added in their order.
 
-    A debit beyond the balance leaves 0, unlike in staged(), which sums. A command credits before it debits, so at
+    A debit beyond the balance leaves 0. A command credits before it debits, so at
     equal height, phase and seq the greater change comes first.
     """
     own = changes if height is None else changes.filter(F.col("height") <= height)
@@ -75,3 +74,114 @@ def produced_slots(blocks: DataFrame, slot: int) -> DataFrame:
     """One row: the produced slots next to a slot, at or before it and at or after it (null where there is none)."""
     at = F.col("global_slot")
     return blocks.agg(F.max(F.when(at <= slot, at)).alias("previous"), F.min(F.when(at >= slot, at)).alias("following"))
+
+
+def grouped_counts(rows: DataFrame, measures: dict[str, Column], epoch: str = "epoch", pk: str = "pk") -> DataFrame:
+    """(epoch, pk, *measures): counts by epoch and account, by epoch, by account and in all (null stands for all), in one shuffle.
+
+    Each measure is a condition that is counted. Rows are counted by epoch and account first, and those counts are
+    rolled up, so a common account or epoch is a few rows of each task.
+    """
+    fine = rows.groupBy(F.col(epoch).alias("epoch"), F.col(pk).alias("pk")).agg(*[F.count_if(c).alias(n) for n, c in measures.items()])
+    return fine.cube("epoch", "pk").agg(*[F.sum(n).alias(n) for n in measures], F.grouping("epoch").alias("all_epochs"), F.grouping("pk").alias("all_pks"))
+
+
+def new_works(works: DataFrame) -> DataFrame:
+    """SNARK works without those that another block of the height holds: one row for each prover, height and place in the block."""
+    return works.groupBy("prover", "height", "idx").agg(F.min("fee").alias("fee"), F.bool_or("canonical").alias("canonical"), F.min("epoch").alias("epoch"))
+
+
+def prover_fees(works: DataFrame) -> DataFrame:
+    """(epoch, prover, total, most, least, works): fees of canonical works by epoch, and in all (epoch null)."""
+    own = works.filter("canonical").groupBy("epoch", "prover").agg(F.sum("fee").alias("total"), F.max("fee").alias("most"), F.min("fee").alias("least"), F.count(F.lit(1)).alias("works"))
+    whole = own.groupBy("prover").agg(F.sum("total").alias("total"), F.max("most").alias("most"), F.min("least").alias("least"), F.sum("works").alias("works"))
+    return own.unionByName(whole.withColumn("epoch", F.lit(None).cast(own.schema["epoch"].dataType)))
+
+
+def top_provers(fees: DataFrame, by: str = "total", epoch: int | None = None, ascending: bool = False, limit: int = 100) -> DataFrame:
+    """The first provers by total, most or least fee, or by works, of an epoch or of all time; equal ones by key."""
+    own = fees.filter(F.col("epoch").isNull() if epoch is None else F.col("epoch") == epoch)
+    return own.orderBy(F.col(by).asc() if ascending else F.col(by).desc(), F.col("prover")).limit(limit)
+
+
+def top_stakers(blocks: DataFrame, stakes: DataFrame, epoch: int, by: str = "canonical_blocks", ascending: bool = False, limit: int = 100) -> DataFrame:
+    """pk, blocks, canonical_blocks, slots, delegated and delegators of an epoch's creators; those without delegations have 0."""
+    own = blocks.filter(F.col("epoch") == epoch).groupBy(F.col("creator").alias("pk")).agg(F.count(F.lit(1)).alias("blocks"), F.count_if("canonical").alias("canonical_blocks"), F.countDistinct("epoch_slot").alias("slots"))
+    held = stakes.filter(F.col("epoch") == epoch).groupBy(F.col("delegate").alias("pk")).agg(F.sum("balance").alias("delegated"), F.count(F.lit(1)).alias("delegators"))
+    out = own.join(held, "pk", "left").na.fill(0, ["delegated", "delegators"])
+    return out.orderBy(F.col(by).asc() if ascending else F.col(by).desc(), F.col("pk")).limit(limit)
+
+
+def stakes(accounts: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Staking accounts with what is delegated to each, its delegators, its share of all stake, and its name."""
+    held = ledger.delegations(accounts).withColumnRenamed("delegate", "pk")
+    out = accounts.join(held, "pk", "left").na.fill(0, ["total_delegated", "delegators"]).na.fill(0.0, ["share"])
+    return out if names is None else out.join(names, "pk", "left")
+
+
+def delegators(accounts: DataFrame) -> DataFrame:
+    """(delegate, nth, pk, balance): each delegate's delegators, the greatest balance first."""
+    nth = F.row_number().over(Window.partitionBy("delegate").orderBy(F.col("balance").desc(), "pk"))
+    return accounts.select("delegate", nth.cast("long").alias("nth"), "pk", "balance")
+
+
+def with_counters(accounts: DataFrame, counters: dict[str, DataFrame]) -> DataFrame:
+    """Accounts (pk, ...) with a column of each counter (pk, n), 0 where it has none of the account.
+
+    Counters are put together by one aggregate before the only join, however many there are.
+    """
+    rows = None
+    for name, df in counters.items():
+        own = df.select("pk", F.lit(name).alias("name"), F.col("n").cast("long").alias("n"))
+        rows = own if rows is None else rows.unionAll(own)
+    wide = rows.groupBy("pk").agg(*[F.sum(F.when(F.col("name") == n, F.col("n"))).alias(n) for n in counters])
+    return accounts.join(wide, "pk", "left").na.fill(0, list(counters))
+
+
+def block_fees(commands: DataFrame, works: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(state_hash, tx_fees, snark_fees) of every block, 0 where it has none."""
+    paid = commands.groupBy("state_hash").agg(F.sum("fee").alias("tx_fees"))
+    earned = works.groupBy("state_hash").agg(F.sum("fee").alias("snark_fees"))
+    return blocks.select("state_hash").join(paid, "state_hash", "left").join(earned, "state_hash", "left").na.fill(0, ["tx_fees", "snark_fees"])
+
+
+def slots_of_heights(blocks: DataFrame) -> DataFrame:
+    """(height, global_slot): each once; read either way, slots of a height or heights of a slot."""
+    return blocks.select("height", "global_slot").distinct()
+
+
+def snapped(blocks: DataFrame, bounds: DataFrame) -> DataFrame:
+    """bounds (id, slot) with ``following`` and ``previous``: the first produced slot at or after it, the last at or before it.
+
+    Both are put into one order of slots and looked up inside blocks of slots, so no slot list is one task's.
+    """
+    width = 1 << 16
+    marks = blocks.select(F.col("global_slot").alias("slot"), F.lit(None).cast("long").alias("id")).distinct()
+    both = marks.unionByName(bounds.select(F.col("slot").cast("long").alias("slot"), F.col("id").cast("long").alias("id"))).withColumn("_block", F.floor(F.col("slot") / width))
+    made = F.when(F.col("id").isNull(), F.col("slot"))
+    ends = both.groupBy("_block").agg(F.min(made).alias("_low"), F.max(made).alias("_high"))
+    order = Window.orderBy("_block")  # a row for each 65,536 slots
+    ends = ends.select("_block", F.last("_high", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_low", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    own = Window.partitionBy("_block").orderBy("slot")
+    out = both.withColumns({"_p": F.max(made).over(own), "_f": F.min(made).over(own.rangeBetween(0, Window.unboundedFollowing))})
+    out = out.filter("id is not null").join(F.broadcast(ends), "_block")
+    return out.select("id", "slot", F.coalesce("_p", "_before").alias("previous"), F.coalesce("_f", "_after").alias("following"))
+
+
+def token_ledger(diffs: DataFrame) -> DataFrame:
+    """(token, supply, owner, symbol, txns): token changes (token, height, seq, kind, delta, owner, symbol) folded in order.
+
+    Supply changes are summed; the first owner and the last symbol that were set count.
+    """
+    place = F.struct("height", "seq")
+    return diffs.groupBy("token").agg(
+        F.coalesce(F.sum("delta"), F.lit(0)).alias("supply"),
+        F.min_by("owner", F.when(F.col("owner").isNotNull(), place)).alias("owner"),
+        F.max_by("symbol", F.when(F.col("symbol").isNotNull(), place)).alias("symbol"),
+        F.count(F.lit(1)).alias("txns"),
+    )
+
+
+def names_of(claims: DataFrame) -> DataFrame:
+    """(pk, username, changes): the last name that canonical payments claimed for each account."""
+    return claims.groupBy("pk").agg(F.max_by("username", F.struct("height", "seq")).alias("username"), F.count(F.lit(1)).alias("changes"))

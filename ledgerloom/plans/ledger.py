@@ -25,6 +25,39 @@ def saturating_balance(changes: DataFrame, keys: list[str], order: str, delta: C
     return parts.groupBy(*keys).agg((F.sum("_sum") - F.least(F.min("_low"), F.lit(0))).alias("balance"), *[F.max(c).alias(c) for c in most])
 
 
+def running(rows: DataFrame, keys: list[str], block: Column, order: list[str], sums: dict[str, Column], most: dict[str, Column], least: dict[str, Column]) -> DataFrame:
+    """rows with running sums, maxima and minima of each key, the row itself included, and ``nth``, its number from 1.
+
+    ``block`` is a coarser form of the first column of the order. Windows run inside a block of a key, and what its
+    blocks before hold, a row each, is added, so a key of any size is spread.
+    """
+    named = [(n, c, F.sum) for n, c in sums.items()] + [(n, c, F.max) for n, c in most.items()] + [(n, c, F.min) for n, c in least.items()]
+    at = rows.withColumn("_block", block)
+    parts = at.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"), *[f(c).alias(f"_{n}") for n, c, f in named])
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(*keys, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"), *[f(f"_{n}").over(earlier).alias(f"_{n}") for n, _, f in named])
+    own = Window.partitionBy(*keys, "_block").orderBy(*order)
+    whole = own.rowsBetween(Window.unboundedPreceding, 0)
+    inside = at.select(*rows.columns, "_block", F.row_number().over(own).alias("_nth"), *[f(c).over(whole).alias(f"_own_{n}") for n, c, f in named])
+    joined = inside.join(before, [*keys, "_block"])
+    both = {F.sum: lambda a, b: F.coalesce(a, F.lit(0)) + b, F.max: F.greatest, F.min: F.least}
+    return joined.select(*rows.columns, (F.col("_n") + F.col("_nth")).cast("long").alias("nth"), *[both[f](F.col(f"_{n}"), F.col(f"_own_{n}")).alias(n) for n, _, f in named])
+
+
+def neighbours(rows: DataFrame, keys: list[str], at: str, block: Column) -> DataFrame:
+    """rows with ``previous`` and ``following``: the next smaller and the next greater ``at`` of the key (values differ inside a key).
+
+    Found inside blocks of a key; a block's ends look at the nearest blocks that hold rows.
+    """
+    cells = rows.withColumn("_block", block)
+    ends = cells.groupBy(*keys, "_block").agg(F.min(at).alias("_low"), F.max(at).alias("_high"))
+    order = Window.partitionBy(*keys).orderBy("_block")
+    ends = ends.select(*keys, "_block", F.lag("_high").over(order).alias("_before"), F.lead("_low").over(order).alias("_after"))
+    own = Window.partitionBy(*keys, "_block").orderBy(at)
+    inside = cells.withColumns({"_lag": F.lag(at).over(own), "_lead": F.lead(at).over(own)}).join(ends, [*keys, "_block"])
+    return inside.select(*rows.columns, F.coalesce("_lag", "_before").alias("previous"), F.coalesce("_lead", "_after").alias("following"))
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """The last row's values of each key; partial maxima fold before the shuffle."""
     found = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_last"))
@@ -32,8 +65,79 @@ def latest(rows: DataFrame, keys: list[str], order: list[str], values: list[str]
 
 
 def delegations(accounts: DataFrame) -> DataFrame:
-    """delegate, total and number of delegators, and the share of all stake in percent (half-even, two places)."""
+    """delegate, total and number of delegators, and the share of all stake in percent (half-even, two places), in decimals."""
     own = accounts.groupBy("delegate").agg(F.sum("balance").alias("total_delegated"), F.count(F.lit(1)).alias("delegators"))
     whole = accounts.agg(F.sum("balance").alias("_all"))  # one row
-    share = F.when(F.col("_all") == 0, F.lit(0.0)).otherwise(F.bround(F.col("total_delegated") / F.col("_all") * 100, 2))
-    return own.crossJoin(F.broadcast(whole)).select("delegate", "total_delegated", "delegators", share.alias("share"))
+    return own.crossJoin(F.broadcast(whole)).select("delegate", "total_delegated", "delegators", share(F.col("total_delegated"), F.col("_all")).alias("share"))
+
+
+def share(part: Column, whole: Column) -> Column:
+    """A part in percent of the whole, rounded half to even to two places; 0 where the whole is 0."""
+    ratio = part.cast("decimal(20,0)") * 100 / F.when(whole != 0, whole).cast("decimal(20,0)")
+    return F.coalesce(F.bround(ratio, 2).cast("double"), F.lit(0.0))
+
+
+#: Kinds of account changes: those that add to or take from a balance, and the others.
+MOVES = ("Credit", "Debit", "Coinbase", "FeeCredit", "FeeDebit")
+KINDS = (*MOVES, "Delegation", "FailedNonce", "CreationFee")
+
+
+def account_diffs(commands: DataFrame, fees: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(state_hash, height, pk, token, phase, seq, sub_seq, kind, delta, nonce, delegate): what blocks do to accounts, in order.
+
+    commands: state_hash, height, seq, kind (Payment or Delegation), sender, receiver, amount, nonce and applied. fees:
+    state_hash, height, step, sender, receiver and amount. blocks: state_hash, height, coinbase_receiver and coinbase.
+    Phase 0 holds commands, 1 the coinbase, 2 fees. A payment credits, then debits with the next nonce; a delegation sets
+    delegate and nonce; a failed command sets its sender's nonce alone.
+    """
+    null = lambda kind: F.lit(None).cast(kind)
+    diff = lambda sub, pk, kind, delta=null("long"), nonce=null("long"), delegate=null("string"): F.struct(F.lit(sub).alias("sub_seq"), pk.cast("string").alias("pk"), F.lit(kind).alias("kind"), delta.cast("long").alias("delta"), nonce.cast("long").alias("nonce"), delegate.cast("string").alias("delegate"))
+    sender, receiver, amount, nonce = F.col("sender"), F.col("receiver"), F.col("amount"), F.col("nonce") + 1
+    paid = F.array(diff(0, receiver, "Credit", amount), diff(1, sender, "Debit", -amount, nonce))
+    own = F.when(~F.col("applied"), F.array(diff(0, sender, "FailedNonce", nonce=nonce))).when(F.col("kind") == "Payment", paid).otherwise(F.array(diff(0, sender, "Delegation", nonce=nonce, delegate=receiver)))
+    rows = commands.select("state_hash", "height", F.lit(0).alias("phase"), F.col("seq").cast("long").alias("seq"), F.explode(own).alias("d"))
+    moved = F.array(diff(0, receiver, "FeeCredit", amount), diff(1, sender, "FeeDebit", -amount))
+    rows = rows.unionByName(fees.select("state_hash", "height", F.lit(2).alias("phase"), F.col("step").cast("long").alias("seq"), F.explode(moved).alias("d")))
+    base = F.array(diff(0, F.col("coinbase_receiver"), "Coinbase", F.col("coinbase")))
+    rows = rows.unionByName(blocks.filter("coinbase > 0").select("state_hash", "height", F.lit(1).alias("phase"), F.lit(0).cast("long").alias("seq"), F.explode(base).alias("d")))
+    return rows.select("state_hash", "height", "d.pk", F.lit("native").alias("token"), "phase", "seq", "d.sub_seq", "d.kind", "d.delta", "d.nonce", "d.delegate")
+
+
+def accounts(diffs: DataFrame, height: int | None = None, above: int | None = None, block: int = 1024) -> DataFrame:
+    """(pk, token, balance, nonce, delegate, since) after the block at a height (None: the last), from diffs of one chain.
+
+    Balances are never below 0 on the way. Nonce and delegate are the last ones set; an account is its own delegate until
+    then; since is the height that created it. Each account's changes are folded in the order of height, phase, seq and
+    sub_seq, in blocks of heights, so an account of any size is spread.
+    """
+    own = diffs if height is None else diffs.filter(F.col("height") <= height)
+    own = own if above is None else own.filter(F.col("height") > above)
+    place = F.struct("height", "phase", "seq", "sub_seq")
+    moved = saturating_balance(own, ["pk", "token"], "height", F.coalesce("delta", F.lit(0).cast("long")), block, ("phase", "seq", "sub_seq"))
+    last = own.groupBy("pk", "token").agg(
+        F.max_by(F.when(F.col("nonce").isNotNull(), F.col("nonce")), F.when(F.col("nonce").isNotNull(), place)).alias("nonce"),
+        F.max_by("delegate", F.when(F.col("delegate").isNotNull(), place)).alias("delegate"),
+        F.min("height").alias("since"),
+    )
+    return moved.join(last, ["pk", "token"]).select("pk", "token", "balance", F.coalesce("nonce", F.lit(0).cast("long")).alias("nonce"), F.coalesce("delegate", "pk").alias("delegate"), "since")
+
+
+def from_snapshot(snapshot: DataFrame, at: int, diffs: DataFrame, height: int | None = None, block: int = 1024) -> DataFrame:
+    """accounts() at a height from the accounts at an earlier one and only the diffs between them."""
+    start = snapshot.select(F.lit(None).cast("string").alias("state_hash"), F.lit(at).cast("long").alias("height"), "pk", "token", F.lit(-1).alias("phase"), F.lit(0).cast("long").alias("seq"), F.lit(0).alias("sub_seq"), F.lit("Credit").alias("kind"), F.col("balance").alias("delta"), "nonce", "delegate")
+    later = diffs.filter(F.col("height") > at) if height is None else diffs.filter((F.col("height") > at) & (F.col("height") <= height))
+    out = accounts(start.unionByName(later.select(start.columns)), block=block)
+    known = snapshot.select("pk", "token", F.col("since").alias("_since"))
+    return out.join(known, ["pk", "token"], "left").withColumn("since", F.coalesce("_since", "since")).drop("_since")
+
+
+def unapplied(diffs: DataFrame, height: int) -> DataFrame:
+    """The accounts that taking back all blocks above a height changes: their state after it, and ``gone`` for those made above it."""
+    touched = diffs.filter(F.col("height") > height).select("pk", "token").distinct()
+    return touched.join(accounts(diffs, height), ["pk", "token"], "left").withColumn("gone", F.col("since").isNull())
+
+
+def mismatches(computed: DataFrame, accessed: DataFrame) -> DataFrame:
+    """(pk, token, expected, found): accounts of which a block's own record (pk, token, balance) differs from the fold."""
+    both = accessed.select("pk", "token", F.col("balance").alias("expected")).join(computed.select("pk", "token", F.col("balance").alias("found")), ["pk", "token"], "left")
+    return both.filter(~F.col("expected").eqNullSafe(F.col("found")))

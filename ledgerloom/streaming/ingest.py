@@ -1,4 +1,8 @@
-"""Streaming ingestion of block files: at least once from a folder, each block kept once."""
+"""Streaming ingestion of blocks: at least once from a folder, each block kept once, in any order of arrival.
+
+Keys that were seen are Spark's own state (``dropDuplicates``), so a batch costs what it brings, not what was kept before.
+A batch is written under its number, so a batch that is run again after a failure replaces what it left.
+"""
 
 from __future__ import annotations
 
@@ -6,32 +10,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ledgerloom.plans import chain
+
 
 def stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def ingest(rows: DataFrame, key: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Appends rows whose key is new to a Parquet folder; arrivals may repeat and come in any order.
+def stream_files(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file): whole block files as they arrive, the text of each one row; precomputed.py parses them."""
+    return spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.json").text(path).select("value", F.col("_metadata.file_name").alias("file"))
+
+
+def ingest(rows: DataFrame, key: str, out: str, checkpoint: str, after=None) -> StreamingQuery:
+    """Appends rows whose key is new to a Parquet folder, one part a batch; arrivals may repeat and come in any order.
 
-    A batch that is run again finds what it wrote before, so restarts keep each key once.
+    ``after(spark, batch_id)`` runs when a batch is kept, before the next begins; it may run twice for one batch.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        try:
-            known = batch.sparkSession.read.parquet(out).select(key)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        else:
-            fresh = fresh.join(known, key, "left_anti")
-        fresh.write.mode("append").parquet(out)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if after:
+            after(batch.sparkSession, number)
 
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.dropDuplicates([key]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def kept(spark: SparkSession, out: str) -> DataFrame:
+    """All rows that an ingestion kept."""
+    return spark.read.parquet(out).drop("batch")
 
 
 def missing_parents(blocks: DataFrame) -> DataFrame:
     """Heights at which a parent is missing: what to fetch next."""
     gaps = blocks.select(F.col("parent_hash").alias("hash"), (F.col("height") - 1).alias("height")).join(blocks.select(F.col("state_hash").alias("hash")), "hash", "left_anti")
     return gaps.filter("height >= 1").distinct()
+
+
+def attached(blocks: DataFrame, root: DataFrame) -> DataFrame:
+    """Blocks with ``attached``: whether their ancestors reach the root (a row with state_hash), or they dangle.
+
+    A block that came before its parent dangles until the parent is there: each batch asks anew.
+    """
+    ready = chain.contracted(blocks)
+    ends = chain._tops(ready)
+    top = ends.join(root.select("state_hash"), "state_hash", "left_semi").select("top", F.lit(True).alias("attached"))
+    return blocks.join(ends.join(top, "top", "left").select("state_hash", F.coalesce("attached", F.lit(False)).alias("attached")), "state_hash")
+
+
+def tip_update(blocks: DataFrame, root: DataFrame, old: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The new best tip, and the blocks to unapply and to apply on the way from the old one (none: nothing is unapplied).
+
+    Only attached blocks can be the tip, and only a strictly better one replaces it.
+    """
+    own = attached(blocks, root).filter("attached").drop("attached")
+    best = chain._cut(chain.best_block(own))
+    if old is None:
+        passed = chain.ancestors(own, best).select("state_hash", F.lit("apply").alias("change"))
+        return best, passed.join(own.select("state_hash", "height"), "state_hash").select("state_hash", "height", "change")
+    return best, chain.reorganisation(own, old, best)
