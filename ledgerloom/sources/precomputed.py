@@ -103,7 +103,7 @@ def user_commands(raw_: DataFrame) -> DataFrame:
     to = F.coalesce(get(f"{body}[1].receiver_pk", of=c), get(f"{body}[1][1].new_delegate", of=c))
     updates = _updates(c)
     touched = F.transform(updates, lambda u: F.struct(get("$.elt.account_update.body.public_key", of=u).alias("pk"), get("$.elt.account_update.body.token_id", of=u).alias("token")))
-    reason = F.coalesce(get("$.status[1][0]", of=c), get("$.status[1][0][0][0]", of=c), F.get(F.flatten(F.flatten(get("$.status[1]", "array<array<array<string>>>", c))), F.lit(0)))
+    reason = F.coalesce(F.get(F.flatten(F.flatten(get("$.status[1]", "array<array<array<string>>>", c))), F.lit(0)), get("$.status[1][0]", of=c))
     return _commands(raw_).select(
         "network", "height", "state_hash", "version", "diff_idx", "seq", kind.alias("kind"), sender.alias("sender"), payer.alias("fee_payer"),
         F.when(signed, F.array(F.struct(to.alias("pk"), F.lit(None).cast("string").alias("token")))).otherwise(touched).alias("receivers"),
