@@ -161,9 +161,9 @@ def snapped(blocks: DataFrame, bounds: DataFrame) -> DataFrame:
     made = F.when(F.col("id").isNull(), F.col("slot"))
     ends = both.groupBy("_block").agg(F.min(made).alias("_low"), F.max(made).alias("_high"))
     order = Window.orderBy("_block")  # a row for each 65,536 slots
-    ends = ends.select("_block", F.last("_high", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_low", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    ends = ends.select("_block", F.last("_high", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.last("_low", True).over(Window.orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))
     own = Window.partitionBy("_block").orderBy("slot")
-    out = both.withColumns({"_p": F.max(made).over(own), "_f": F.min(made).over(own.rangeBetween(0, Window.unboundedFollowing))})
+    out = both.withColumns({"_p": F.max(made).over(own), "_f": F.min(made).over(Window.partitionBy("_block").orderBy(F.col("slot").desc()))})
     out = out.filter("id is not null").join(F.broadcast(ends), "_block")
     return out.select("id", "slot", F.coalesce("_p", "_before").alias("previous"), F.coalesce("_f", "_after").alias("following"))
 
