@@ -3,7 +3,7 @@
 Vectors are scaled to unit length; each of several tables quantises several Gaussian projections in steps of ``STEP``.
 The published collision probability gives how many: with more vectors more projections, so that a vector meets about
 ``CANDIDATES`` unrelated ones whatever their number, and so many tables that a pair of the wanted cosine shares one
-with probability ``RECALL`` (the more alike, the surer). Tables are bounded by ``MOST_TABLES``, about 50 million vectors
+with probability ``RECALL`` (the more alike, the surer). Tables are bounded by ``MOST_TABLES``, about 10 million vectors
 at cosine 0.9; beyond that unrelated candidates grow slowly, recall stays. Equal vectors are one class first. A bucket of
 more than ``BLOCK`` classes is cut into blocks and each pair of blocks is a cell, so no bucket is one task's; inside a
 cell cosines are exact, in double precision. A pair is counted in the first table that it shares alone, so sums need no
