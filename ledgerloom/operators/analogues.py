@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts, codecs
-from ledgerloom.plans import chain, counters, ledger
-from ledgerloom.plans.predicates import listing, predicate
+from ledgerloom.plans import chain, contracts, counters, ledger
+from ledgerloom.plans.predicates import ACTIONS, listing, predicate
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -362,3 +362,110 @@ def checked_texts(spark, sf_dir):
     """Bytes there and back through base58check, so that the digest of each number is its own."""
     text = codecs.base58check(F.unhex(F.md5(F.col("o_orderkey").cast("string").cast("binary"))), 12)
     return _t(spark, sf_dir, "orders").select("o_orderkey", text.alias("t")).select("o_orderkey", F.lower(F.hex(codecs.from_base58check(F.col("t"))["data"])).alias("digest"))
+
+
+_UPDATES = "SELECT user_id AS pk, event_type AS token, event_id AS place, CASE WHEN value >= 50 THEN CAST(event_id AS VARCHAR) END AS uri, CASE WHEN event_id % 7 = 0 THEN CAST(event_id % 100 AS VARCHAR) END AS symbol, CASE WHEN event_id % 3 = 0 THEN 's' || event_id::VARCHAR END AS first, CASE WHEN event_id % 5 = 0 THEN 't' || event_id::VARCHAR END AS second FROM events"
+
+
+@query(f"WITH u AS ({_UPDATES}) SELECT pk, token, count(*) AS updates, arg_max(uri, place) FILTER (uri IS NOT NULL) AS uri, arg_max(symbol, place) FILTER (symbol IS NOT NULL) AS symbol, coalesce(arg_max(first, place) FILTER (first IS NOT NULL), '0') AS first, coalesce(arg_max(second, place) FILTER (second IS NOT NULL), '0') AS second FROM u GROUP BY pk, token")
+def contract_state(spark, sf_dir):
+    at = F.col("event_id")
+    text = lambda c: c.cast("string")
+    state = F.array(F.when(at % 3 == 0, F.concat(F.lit("s"), text(at))), F.when(at % 5 == 0, F.concat(F.lit("t"), text(at))))
+    own = _t(spark, sf_dir, "events").select(F.col("user_id").alias("pk"), F.col("event_type").alias("token"), F.floor(at / 100).alias("height"), (at % 100).alias("seq"), F.when(F.col("value") >= 50, text(at)).alias("uri"), F.when(at % 7 == 0, text(at % 100)).alias("symbol"), state.alias("app_state"))
+    found = contracts.contract_state(own, ["height", "seq"], ("uri", "symbol"), 2, "0")
+    return found.select("pk", "token", "updates", "uri", "symbol", F.get("app_state", F.lit(0)).alias("first"), F.get("app_state", F.lit(1)).alias("second"))
+
+
+@query("WITH p AS (SELECT user_id AS pk, max(event_id) AS since FROM events WHERE event_type = 'purchase' GROUP BY 1), i AS (SELECT user_id AS pk, event_id AS at FROM events WHERE event_type = 'click') SELECT pk, (coalesce(since + 1, 0) + (SELECT count(*) FROM i WHERE i.pk = k.pk AND (since IS NULL OR i.at > since)))::BIGINT AS nonce FROM (SELECT pk FROM p UNION SELECT pk FROM i) k LEFT JOIN p USING (pk)")
+def update_nonces(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("pk"), F.floor(F.col("event_id") / 100).alias("height"), (F.col("event_id") % 100).alias("seq"), (F.col("event_id") + 1).alias("nonce"), "event_type")
+    return contracts.update_nonces(e.filter("event_type = 'purchase'"), e.filter("event_type = 'click'"), ["height", "seq"], ("pk",))
+
+
+@query("WITH n AS (SELECT event_id, user_id AS pk, event_type AS token, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS idx FROM events) SELECT n.pk, n.token, n.event_id AS height, n.idx, o_custkey AS creator, l_partkey AS command FROM n JOIN orders ON o_orderkey = n.event_id JOIN lineitem ON l_orderkey = n.event_id AND l_linenumber = 1 WHERE n.event_id >= 100 AND n.idx >= 1 AND n.idx < 40")
+def actions(spark, sf_dir):
+    """Actions are numbered over the whole table; the window is then taken from the numbered ones."""
+    e = _t(spark, sf_dir, "events").select(F.col("event_id").alias("state_hash"), F.lit(1).cast("long").alias("seq"), F.col("event_id").alias("height"), F.col("user_id").alias("pk"), F.col("event_type").alias("token"))
+    own = contracts.numbered(e, ["pk", "token"], F.floor(F.col("height") / 1024), ["height"])
+    own = own.filter(predicate({"start_height": 100, "start_index": 1, "end_index": 40}, ACTIONS))
+    blocks = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("state_hash"), F.col("o_custkey").alias("creator"))
+    commands = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("state_hash"), F.col("l_linenumber").cast("long").alias("seq"), F.col("l_partkey").alias("command"))
+    return contracts.in_context(own, blocks, commands).select("pk", "token", "height", "idx", "creator", "command")
+
+
+_TOKEN_CHANGES = "SELECT event_type AS token, event_id, CAST(round(value * 100) AS BIGINT) * CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END AS delta, CASE WHEN event_id % 11 = 0 THEN user_id END AS owner, CASE WHEN event_id % 13 = 0 THEN CAST(event_id % 1000 AS VARCHAR) END AS symbol FROM events"
+
+
+def _token_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("event_id")
+    return _t(spark, sf_dir, "events").select(F.col("event_type").alias("token"), "event_id", F.floor(at / 100).alias("height"), (at % 100).alias("seq"), (_cents("value") * F.when(at % 3 == 0, -1).otherwise(1)).alias("delta"), F.when(at % 11 == 0, F.col("user_id")).alias("owner"), F.when(at % 13 == 0, (at % 1000).cast("string")).alias("symbol"))
+
+
+@query(f"SELECT token, event_id, delta, row_number() OVER w AS nth, sum(delta) OVER w::BIGINT AS supply FROM ({_TOKEN_CHANGES}) WINDOW w AS (PARTITION BY token ORDER BY event_id)")
+def token_history(spark, sf_dir):
+    return contracts.token_history(_token_changes(spark, sf_dir).select("token", "event_id", "delta"), F.floor(F.col("event_id") / 1024), ["event_id"]).select("token", "event_id", "delta", "nth", "supply")
+
+
+@query(f"SELECT token, coalesce(sum(delta), 0)::BIGINT AS supply, arg_min(owner, event_id) FILTER (owner IS NOT NULL) AS owner, arg_max(symbol, event_id) FILTER (symbol IS NOT NULL) AS symbol, count(*) AS txns FROM ({_TOKEN_CHANGES}) GROUP BY token")
+def token_ledger(spark, sf_dir):
+    return counters.token_ledger(_token_changes(spark, sf_dir)).select("token", "supply", "owner", "symbol", "txns")
+
+
+@query("SELECT user_id AS pk, arg_max(event_type, event_id) AS username, count(*) AS changes FROM events WHERE value >= 20 GROUP BY 1")
+def name_changes(spark, sf_dir):
+    claims = _t(spark, sf_dir, "events").filter("value >= 20").select(F.col("user_id").alias("pk"), F.col("event_type").alias("username"), F.floor(F.col("event_id") / 100).alias("height"), (F.col("event_id") % 100).alias("seq"))
+    return counters.names_of(claims)
+
+
+@query("WITH t AS (SELECT l_orderkey AS k, sum(CAST(round(l_tax * 100) AS BIGINT))::BIGINT AS fees FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1), s AS (SELECT l_orderkey AS k, sum(CAST(round(l_discount * 100) AS BIGINT))::BIGINT AS fees FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT o_orderkey AS state_hash, coalesce(t.fees, 0)::BIGINT AS tx_fees, coalesce(s.fees, 0)::BIGINT AS snark_fees FROM orders LEFT JOIN t ON t.k = o_orderkey LEFT JOIN s ON s.k = o_orderkey")
+def block_fees(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem")
+    fees = lambda where, c: li.filter(where).select(F.col("l_orderkey").alias("state_hash"), _cents(c).alias("fee"))
+    return counters.block_fees(fees("l_linestatus = 'O'", "l_tax"), fees("l_returnflag = 'R'", "l_discount"), _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("state_hash")))
+
+
+@query("SELECT DISTINCT o_custkey AS height, year(o_orderdate)::BIGINT AS global_slot FROM orders")
+def heights_and_slots(spark, sf_dir):
+    return counters.slots_of_heights(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("height"), F.year("o_orderdate").cast("long").alias("global_slot")))
+
+
+@query("WITH a AS (SELECT c_custkey AS pk, c_nationkey + 1 AS delegate, CAST(round(c_acctbal * 100) AS BIGINT) AS balance FROM customer), d AS (SELECT delegate AS pk, sum(balance)::BIGINT AS total_delegated, count(*) AS delegators FROM a GROUP BY 1) SELECT pk, a.delegate, balance, coalesce(total_delegated, 0)::BIGINT AS total_delegated, coalesce(delegators, 0) AS delegators, s_name AS username FROM a LEFT JOIN d USING (pk) LEFT JOIN supplier ON s_suppkey = pk")
+def stakes(spark, sf_dir):
+    own = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pk"), (F.col("c_nationkey") + 1).alias("delegate"), _cents("c_acctbal").alias("balance"))
+    names = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pk"), F.col("s_name").alias("username"))
+    return counters.stakes(own, names).select("pk", "delegate", "balance", "total_delegated", "delegators", "username")
+
+
+@query("SELECT year(l_shipdate)::BIGINT AS epoch, l_suppkey AS pk, count(*) AS every, count(*) FILTER (l_linestatus = 'F') AS canonical, count(*) FILTER (l_returnflag = 'R') AS coinbases, grouping(year(l_shipdate))::INT AS all_epochs, grouping(l_suppkey)::INT AS all_pks FROM lineitem GROUP BY CUBE (year(l_shipdate), l_suppkey)")
+def internal_command_counts(spark, sf_dir):
+    own = _t(spark, sf_dir, "lineitem").withColumn("epoch", F.year("l_shipdate").cast("long"))
+    found = counters.grouped_counts(own, {"every": F.lit(True), "canonical": F.col("l_linestatus") == "F", "coinbases": F.col("l_returnflag") == "R"}, pk="l_suppkey")
+    return found.withColumns({"all_epochs": F.col("all_epochs").cast("int"), "all_pks": F.col("all_pks").cast("int")})
+
+
+@query("SELECT year(o_orderdate)::BIGINT AS epoch, o_custkey AS pk, count(*) AS blocks, count(*) FILTER (o_orderkey % 2 = 0) AS canonical, count(*) FILTER (o_orderpriority = '1-URGENT') AS supercharged, count(*) FILTER (o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0) AS canonical_supercharged, grouping(year(o_orderdate))::INT AS all_epochs, grouping(o_custkey)::INT AS all_pks FROM orders GROUP BY CUBE (year(o_orderdate), o_custkey)")
+def block_counts(spark, sf_dir):
+    canonical, charged = F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority") == "1-URGENT"
+    own = _t(spark, sf_dir, "orders").withColumn("epoch", F.year("o_orderdate").cast("long"))
+    found = counters.grouped_counts(own, {"blocks": F.lit(True), "canonical": canonical, "supercharged": charged, "canonical_supercharged": canonical & charged}, pk="o_custkey")
+    return found.withColumns({"all_epochs": F.col("all_epochs").cast("int"), "all_pks": F.col("all_pks").cast("int")})
+
+
+@query(f"WITH a AS (SELECT CAST(round(c_acctbal * 100) AS BIGINT) AS balance, c_nationkey * 1000 AS initial FROM customer), l AS (SELECT balance, greatest(initial - 100 * 20, 0) AS locked FROM a) SELECT count(*) AS accounts, sum(balance)::BIGINT AS total, sum(least(locked, balance))::BIGINT AS locked, (sum(balance) - sum(least(locked, balance)))::BIGINT AS circulating FROM l")
+def locked_supply(spark, sf_dir):
+    """Locked amounts at slot 300 of accounts whose cliff is 100, with a period of 10 and an increment of 100."""
+    own = _t(spark, sf_dir, "customer").select(_cents("c_acctbal").alias("balance"), (F.col("c_nationkey") * 1000).alias("initial"))
+    return contracts.locked_total(own, amounts.minimum_balance(F.lit(300), F.col("initial"), F.lit(100), F.lit(10), F.lit(100)).cast("long"))
+
+
+@query("SELECT o_custkey AS pk, o_orderkey AS block, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders")
+def account_ordinals(spark, sf_dir):
+    own = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("pk"), F.col("o_orderkey").alias("block"))
+    return ledger.running(own, ["pk"], F.floor(F.col("block") / 1024), ["block"], {}, {}, {}).select("pk", "block", "nth")
+
+
+@query("SELECT l_suppkey AS prover, l_orderkey AS height, o_custkey AS creator FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem) JOIN orders ON o_orderkey = l_orderkey")
+def works_to_blocks(spark, sf_dir):
+    works = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("prover"), F.col("l_orderkey").alias("height")).distinct()
+    return works.join(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("height"), F.col("o_custkey").alias("creator")), "height").select("prover", "height", "creator")

@@ -118,17 +118,20 @@ def user_commands(raw_: DataFrame) -> DataFrame:
 
 
 def zkapp_updates(raw_: DataFrame) -> DataFrame:
-    """One row an account update of an applied contract command: pk, token, signed balance change, events and actions as JSON."""
+    """One row an account update of an applied contract command: pk, token, signed balance change, the fields it sets (else null), events and actions as JSON."""
     c, u = F.col("c"), F.col("u")
     at = "$.elt.account_update.body"
     rows = _commands(raw_).filter((get("$.data[0]", of=c) == "Zkapp_command") & (get("$.status[0]", of=c) == "Applied"))
     rows = rows.select("height", "state_hash", "seq", F.posexplode(_updates(c)).alias("sub_seq", "u"))
     change = get(f"{at}.balance_change.magnitude", of=u).cast("long")
+    given = lambda field, path="", kind="string": F.when(get(f"{at}.update.{field}[0]", of=u) == "Set", get(f"{at}.update.{field}[1]{path}", kind, u))
+    state = F.transform(get(f"{at}.update.app_state", "array<variant>", u), lambda e: F.when(get("$[0]", of=e) == "Set", get("$[1]", of=e)))
     return rows.select(
         "height", "state_hash", "seq", "sub_seq", get(f"{at}.public_key", of=u).alias("pk"), get(f"{at}.token_id", of=u).alias("token"),
         F.when(get(f"{at}.balance_change.sgn[0]", of=u) == "Neg", -change).otherwise(change).alias("delta"),
-        F.when(get(f"{at}.update.delegate[0]", of=u) == "Set", get(f"{at}.update.delegate[1]", of=u)).alias("delegate"),
-        F.when(get(f"{at}.update.token_symbol[0]", of=u) == "Set", get(f"{at}.update.token_symbol[1]", of=u)).alias("symbol"),
+        given("delegate").alias("delegate"), given("token_symbol").alias("symbol"), given("verification_key", ".hash").alias("verification_key"),
+        F.to_json(given("permissions", kind="variant")).alias("permissions"), given("zkapp_uri").alias("uri"), F.to_json(given("timing", kind="variant")).alias("timing"),
+        given("voting_for").alias("voting_for"), state.alias("app_state"), F.coalesce(get(f"{at}.increment_nonce", "boolean", u), F.lit(False)).alias("increments"),
         F.to_json(get(f"{at}.events", "variant", u)).alias("events"), F.to_json(get(f"{at}.actions", "variant", u)).alias("actions"),
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts, codecs, keys
 from ledgerloom.operators import analogues
-from ledgerloom.plans import chain, counters, ledger, predicates
+from ledgerloom.plans import chain, contracts, counters, ledger, predicates
 from ledgerloom.plans.predicates import predicate
 from ledgerloom.sources import exports, files, precomputed
 from ledgerloom.streaming import ingest
@@ -361,3 +361,47 @@ def test_a_batch_that_fails_midway_is_replaced(spark, tmp_path):
         ingest.ingest(ingest.stream(spark, str(tmp_path / "in"), rows.schema), *args, after=fail).awaitTermination(60)
     ingest.ingest(ingest.stream(spark, str(tmp_path / "in"), rows.schema), *args).awaitTermination(60)
     assert sorted(r.id for r in ingest.kept(spark, str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_contract_updates_of_files(spark, tmp_path):
+    """Later updates win field by field, what is kept stays, and nested calls come after those above them."""
+
+    def call(nonce, *updates):
+        return {"data": ["Zkapp_command", {"fee_payer": {"body": {"public_key": "F", "fee": "0.02", "nonce": str(nonce)}}, "memo": "E4Z", "account_updates": list(updates)}], "status": ["Applied"]}
+
+    def filled(pk, state=None, increments=False, calls=(), **fields):
+        u = update(pk, calls=calls)
+        body = u["elt"]["account_update"]["body"]
+        body["update"] |= {k: ["Set", v] for k, v in fields.items()} | {"app_state": [["Keep"] if s is None else ["Set", s] for s in state or [None] * 8]}
+        body["increment_nonce"] = increments
+        return u
+
+    first = call(4, filled("U", ["0x1", None, "0x3", *[None] * 5], True, zkapp_uri="a", verification_key={"data": "d", "hash": "h"}, calls=[filled("U", ["0x9", *[None] * 7], True)]), filled("V", zkapp_uri="v", voting_for="w"))
+    block_file(tmp_path, 9, "3Nz", "3Ny", 2, [first, call(5, filled("U", zkapp_uri="b", timing={"cliff": 1}), filled("F", increments=True))], slot=564_500)
+    own = precomputed.zkapp_updates(precomputed.raw(spark, str(tmp_path))).cache()
+    place = ["height", "seq", "sub_seq"]
+    rows = {r.pk: r for r in contracts.contract_state(own, place).collect()}
+    assert rows["U"].app_state == ["0x9", contracts.ZERO, "0x3", *[contracts.ZERO] * 5]
+    assert (rows["U"].updates, rows["U"].uri, rows["U"].verification_key, json.loads(rows["U"].timing), rows["U"].permissions) == (3, "b", "h", {"cliff": 1}, None)
+    assert (rows["V"].uri, rows["V"].voting_for, rows["V"].delegate) == ("v", "w", None)
+    payers = spark.createDataFrame([("F", "t", 9, 0, -1, 5), ("F", "t", 9, 1, -1, 6)], "pk string, token string, height long, seq int, sub_seq int, nonce long")
+    nonces = contracts.update_nonces(payers, own.filter("increments"), place)
+    assert {r.pk: r.nonce for r in nonces.collect()} == {"F": 7, "U": 2}
+    assert contracts.contract_state(own.limit(0), place).count() == 0
+
+
+def test_numbers_and_histories_of_hot_tokens(spark):
+    """One token's rows over many blocks of the order, of an empty table, and amounts of no accounts."""
+    changes = spark.range(5000).select(F.lit("t").alias("token"), (F.col("id") * 7).alias("at"), F.when(F.col("id") % 3 == 0, -2).otherwise(1).cast("long").alias("delta"))
+    rows = contracts.token_history(changes, F.floor(F.col("at") / 256), ["at"]).orderBy("at").collect()
+    supply = 0
+    for i, r in enumerate(rows):
+        supply += r.delta
+        assert (r.nth, r.supply) == (i + 1, supply)
+    numbers = contracts.numbered(changes, ["token"], F.floor(F.col("at") / 256), ["at"])
+    assert [r.idx for r in numbers.orderBy("at").collect()] == list(range(5000))
+    assert contracts.numbered(changes.limit(0), ["token"], F.floor(F.col("at") / 256), ["at"]).count() == 0
+    none = spark.createDataFrame([], "balance long, locked long")
+    assert contracts.locked_total(none, F.col("locked")).collect() == [(0, 0, 0, 0)]
+    some = spark.createDataFrame([(10, 4), (3, 9)], "balance long, locked long")
+    assert contracts.locked_total(some, F.col("locked")).collect() == [(2, 13, 7, 6)]
