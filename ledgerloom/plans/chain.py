@@ -241,3 +241,15 @@ def successors(blocks: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
 def due(tip_height: Column, root_height: Column, threshold: int = 2) -> Column:
     """Whether the canonical root moves: the tip is at least so many blocks above it (fixed value of the ledger format)."""
     return tip_height - root_height >= threshold
+
+
+def canonical_update(blocks: DataFrame, root: DataFrame, depth: int = RECENT, threshold: int = 2, ready: Contracted | None = None) -> DataFrame:
+    """(state_hash, height, is_root): blocks that become canonical, those of the best chain above the old root and at least ``depth`` below the tip.
+
+    None do unless the tip is ``threshold`` heights above the root (a row with height). The highest of them is the new root.
+    """
+    tip = _cut(best_block(blocks))
+    bounds = tip.select((F.col("height") - depth).alias("_most"), F.col("height").alias("_tip")).crossJoin(root.select(F.col("height").alias("_root")))  # a row each
+    own = ancestors(blocks, tip, ready).select("state_hash").join(blocks.select("state_hash", "height"), "state_hash").crossJoin(F.broadcast(bounds))
+    own = own.filter(due(F.col("_tip"), F.col("_root"), threshold) & (F.col("height") > F.col("_root")) & (F.col("height") <= F.col("_most")))
+    return own.select("state_hash", "height", (F.col("height") == F.col("_most")).alias("is_root"))

@@ -120,9 +120,10 @@ def stakes(accounts: DataFrame, names: DataFrame | None = None) -> DataFrame:
 
 
 def delegators(accounts: DataFrame) -> DataFrame:
-    """(delegate, nth, pk, balance): each delegate's delegators, the greatest balance first."""
-    nth = F.row_number().over(Window.partitionBy("delegate").orderBy(F.col("balance").desc(), "pk"))
-    return accounts.select("delegate", nth.cast("long").alias("nth"), "pk", "balance")
+    """(delegate, nth, pk, balance): each delegate's delegators, the greatest balance first; a delegate of any number is spread."""
+    order = [F.col("balance").desc(), F.col("pk")]
+    own = ledger.ranged(accounts.select("delegate", "pk", "balance"), [F.col("delegate"), *order], "part")
+    return ledger.running(own, ["delegate"], F.col("part"), order, {}, {}, {}).select("delegate", "nth", "pk", "balance")
 
 
 def with_counters(accounts: DataFrame, counters: dict[str, DataFrame]) -> DataFrame:

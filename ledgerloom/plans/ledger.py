@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.chain import _cut
+
 BLOCK = 65_536
+#: Canonical heights from one stored ledger to the next (fixed value of the ledger format).
+CADENCE = 1000
 
 
 def saturating_balance(changes: DataFrame, keys: list[str], order: str, delta: Column, block: int = BLOCK, then: tuple[str | Column, ...] = (), most: tuple[str, ...] = ()) -> DataFrame:
@@ -44,6 +48,14 @@ def running(rows: DataFrame, keys: list[str], block: Column, order: list[str], s
     return joined.select(*rows.columns, (F.col("_n") + F.col("_nth")).cast("long").alias("nth"), *[both[f](F.col(f"_{n}"), F.col(f"_own_{n}")).alias(n) for n, _, f in named])
 
 
+def ranged(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with a number that is a coarser form of the order, about as many rows of each: equal rows may share one or not.
+
+    For orders in which any one value may be common. The numbers are checkpointed, so a lost task can't change them.
+    """
+    return _cut(rows.repartitionByRange(*order).withColumn(name, F.spark_partition_id()))
+
+
 def neighbours(rows: DataFrame, keys: list[str], at: str, block: Column) -> DataFrame:
     """rows with ``previous`` and ``following``: the next smaller and the next greater ``at`` of the key (values differ inside a key).
 
@@ -131,6 +143,27 @@ def from_snapshot(snapshot: DataFrame, at: int, diffs: DataFrame, height: int |
     return out.join(known, ["pk", "token"], "left").withColumn("since", F.coalesce("_since", "since")).drop("_since")
 
 
+def snapshots(diffs: DataFrame, every: int = CADENCE) -> DataFrame:
+    """(pk, token, height, balance): balances after the heights that ``every`` divides, and after the end of the last period.
+
+    An account has a row for each period that changes it; its balance holds until its next row. Changes are folded, with
+    the floor of 0, inside a period, and periods are put together by a row each, so an account of any size is spread.
+    """
+    end = (F.ceil(F.col("height") / every) * every).cast("long")
+    at = diffs.select("pk", "token", end.alias("_end"), "height", "phase", "seq", "sub_seq", F.coalesce("delta", F.lit(0).cast("long")).alias("_d"))
+    inner = Window.partitionBy("pk", "token", "_end").orderBy("height", "phase", "seq", "sub_seq").rowsBetween(Window.unboundedPreceding, 0)
+    parts = at.withColumn("_s", F.sum("_d").over(inner)).groupBy("pk", "token", "_end").agg(F.sum("_d").alias("_sum"), F.min("_s").alias("_low"))
+    until = Window.partitionBy("pk", "token").orderBy("_end").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("_all", F.sum("_sum").over(until))
+    lowest = F.min(F.col("_all") - F.col("_sum") + F.col("_low")).over(until)
+    return parts.select("pk", "token", F.col("_end").alias("height"), (F.col("_all") - F.least(lowest, F.lit(0))).alias("balance"))
+
+
+def stored(snapshots_: DataFrame, height: int) -> DataFrame:
+    """(pk, token, balance): the nearest stored ledger at or below a height, from snapshots()."""
+    return snapshots_.filter(F.col("height") <= height).groupBy("pk", "token").agg(F.max_by("balance", "height").alias("balance"))
+
+
 def unapplied(diffs: DataFrame, height: int) -> DataFrame:
     """The accounts that taking back all blocks above a height changes: their state after it, and ``gone`` for those made above it."""
     touched = diffs.filter(F.col("height") > height).select("pk", "token").distinct()

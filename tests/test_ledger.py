@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts, codecs, keys
-from ledgerloom.operators import analogues
-from ledgerloom.plans import chain, contracts, counters, ledger, predicates
+from ledgerloom.operators import analogues, roots  # noqa: F401 - adds its queries
+from ledgerloom.plans import chain, contracts, counters, ledger, listings, predicates
 from ledgerloom.plans.predicates import predicate
 from ledgerloom.sources import exports, files, precomputed
 from ledgerloom.streaming import ingest
@@ -405,3 +405,72 @@ def test_numbers_and_histories_of_hot_tokens(spark):
     assert contracts.locked_total(none, F.col("locked")).collect() == [(0, 0, 0, 0)]
     some = spark.createDataFrame([(10, 4), (3, 9)], "balance long, locked long")
     assert contracts.locked_total(some, F.col("locked")).collect() == [(2, 13, 7, 6)]
+
+
+def test_pages_name_what_they_know(spark):
+    rows = spark.createDataFrame([("a", "t", 1), ("b", "t", 5), ("c", "u", 5)], "pk string, token string, balance long")
+    assert [r.pk for r in listings.page(rows, "holders").collect()] == ["c", "b", "a"]
+    assert [r.pk for r in listings.page(rows, "holders", {"token": "t"}, "balance", True, 1).collect()] == ["a"]
+    assert listings.page(rows, "holders", limit=0).count() == 0
+    for asked in ({"nothing": 1}, None):
+        with pytest.raises(ValueError):
+            listings.page(rows, "actions" if asked is None else "holders", asked)
+    with pytest.raises(ValueError):
+        listings.page(rows, "holders", sort="pk")
+
+
+def test_decorations_keep_rows_without_a_match(spark):
+    rows = spark.createDataFrame([(1, "x", "a", None), (2, "y", "b", "t")], "id int, state_hash string, pk string, token string")
+    blocks = spark.createDataFrame([("x", True)], "state_hash string, canonical boolean")
+    assert {r.id: r.canonical for r in listings.with_canonicity(rows, blocks).collect()} == {1: True, 2: False}
+    names = spark.createDataFrame([("b", "bob")], "pk string, username string")
+    assert {r.id: r.who for r in listings.with_names(rows, names, pk="who").collect()} == {1: None, 2: "bob"}
+    tokens = spark.createDataFrame([("t", "o", "S")], "token string, owner string, symbol string")
+    assert {r.id: r.symbol for r in listings.with_symbols(rows, tokens).collect()} == {1: None, 2: "S"}
+    assert sorted(listings.tokens_used(rows.union(rows), tokens).collect(), key=repr) == [("a", None, None, None), ("b", "t", "o", "S")]
+    assert sorted(listings.public_keys((rows, "pk"), (rows, "token")).collect()) == [("x", "a"), ("y", "b"), ("y", "t")]
+
+
+def test_delegators_of_equal_balances_are_numbered_over_many_parts(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "d").otherwise(F.col("id").cast("string")).alias("delegate"), F.col("id").alias("pk"), F.lit(0).cast("long").alias("balance"))
+    got = counters.delegators(rows).filter("delegate = 'd'").orderBy("nth").collect()
+    assert [(r.nth, r.pk) for r in got] == [(i + 1, 3 * i) for i in range(1000)]
+    assert counters.delegators(rows.limit(0)).count() == 0
+
+
+def test_snapshots_and_stored_ledgers(spark):
+    rnd = random.Random(3)
+    rows = [("ab"[rnd.random() < 0.3], "t", h, 0, s, 0, rnd.randint(-9, 9)) for h in range(1, 60) for s in range(rnd.randint(0, 3))]
+    diffs = spark.createDataFrame(rows, "pk string, token string, height long, phase int, seq long, sub_seq int, delta long")
+    kept = ledger.snapshots(diffs, 10)
+    for at in (0, 10, 25, 60):
+        want = {}
+        for pk, _, h, _, _, _, d in rows:
+            if h <= at // 10 * 10:
+                want[pk] = max(0, want.get(pk, 0) + d)
+        assert {r.pk: r.balance for r in ledger.stored(kept, at).collect()} == want
+    assert ledger.snapshots(diffs.limit(0)).count() == 0
+
+
+def test_the_canonical_root_moves_below_the_tip(spark):
+    rows = [(i, i - 1 if i else None, i, 0) for i in range(30)] + [(100, 20, 21, 9)]
+    b = spark.createDataFrame(rows, "state_hash long, parent_hash long, height long, vrf int")
+    root = lambda h: spark.createDataFrame([(h,)], "height long")
+    assert sorted(chain.canonical_update(b, root(15)).collect()) == [(h, h, h == 19) for h in range(16, 20)]
+    assert chain.canonical_update(b, root(28)).count() == 0
+
+
+def test_exports_have_the_columns_of_the_format(spark, tmp_path):
+    own = [(1, 5, "x", "a", "b", 1, 7, "h", 2, 3, "m", "Payment", 0), (1, 6, "y", "b", "a", 2, 8, "i", 2, 3, "m", "Payment", 1)]
+    rows = spark.createDataFrame(own, "date_time_ms long, height long, state_hash string, sender string, receiver string, nonce long, n int, txn_hash string, fee long, amount long, memo string, kind string, idx int")
+    exports.user_commands(rows, "a", str(tmp_path / "u"))
+    exports.internal_commands(rows, "a", str(tmp_path / "i"))
+    exports.dump(rows.select("height", "state_hash"), str(tmp_path / "j"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "u"))
+    assert back.columns == ["Date", "BlockHeight", "BlockStateHash", "From", "To", "Nonce", "Hash", "Fee", "Amount", "Memo", "Kind"]
+    assert sorted((r.BlockHeight, r.From, r.Date) for r in back.collect()) == [("5", "a", "1970-01-01T00:00:00.001Z"), ("6", "b", "1970-01-01T00:00:00.001Z")]
+    inside = spark.read.option("header", True).csv(str(tmp_path / "i"))
+    assert (inside.columns, inside.count()) == (["Date", "BlockHeight", "BlockStateHash", "Recipient", "Amount", "Kind"], 1)
+    assert [r.height for r in spark.read.json(str(tmp_path / "j")).orderBy("height").collect()] == [5, 6]
+    with pytest.raises(ValueError):
+        exports.dump(rows, str(tmp_path / "k"), "fee")
