@@ -10,8 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.analogues import _DIFFS, _cents, _diffs, _pairs, _PAIRS, _t, query
-from ledgerloom.plans import chain, ledger, listings
+from ledgerloom.operators.analogues import _DIFFS, _FOLD, _PAIRS, _cents, _diffs, _pairs, _t, query
+from ledgerloom.plans import chain, contracts, ledger, listings
 
 _BLOCKS = """b AS (SELECT o_orderkey AS state_hash, o_orderkey - 1 AS parent_hash, o_orderkey // 2 AS height, CAST(round(o_totalprice * 100) AS BIGINT) AS vrf, o_orderkey * 3 AS global_slot, o_orderkey * 3 AS slot_since_fork,
 year(o_orderdate)::BIGINT AS epoch, day(o_orderdate)::BIGINT AS epoch_slot, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) * 86400000 AS date_time_ms, o_custkey AS creator, o_orderkey % 2 = 0 AS canonical, o_orderpriority = '1-URGENT' AS supercharged, o_orderkey * 1000 AS total_currency FROM orders)"""
@@ -176,8 +176,31 @@ def chain_summary(spark, sf_dir):
 @query(f"WITH RECURSIVE b AS MATERIALIZED ({_PAIRS}), t AS (SELECT id, height FROM b ORDER BY height DESC, id DESC LIMIT 1), a(id, parent, height) AS (SELECT id, parent, height FROM b WHERE id = (SELECT id FROM t) UNION ALL SELECT b.id, b.parent, b.height FROM b JOIN a ON b.id = a.parent) SELECT id AS state_hash, height, height = (SELECT height FROM t) - 10 AS is_root FROM a WHERE height > 20 AND height <= (SELECT height FROM t) - 10")
 def canonical_update(spark, sf_dir):
     """The canonical root moves from height 20."""
-    b = _pairs(spark, sf_dir).withColumn("vrf", F.lit(0))
-    return chain.canonical_update(b, spark.range(1).select(F.lit(20).cast("long").alias("height")))
+    return chain.canonical_update(_pairs(spark, sf_dir).withColumn("vrf", F.lit(0)), 20)
+
+
+@query(f"WITH RECURSIVE b AS MATERIALIZED ({_PAIRS}), a(id, parent, height, n) AS (SELECT * FROM (SELECT id, parent, height, 1 FROM b ORDER BY height DESC, id DESC LIMIT 1) UNION ALL SELECT b.id, b.parent, b.height, n + 1 FROM b JOIN a ON b.id = a.parent WHERE n < 50) SELECT id AS state_hash, height FROM a")
+def best_chain(spark, sf_dir):
+    return chain.best_chain(_pairs(spark, sf_dir).withColumn("vrf", F.lit(0)), 50).select("state_hash", "height")
+
+
+@query(f"WITH RECURSIVE {_DIFFS}, o AS MATERIALIZED (SELECT o_orderkey AS id, o_orderkey - 1 - (o_orderkey % 7 = 3)::INT AS parent FROM orders), a(id, parent) AS (SELECT id, parent FROM o WHERE id = (SELECT max(id) FROM o) UNION ALL SELECT o.id, o.parent FROM o JOIN a ON o.id = a.parent) {_FOLD.format(rows='(SELECT x.* FROM x JOIN a ON a.id = h)')}")
+def staged_at_block(spark, sf_dir):
+    """The ledger after the last order, on a chain that leaves every seventh order out."""
+    k = F.col("o_orderkey")
+    b = _t(spark, sf_dir, "orders").select(k.cast("string").alias("state_hash"), (k - 1 - (k % 7 == 3).cast("int")).cast("string").alias("parent_hash"), k.alias("height"))
+    tip = b.agg(F.max_by("state_hash", "height").alias("state_hash"))
+    return ledger.at_block(b, _diffs(spark, sf_dir), tip).drop("token")
+
+
+@query(f"""WITH {_DIFFS}, y AS (SELECT pk, h, phase, 0 AS seq, sub, d, nonce, delegate, false AS raised FROM x UNION ALL SELECT user_id, event_id // 100, 0, event_id % 100 + 1, 1, CAST(round(value * 100) AS BIGINT) * CASE WHEN event_id % 2 = 0 THEN -1 ELSE 1 END, NULL, CASE WHEN event_id % 11 = 0 THEN event_id % 50 END, event_id % 3 = 0 FROM events),
+z AS (SELECT *, h * 10000 + phase * 1000 + seq * 2 + sub AS ord FROM y), n AS (SELECT pk, arg_max(nonce, ord) FILTER (nonce IS NOT NULL) AS base, max(ord) FILTER (nonce IS NOT NULL) AS since FROM z GROUP BY 1), m AS (SELECT pk, count(*) FILTER (raised AND (since IS NULL OR ord > since)) AS more FROM z JOIN n USING (pk) GROUP BY 1),
+f AS (SELECT *, sum(d) OVER (PARTITION BY pk ORDER BY ord ROWS UNBOUNDED PRECEDING) AS low FROM z)
+SELECT CAST(pk AS VARCHAR) AS pk, (sum(d) - least(min(low), 0))::BIGINT AS balance, (coalesce(any_value(base), 0) + any_value(more))::BIGINT AS nonce, CAST(coalesce(arg_max(delegate, ord) FILTER (delegate IS NOT NULL), pk) AS VARCHAR) AS delegate, min(h) AS since FROM f JOIN n USING (pk) JOIN m USING (pk) GROUP BY pk""")
+def accounts_with_updates(spark, sf_dir):
+    at = F.col("event_id")
+    updates = _t(spark, sf_dir, "events").select(at.cast("string").alias("state_hash"), F.floor(at / 100).alias("height"), (at % 100 + 1).alias("seq"), F.lit(0).alias("sub_seq"), F.col("user_id").alias("pk"), F.lit("native").alias("token"), (_cents("value") * F.when(at % 2 == 0, -1).otherwise(1)).alias("delta"), F.when(at % 11 == 0, at % 50).alias("delegate"), (at % 3 == 0).alias("increments"))
+    return contracts.accounts_with_updates(_diffs(spark, sf_dir), updates).select("pk", "balance", "nonce", "delegate", "since")
 
 
 @query(f"WITH {_DIFFS}, s AS (SELECT pk, h, phase, sub, d, (h + 999) // 1000 * 1000 AS upto, sum(d) OVER w AS s FROM x WINDOW w AS (PARTITION BY pk ORDER BY h, phase, sub ROWS UNBOUNDED PRECEDING)), f AS (SELECT *, s - least(min(s) OVER (PARTITION BY pk ORDER BY h, phase, sub ROWS UNBOUNDED PRECEDING), 0) AS balance FROM s) SELECT CAST(pk AS VARCHAR) AS pk, upto::BIGINT AS height, balance::BIGINT AS balance FROM f QUALIFY row_number() OVER (PARTITION BY pk, upto ORDER BY h DESC, phase DESC, sub DESC) = 1")

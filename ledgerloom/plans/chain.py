@@ -243,13 +243,25 @@ def due(tip_height: Column, root_height: Column, threshold: int = 2) -> Column:
     return tip_height - root_height >= threshold
 
 
-def canonical_update(blocks: DataFrame, root: DataFrame, depth: int = RECENT, threshold: int = 2, ready: Contracted | None = None) -> DataFrame:
+def best_chain(blocks: DataFrame, last: int = 10) -> DataFrame:
+    """(state_hash, height): the last blocks of the best chain, the tip included. Only blocks of these heights are walked."""
+    tip = _cut(best_block(blocks))
+    return _above(blocks, tip, (r.height if (r := tip.first()) and r.height is not None else 0) - last)
+
+
+def _above(blocks: DataFrame, tip: DataFrame, height: int) -> DataFrame:
+    near = blocks.filter(F.col("height") > height)
+    return ancestors(near, tip).select("state_hash").join(near.select("state_hash", "height"), "state_hash")
+
+
+def canonical_update(blocks: DataFrame, root_height: int, depth: int = RECENT, threshold: int = 2) -> DataFrame:
     """(state_hash, height, is_root): blocks that become canonical, those of the best chain above the old root and at least ``depth`` below the tip.
 
-    None do unless the tip is ``threshold`` heights above the root (a row with height). The highest of them is the new root.
+    None do unless the tip is ``threshold`` heights above the root. The highest of them is the new root. Blocks at or
+    below the root's height are not walked, so an update costs what came since the last one.
     """
     tip = _cut(best_block(blocks))
-    bounds = tip.select((F.col("height") - depth).alias("_most"), F.col("height").alias("_tip")).crossJoin(root.select(F.col("height").alias("_root")))  # a row each
-    own = ancestors(blocks, tip, ready).select("state_hash").join(blocks.select("state_hash", "height"), "state_hash").crossJoin(F.broadcast(bounds))
-    own = own.filter(due(F.col("_tip"), F.col("_root"), threshold) & (F.col("height") > F.col("_root")) & (F.col("height") <= F.col("_most")))
+    bounds = tip.select((F.col("height") - depth).alias("_most"), F.col("height").alias("_tip"))  # one row
+    own = _above(blocks, tip, root_height).crossJoin(F.broadcast(bounds))
+    own = own.filter(due(F.col("_tip"), F.lit(root_height), threshold) & (F.col("height") <= F.col("_most")))
     return own.select("state_hash", "height", (F.col("height") == F.col("_most")).alias("is_root"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.amounts import NATIVE_TOKEN
 from ledgerloom.plans import ledger
 
 #: Fields that an update may set; null keeps what was there.
@@ -41,6 +42,27 @@ def update_nonces(payers: DataFrame, increments: DataFrame, place: list[str], ke
     return out.select(*keys, (F.coalesce("base", F.lit(0)) + F.coalesce("more", F.lit(0))).cast("long").alias("nonce"))
 
 
+def update_diffs(updates: DataFrame, native: str = NATIVE_TOKEN) -> DataFrame:
+    """The account changes of contract updates, as ``ledger.account_diffs`` has them: balance and delegate, after their command's own."""
+    token = F.when(F.col("token") == native, F.lit("native")).otherwise(F.col("token"))
+    place = [F.lit(0).alias("phase"), F.col("seq").cast("long").alias("seq"), (F.col("sub_seq") + 1).cast("int").alias("sub_seq")]
+    return updates.select("state_hash", "height", F.col("pk").cast("string").alias("pk"), token.alias("token"), *place, F.lit("Update").alias("kind"), F.col("delta").cast("long").alias("delta"), F.lit(None).cast("long").alias("nonce"), F.col("delegate").cast("string").alias("delegate"))
+
+
+def accounts_with_updates(diffs: DataFrame, updates: DataFrame, height: int | None = None, native: str = NATIVE_TOKEN) -> DataFrame:
+    """ledger.accounts() of all account changes and contract updates, in one order; an update may raise a nonce that was set before it.
+
+    updates have state_hash, height, seq, sub_seq, pk, token, delta, delegate and increments; null changes nothing.
+    """
+    place = ["height", "phase", "seq", "sub_seq"]
+    own = updates if height is None else updates.filter(F.col("height") <= height)
+    every = (diffs if height is None else diffs.filter(F.col("height") <= height)).unionByName(update_diffs(own, native))
+    raised = update_diffs(own.filter("increments"), native).select("pk", "token", *place)
+    nonces = update_nonces(every.filter("nonce is not null").select("pk", "token", *place, "nonce"), raised, place).withColumnRenamed("nonce", "_nonce")
+    out = ledger.accounts(every).join(nonces, ["pk", "token"], "left")
+    return out.withColumn("nonce", F.coalesce("_nonce", "nonce")).drop("_nonce")
+
+
 def numbered(rows: DataFrame, keys: list[str], block: Column, order: list[str]) -> DataFrame:
     """rows with ``idx``, their number from 0 among the rows of their keys in order; ``block`` is a coarser form of its first column."""
     return ledger.running(rows, keys, block, order, {}, {}, {}).withColumn("idx", F.col("nth") - 1).drop("nth")

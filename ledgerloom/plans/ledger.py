@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.plans.chain import _cut
+from ledgerloom.plans.chain import _cut, ancestors
 
 BLOCK = 65_536
 #: Canonical heights from one stored ledger to the next (fixed value of the ledger format).
@@ -91,22 +91,23 @@ def share(part: Column, whole: Column) -> Column:
 
 #: Kinds of account changes: those that add to or take from a balance, and the others.
 MOVES = ("Credit", "Debit", "Coinbase", "FeeCredit", "FeeDebit")
-KINDS = (*MOVES, "Delegation", "FailedNonce", "CreationFee")
+KINDS = (*MOVES, "Delegation", "FailedNonce", "CreationFee", "PayerNonce", "Update")
 
 
 def account_diffs(commands: DataFrame, fees: DataFrame, blocks: DataFrame) -> DataFrame:
     """(state_hash, height, pk, token, phase, seq, sub_seq, kind, delta, nonce, delegate): what blocks do to accounts, in order.
 
-    commands: state_hash, height, seq, kind (Payment or Delegation), sender, receiver, amount, nonce and applied. fees:
+    commands: state_hash, height, seq, kind (Payment, Delegation or Zkapp), sender, receiver, amount, nonce and applied. fees:
     state_hash, height, step, sender, receiver and amount. blocks: state_hash, height, coinbase_receiver and coinbase.
     Phase 0 holds commands, 1 the coinbase, 2 fees. A payment credits, then debits with the next nonce; a delegation sets
-    delegate and nonce; a failed command sets its sender's nonce alone.
+    delegate and nonce; a failed command sets its sender's nonce alone, and so does a contract command, whose updates
+    ``contracts.update_diffs`` adds.
     """
     null = lambda kind: F.lit(None).cast(kind)
     diff = lambda sub, pk, kind, delta=null("long"), nonce=null("long"), delegate=null("string"): F.struct(F.lit(sub).alias("sub_seq"), pk.cast("string").alias("pk"), F.lit(kind).alias("kind"), delta.cast("long").alias("delta"), nonce.cast("long").alias("nonce"), delegate.cast("string").alias("delegate"))
     sender, receiver, amount, nonce = F.col("sender"), F.col("receiver"), F.col("amount"), F.col("nonce") + 1
     paid = F.array(diff(0, receiver, "Credit", amount), diff(1, sender, "Debit", -amount, nonce))
-    own = F.when(~F.col("applied"), F.array(diff(0, sender, "FailedNonce", nonce=nonce))).when(F.col("kind") == "Payment", paid).otherwise(F.array(diff(0, sender, "Delegation", nonce=nonce, delegate=receiver)))
+    own = F.when(~F.col("applied"), F.array(diff(0, sender, "FailedNonce", nonce=nonce))).when(F.col("kind") == "Payment", paid).when(F.col("kind") == "Zkapp", F.array(diff(0, sender, "PayerNonce", nonce=nonce))).otherwise(F.array(diff(0, sender, "Delegation", nonce=nonce, delegate=receiver)))
     rows = commands.select("state_hash", "height", F.lit(0).alias("phase"), F.col("seq").cast("long").alias("seq"), F.explode(own).alias("d"))
     moved = F.array(diff(0, receiver, "FeeCredit", amount), diff(1, sender, "FeeDebit", -amount))
     rows = rows.unionByName(fees.select("state_hash", "height", F.lit(2).alias("phase"), F.col("step").cast("long").alias("seq"), F.explode(moved).alias("d")))
@@ -134,6 +135,12 @@ def accounts(diffs: DataFrame, height: int | None = None, above: int | None = No
     return moved.join(last, ["pk", "token"]).select("pk", "token", "balance", F.coalesce("nonce", F.lit(0).cast("long")).alias("nonce"), F.coalesce("delegate", "pk").alias("delegate"), "since")
 
 
+def at_block(blocks: DataFrame, diffs: DataFrame, tip: DataFrame) -> DataFrame:
+    """accounts() after one block (a row with state_hash), on whatever branch: only its ancestors' diffs are folded."""
+    passed = ancestors(blocks, tip).select("state_hash")
+    return accounts(diffs.join(passed, "state_hash", "left_semi"))
+
+
 def from_snapshot(snapshot: DataFrame, at: int, diffs: DataFrame, height: int | None = None, block: int = 1024) -> DataFrame:
     """accounts() at a height from the accounts at an earlier one and only the diffs between them."""
     start = snapshot.select(F.lit(None).cast("string").alias("state_hash"), F.lit(at).cast("long").alias("height"), "pk", "token", F.lit(-1).alias("phase"), F.lit(0).cast("long").alias("seq"), F.lit(0).alias("sub_seq"), F.lit("Credit").alias("kind"), F.col("balance").alias("delta"), "nonce", "delegate")

@@ -455,9 +455,24 @@ def test_snapshots_and_stored_ledgers(spark):
 def test_the_canonical_root_moves_below_the_tip(spark):
     rows = [(i, i - 1 if i else None, i, 0) for i in range(30)] + [(100, 20, 21, 9)]
     b = spark.createDataFrame(rows, "state_hash long, parent_hash long, height long, vrf int")
-    root = lambda h: spark.createDataFrame([(h,)], "height long")
-    assert sorted(chain.canonical_update(b, root(15)).collect()) == [(h, h, h == 19) for h in range(16, 20)]
-    assert chain.canonical_update(b, root(28)).count() == 0
+    assert sorted(chain.canonical_update(b, 15).collect()) == [(h, h, h == 19) for h in range(16, 20)]
+    assert chain.canonical_update(b, 28).count() == 0
+    assert sorted(r.height for r in chain.best_chain(b, 4).collect()) == [26, 27, 28, 29]
+    assert chain.best_chain(b.limit(0)).count() == 0 and chain.canonical_update(b.limit(0), 0).count() == 0
+
+
+def test_contract_commands_set_a_nonce_and_their_updates_follow(spark):
+    commands = spark.createDataFrame([("x", 1, 0, "Zkapp", "F", None, 0, 4, True), ("x", 1, 1, "Payment", "F", "U", 3, 5, True), ("x", 1, 2, "Zkapp", "F", None, 0, 6, False)], "state_hash string, height long, seq int, kind string, sender string, receiver string, amount long, nonce long, applied boolean")
+    fees = spark.createDataFrame([], "state_hash string, height long, step int, sender string, receiver string, amount long")
+    made = spark.createDataFrame([("x", 1, "F", 10)], "state_hash string, height long, coinbase_receiver string, coinbase long")
+    diffs = ledger.account_diffs(commands, fees, made)
+    assert {(r.pk, r.kind, r.nonce) for r in diffs.filter("nonce is not null").collect()} == {("F", "PayerNonce", 5), ("F", "Debit", 6), ("F", "FailedNonce", 7)}
+    given = "state_hash string, height long, seq int, sub_seq int, pk string, token string, delta long, delegate string, increments boolean"
+    updates = spark.createDataFrame([("x", 1, 0, 0, "U", "native", 8, "D", True), ("x", 1, 0, 1, "U", "native", -2, None, True), ("x", 1, 0, 2, "U", "t", 1, None, False)], given)
+    got = {(r.pk, r.token): (r.balance, r.nonce, r.delegate) for r in contracts.accounts_with_updates(diffs, updates).collect()}
+    assert got == {("F", "native"): (10, 7, "F"), ("U", "native"): (9, 2, "D"), ("U", "t"): (1, 0, "U")}
+    assert contracts.accounts_with_updates(diffs, updates.limit(0)).count() == 2
+    assert contracts.accounts_with_updates(diffs, updates, 0).count() == 0
 
 
 def test_exports_have_the_columns_of_the_format(spark, tmp_path):
