@@ -49,11 +49,11 @@ def powers(n: int, base: np.uint64) -> np.ndarray:
         return np.multiply.accumulate(out)
 
 
-def words(flat: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text index of every word."""
+def words(flat: np.ndarray, at: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text index of every word; ``gaps`` tells of each byte whether it lies between words."""
     if not flat.size:
         return (np.zeros(0, np.int64),) * 3
-    space = _SPACE[flat]
+    space = gaps[flat]
     inner = ~space
     begins = inner.copy()
     begins[1:] &= space[:-1]
