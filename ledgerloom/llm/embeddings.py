@@ -6,8 +6,9 @@ The published collision probability gives how many: with more vectors more proje
 with probability ``RECALL`` (the more alike, the surer). Tables are bounded by ``MOST_TABLES``, about 10 million vectors
 at cosine 0.9; beyond that unrelated candidates grow slowly, recall stays. Equal vectors are one class first. A bucket of
 more than ``BLOCK`` classes is cut into blocks and each pair of blocks is a cell, so no bucket is one task's; inside a
-cell cosines are exact, in double precision. A pair is counted in the first table that it shares alone, so sums need no
-list of pairs, and a cell returns a row a class at most. Hot buckets and common vectors are joined by ``by_key``.
+cell cosines are exact, in double precision. The pairs of all small cells of a batch are compared at once. A pair is
+counted in the first table that it shares alone, so sums need no list of pairs, and a cell returns a row a class at most.
+Hot buckets and common vectors are joined by ``by_key``. Classes are numbered when they are written, whatever their ids.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
 different lengths do not link; repeated rows are vectors of their own; a null ``vec_id`` counts as a link of others
@@ -38,8 +39,9 @@ MOST_TABLES = 512
 STEP = 2.0
 BLOCK = 1024
 SEED = 29
+#: Cells of so many classes at most are compared with others of the batch at once.
+SMALL = 16
 _TABLE_MASK = 1023
-_NO_ID = 1 << 62
 
 
 def collides(distance: float) -> float:
@@ -108,9 +110,32 @@ def buckets(classes: DataFrame, tables: int, projections: int) -> DataFrame:
     return classes.select("rep", "vec").mapInArrow(run, "key long, rep long")
 
 
-def cell_links(table: int, rep: np.ndarray, w: np.ndarray, mine: np.ndarray, across: bool, x: np.ndarray, cosine: float, shape: tuple[int, int]) -> tuple[np.ndarray, ...] | None:
+def small_links(cell: np.ndarray, table: np.ndarray, rep: np.ndarray, w: np.ndarray, mine: np.ndarray, across: np.ndarray, u: np.ndarray, cosine: float, shape: tuple[int, int]) -> tuple[np.ndarray, ...] | None:
+    """(rep, links, label) of the classes of many cells that have links; rows of a cell follow each other, SMALL at most."""
+    a, b = [], []
+    for step in range(1, SMALL):
+        i = np.flatnonzero(cell[step:] == cell[:-step])
+        i = i[~across[i] | (mine[i] != mine[i + step])]
+        if not len(i):
+            continue
+        i = i[np.einsum("ij,ij->i", u[i], u[i + step]) >= cosine]
+        a.append(i)
+        b.append(i + step)
+    if not any(map(len, a)):
+        return None
+    i, j = np.concatenate(a), np.concatenate(b)
+    # Keys again, of linked vectors alone: in which table do both meet first?
+    some, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    _, one, back = np.unique(rep[some], return_index=True, return_inverse=True)
+    own = keys(u[some[one]], *shape)
+    at = back[place]
+    first = (own[at[: len(i)]] == own[at[len(i) :]]).argmax(1) == table[i]
+    links = np.concatenate([np.where(first, w[j], 0), np.where(first, w[i], 0)])
+    return np.concatenate([rep[i], rep[j]]), links, np.tile(np.minimum(rep[i], rep[j]), 2)
+
+
+def cell_links(table: int, rep: np.ndarray, w: np.ndarray, mine: np.ndarray, across: bool, u: np.ndarray, cosine: float, shape: tuple[int, int]) -> tuple[np.ndarray, ...] | None:
     """(rep, links, label) of a cell's classes that have links: counts of pairs first met in this table, and a member they join."""
-    u = unit(x)
     near = u @ u.T >= cosine
     np.fill_diagonal(near, False)
     if across:
@@ -141,7 +166,7 @@ def linked(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     cells = by_key(hashed, shared, "key", "m", hashed.count()).withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "rep")
-    cells = cells.join(classes.select("rep", "w", "vec"), "rep").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    cells = cells.join(classes.select("rep", "w", "vec", F.size("vec").alias("dim")), "rep").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "dim")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
@@ -154,22 +179,30 @@ def linked(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
             both = batch if held is None else held if done else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
             if both is None:
                 return
-            key, p, q, mine, rep, w = (both[c].to_numpy() for c in ("key", "p", "q", "mine", "rep", "w"))
-            cuts = [0, *(1 + np.flatnonzero((key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]))).tolist(), both.num_rows]
+            key, p, q, dim, mine, rep, w = (both[c].to_numpy() for c in ("key", "p", "q", "dim", "mine", "rep", "w"))
+            cuts = [0, *(1 + np.flatnonzero((key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]) | (dim[1:] != dim[:-1]))).tolist(), both.num_rows]
             held, last = (None, len(cuts) - 1) if done else (both.slice(cuts[-2]), len(cuts) - 2)
             vec = both["vec"]
             at = vec.offsets.to_numpy()
             flat = vec.values.to_numpy(zero_copy_only=False)
+            starts, sizes = np.array(cuts[:last], np.int64), np.diff(cuts[: last + 1])
+            small = (sizes > 1) & (sizes <= SMALL)
             found = []
-            for a, b in zip(cuts[:last], cuts[1 : last + 1], strict=True):
-                if b - a > 1:
-                    x = flat[at[a] : at[b]].astype("f8").reshape(b - a, -1)
-                    found.append(cell_links(int(key[a]) & _TABLE_MASK, rep[a:b], w[a:b], mine[a:b], bool(p[a] != q[a]), x, cosine, shape))
+            for d in np.unique(dim[starts][small]).tolist():
+                few = np.flatnonzero(small & (dim[starts] == d))
+                cell = np.repeat(few, sizes[few])
+                row = np.arange(len(cell)) - np.repeat(np.cumsum(sizes[few]) - sizes[few], sizes[few]) + starts[cell]
+                u = unit(flat[at[row][:, None] + np.arange(d)].astype("f8"))
+                found.append(small_links(cell, key[row] & _TABLE_MASK, rep[row], w[row], mine[row], p[row] != q[row], u, cosine, shape))
+            for i in np.flatnonzero(sizes > SMALL).tolist():
+                a, b = cuts[i], cuts[i + 1]
+                u = unit(flat[at[a] : at[b]].astype("f8").reshape(b - a, -1))
+                found.append(cell_links(int(key[a]) & _TABLE_MASK, rep[a:b], w[a:b], mine[a:b], bool(p[a] != q[a]), u, cosine, shape))
             found = [f for f in found if f is not None]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found]).astype("int64")) for i in range(3)], ["rep", "links", "label"])
 
-    return cells.select("key", "p", "q", "mine", "rep", "w", "vec").mapInArrow(run, "rep long, links long, label long")
+    return cells.select("key", "p", "q", "dim", "mine", "rep", "w", "vec").mapInArrow(run, "rep long, links long, label long")
 
 
 def grouped(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -178,13 +211,15 @@ def grouped(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     e = F.col("vec")
     valid = F.coalesce((F.size(e) > 0) & F.forall(e, finite) & F.exists(e, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vec"))
-    own = F.coalesce(F.min("vec_id"), F.lit(_NO_ID) + F.xxhash64("vec").bitwiseAND(F.lit(_NO_ID - 1)))
-    classes = written(rows.filter(valid).groupBy("vec").agg(own.alias("rep"), F.count(F.lit(1)).alias("w")), "classes")
+    folded = rows.filter(valid).groupBy("vec").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("w"))
+    classes = written(folded.withColumn("rep", F.monotonically_increasing_id()), "classes")
     parts = written(linked(classes, cosine).groupBy("rep", "label").agg(F.sum("links").alias("links")), "links")
-    labels = cut(components(parts.filter("rep != label").select(F.col("rep").alias("a"), F.col("label").alias("b"))))
+    labels = cut(components(parts.filter("rep != label").select(F.col("rep").alias("a"), F.col("label").alias("b"))).withColumnRenamed("v", "rep"))
+    # The smallest id of each component, which may hold most classes.
+    tops = labels.join(classes.select("rep", "least"), "rep").groupBy("label").agg(F.min("least").alias("top"), F.count(F.lit(1)).alias("m"))
+    tops = by_key(labels, tops, "label", "m", labels.count()).select("rep", "top")
     sums = parts.groupBy("rep").agg(F.sum("links").alias("links"))
-    out = classes.join(sums, "rep", "left").join(labels.withColumnRenamed("v", "rep"), "rep", "left")
-    out = out.select("vec", "w", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("label", "rep").alias("label"))
+    out = classes.join(sums, "rep", "left").join(tops, "rep", "left")
+    out = out.select("vec", "w", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("top", "least").alias("top"))
     found = by_key(rows, out, "vec", "w", rows.count(), "left")
-    label = F.coalesce("label", "vec_id")
-    return found.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(label < _NO_ID, label).alias("component_id"))
+    return found.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("top", "vec_id").alias("component_id"))
