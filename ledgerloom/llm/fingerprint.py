@@ -8,7 +8,8 @@ differ there get a numbered suffix, so that equal fingerprints mean equal canoni
 Digests are counted first, so that texts are only shuffled where a digest occurs more than once, and copies fold
 before that. The next document by id is found inside blocks of the order of ids: a block starts at a row of a sample of
 the order, whose bounds are broadcast as one row, and the row that a block starts at is also sent to the block before
-it. So one shuffle moves every text once, and no window holds more than a block.
+it. Equal rows of an id that fills a block are folded before, and unfolded after. So one shuffle moves every text once, and
+no window holds more than a block, but for different texts of one id and hash.
 
 Defined cases: a null text is the empty text; repeated rows share a fingerprint and each keeps its row; rows
 with a null ``doc_id`` are kept and come last; rows of one ``doc_id`` follow each other in the order of a hash of their
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, marked, marks
+from ledgerloom.llm.common import cut, marked, marks, same
 
 #: Rows of a block of the id order, about: a window holds one block, never the table.
 BLOCK_ROWS = 1000
@@ -61,17 +62,19 @@ def collisions(docs: DataFrame, digest_of=digest) -> DataFrame:
     return texts.join(shared, "digest").withColumn("ordinal", ordinal)
 
 
-def fingerprints(docs: DataFrame, digest_of=digest) -> DataFrame:
-    """(doc_id, text, fingerprint): the digest, with the ordinal of the text where a digest has several."""
+def numbered(df: DataFrame, canon: str, digest: str, clash: DataFrame) -> DataFrame:
+    """df with the digest of a canonical text lengthened by the text's ordinal where its bucket has several, from 1 on."""
+    others = clash.filter("ordinal > 0").select(F.col("digest").alias(digest), F.col("canon").alias(canon), F.concat(F.lit("-"), F.col("ordinal").cast("string")).alias("_suffix"))
+    joined = df.join(others, [digest, canon], "left")
+    return joined.withColumn(digest, F.concat(digest, F.coalesce("_suffix", F.lit("")))).select(df.columns)
+
+
+def fingerprints(docs: DataFrame, digest_of=digest, clash: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text, fingerprint): the digest, with the ordinal of the text where a digest has several; clash is collisions(docs)."""
     out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), canonical(F.col("text")).alias("_canon"))
     out = out.select("doc_id", "text", "_canon", digest_of(F.col("_canon")).alias("fingerprint"))
-    clash = cut(collisions(docs, digest_of))
-    if clash.isEmpty():
-        return out.drop("_canon")
-    clash = clash.filter("ordinal > 0").withColumnsRenamed({"digest": "fingerprint", "canon": "_canon"})
-    joined = out.join(clash, ["fingerprint", "_canon"], "left")
-    suffix = F.when(F.col("ordinal").isNull(), F.lit("")).otherwise(F.concat(F.lit("-"), F.col("ordinal").cast("string")))
-    return joined.select("doc_id", "text", F.concat("fingerprint", suffix).alias("fingerprint"))
+    clash = cut(collisions(docs, digest_of)) if clash is None else clash
+    return (out if clash.isEmpty() else numbered(out, "_canon", "fingerprint", clash)).drop("_canon")
 
 
 def place(doc_id: Column, text: Column) -> Column:
@@ -92,33 +95,50 @@ def bounds(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return found.select("each", F.size("b").alias("blocks"), F.transform(starts, lambda i: F.get("b", i)).alias("coarse"), F.transform(starts, lambda i: F.slice("b", i + 1, F.col("each"))).alias("fine"))
 
 
+def folded(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """docs (doc_id, text, fingerprint) with ``copies``: rows of an id that more than a block's rows have are one row if their texts are equal."""
+    often = cut(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_rows).select(F.col("doc_id").alias("often")))
+    one = F.lit(1).cast("long").alias("copies")
+    if often.isEmpty():
+        return docs.select("*", one)
+    on = same("doc_id", "often")
+    hot = docs.join(often, on, "left_semi").groupBy(docs.columns).agg(F.count(F.lit(1)).alias("copies"))
+    return docs.join(often, on, "left_anti").select("*", one).unionByName(hot)
+
+
 def with_next(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """docs (doc_id, text, fingerprint) with next_text and next_fingerprint, of the next row in descending doc_id (after the last: the first)."""
-    placed = docs.withColumn("at", place(F.col("doc_id"), F.col("text"))).crossJoin(F.broadcast(cut(bounds(docs.select("doc_id", "text"), block_rows))))  # one row
+    own = folded(docs, block_rows)
+    placed = own.withColumn("at", place(F.col("doc_id"), F.col("text"))).crossJoin(F.broadcast(cut(bounds(docs.select("doc_id", "text"), block_rows))))  # one row
     upto = lambda places: F.size(F.filter(places, lambda b: b <= F.col("at")))
     placed = placed.withColumn("group", upto(F.col("coarse")) - 1)
     placed = placed.withColumn("inside", upto(F.get("fine", F.col("group")))).withColumn("block", F.col("group") * F.col("each") + F.col("inside"))
     start = F.get(F.get("fine", F.col("group")), F.col("inside") - 1)
     before = F.when(F.col("block") > 1, F.col("block") - 1).otherwise(F.col("blocks"))
-    own = F.struct(F.col("block"), F.lit(False).alias("follows"))
-    copies = F.when(F.col("at") == start, F.array(own, F.struct(before.alias("block"), F.lit(True).alias("follows")))).otherwise(F.array(own))
-    both = placed.select("doc_id", "text", "fingerprint", "at", F.explode(copies).alias("to")).select("doc_id", "text", "fingerprint", "at", "to.*")
+    here = F.struct(F.col("block"), F.lit(False).alias("follows"))
+    to = F.when(F.col("at") == start, F.array(here, F.struct(before.alias("block"), F.lit(True).alias("follows")))).otherwise(F.array(here))
+    both = placed.select("doc_id", "text", "fingerprint", "copies", "at", F.explode(to).alias("to")).select("doc_id", "text", "fingerprint", "copies", "at", "to.*")
     w = Window.partitionBy("block").orderBy("follows", "at")
-    both = both.withColumns({"next_text": F.lead("text").over(w), "next_fingerprint": F.lead("fingerprint").over(w)})
-    return both.filter(~F.col("follows")).drop("block", "follows", "at")
+    both = both.withColumns({"next_text": F.lead("text").over(w), "next_fingerprint": F.lead("fingerprint").over(w)}).filter(~F.col("follows"))
+    # Of equal rows that were folded all but the last are followed by one like themselves.
+    last = F.array(F.struct("next_text", "next_fingerprint"))
+    like = F.array_repeat(F.struct(F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint")), (F.col("copies") - 1).cast("int"))
+    return both.select("doc_id", "text", "fingerprint", F.explode(F.when(F.col("copies") > 1, F.concat(last, like)).otherwise(last)).alias("n")).select("doc_id", "text", "fingerprint", "n.*")
 
 
-def edited_fingerprints(docs: DataFrame) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, digest_of=digest, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Fingerprints of documents and of their edited texts, and how alike they are (1.0 if equal, else 0.0)."""
-    df = with_next(fingerprints(docs)).withColumn("n_chars", F.char_length("text").cast("long"))
+    clash = cut(collisions(docs, digest_of))
+    df = with_next(fingerprints(docs, digest_of, clash), block_rows).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     keep = F.col("n_chars").cast("int") - half
     df = df.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), keep), F.substring(F.col("next_text"), F.lit(1), half)))
-    df = df.withColumn("edited_canon", canonical(F.col("edited"))).withColumn("edited_fingerprint", digest(F.col("edited_canon")))
-    own = F.substring("fingerprint", 1, 32)
-    # An edited text is in no bucket: it is held against its own document byte by byte where the digests agree.
-    like = F.when(own == F.col("edited_fingerprint"), F.when(canonical(F.col("text")) == F.col("edited_canon"), 1.0).otherwise(0.0)).otherwise(0.0)
-    return df.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+    df = df.withColumn("edited_canon", canonical(F.col("edited"))).withColumn("edited_fingerprint", digest_of(F.col("edited_canon")))
+    # Texts are compared byte by byte where the digests agree.
+    like = F.when(F.substring("fingerprint", 1, F.length("edited_fingerprint")) == F.col("edited_fingerprint"), F.when(canonical(F.col("text")) == F.col("edited_canon"), 1.0).otherwise(0.0)).otherwise(0.0)
+    df = df.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_canon", "edited_fingerprint",
         like.alias("near_edited"), F.when(F.col("fingerprint") == F.col("next_fingerprint"), 1.0).otherwise(0.0).alias("near_next"),
     )
+    # An edited text that is one of a bucket's texts has that one's number.
+    return (df if clash.isEmpty() else numbered(df, "edited_canon", "edited_fingerprint", clash)).drop("edited_canon")
