@@ -3,10 +3,11 @@
 Base spans (email, ip, card, phone) follow their patterns and checks exactly and are always redacted. High-recall
 generators propose further, overlapping spans: spelled-out addresses, digit groups without a plus sign, account
 numbers and assigned secrets. Boosted trees score each by its format and its context; scores are calibrated on one part
-of the examples that is kept aside, and each kind's threshold is the least calibrated probability that keeps the wanted
-precision on another. Some forms are examples of both classes, as they are in texts, so that probabilities are graded.
-Selected spans that overlap a base span, or a longer one (of equal ones that of the higher score), are dropped. The classifier is fitted on
-generated examples with a fixed seed, so it is the same on every machine; its few kilobytes go to every task.
+of the examples that is kept aside, and each kind's threshold on another: of those that keep the wanted precision the one
+of the best balance with recall. Forms that may be either are told by their context: a bare number, or a spelled-out
+address without brackets, counts where a word before it says so. Selected spans that overlap a base span, or a longer one
+(of equal ones that of the higher score), are dropped. The classifier is fitted on generated examples with a fixed seed, so
+it is the same on every machine; its few kilobytes go to every task.
 
 Every pattern is anchored on a rare character or takes its runs whole, so that a text of any length takes linear time
 and a value of any length is one candidate.
@@ -157,8 +158,9 @@ def _examples(seed: int = 11, count: int = EXAMPLES) -> tuple[np.ndarray, np.nda
         lambda: f"{pick(['mail me', 'contact', word()])} {word()}{num(2)} at {word()} dot {pick(['com', 'org', 'net'])} ",
         lambda: f"{pick(['call', 'phone', 'tel', 'mobile', 'fax'])}{pick([':', '', ' me on'])} {pick([f'({num(3)}) {num(3)}-{num(4)}', f'{num(3)}-{num(3)}-{num(4)}', f'{num(3)} {num(3)} {num(4)}', f'0{num(3)} {num(7)}', f'{num(3)}.{num(3)}.{num(4)}'])} ",
         lambda: f"{word()} ({num(3)}) {num(3)}-{num(4)} {word()}",
-        lambda: f"{pick([word(), word(), 'call', 'mobile'])} {unclear()} {word()}",
-        lambda: f"{word()} {pick(['at', '(at)'])} {word()}.{pick(['com', 'org', 'net'])} {word()}",
+        lambda: f"{pick(['call', 'mobile', 'phone', 'tel', 'reach me on'])} {unclear()} {word()}",
+        lambda: f"{pick(['mail', 'contact', 'write to', 'reach'])} {word()} {pick(['at', '(at)', '[at]'])} {word()}.{pick(['com', 'org', 'net'])} {word()}",
+        lambda: f"{word()} {word()}{pick(['.', '_', ''])}{word()} {pick(['(at)', '[at]', '{at}'])} {word()}.{pick(['com', 'org', 'net', 'de'])} {word()}",
         lambda: f"{word()} {pick(['password', 'token', 'secret'])}{pick(['=', ': '])}{pick([mixed(8), mixed(10), hexes(8)])} ",
         lambda: f"{pick(['ssn', 'social security'])} {pick(['', 'number '])}{num(3)}-{num(2)}-{num(4)} ",
         lambda: f"{pick(['iban', 'account'])} {pick(['DE', 'FR', 'ES', 'GB'])}{num(2)} {num(4)} {num(4)} {num(4)} {num(4)} {num(2)} ",
@@ -176,7 +178,7 @@ def _examples(seed: int = 11, count: int = EXAMPLES) -> tuple[np.ndarray, np.nda
         lambda: f"{word()} {pick(['table', 'row', 'value'])} {num(5)}.{num(5)} {word()}",
         lambda: f"{pick([word(), word(), 'part', 'order'])} {unclear()} {word()}",
         lambda: f"{word()} at {word()}.{pick(['com', 'org', word(2, 6)])} {word()}",
-        lambda: f"{word()} {pick(['token', 'key', 'secret'])}{pick(['=', ': '])}{pick([mixed(8), word(8, 10), word(6, 8) + num(1)])} ",
+        lambda: f"{word()} {pick(['token', 'key', 'secret'])}{pick(['=', ': '])}{pick([word(8, 10), word(6, 8) + num(1), word(3, 5) + '_' + word(3, 5), word(6, 9).capitalize()])} ",
         lambda: f"{pick([word(), word(3, 5) + 'tel' + word(2, 4), 're' + 'call' + word(1, 3), 'e' + 'mail' + num(1)])} {num(16)} {word()}",
     ]
     xs, ys = [], []
@@ -207,8 +209,10 @@ def model() -> tuple[Boosted, dict[int, float]]:
         precise = np.cumsum(y[mine][order]) / np.arange(1, mine.sum() + 1) >= PRECISION
         # A threshold lies between two different probabilities, with all equal ones on one side.
         precise[:-1] &= ranked[1:] < ranked[:-1]
-        last = np.flatnonzero(precise)
-        least[kind] = float(ranked[last[-1]] + (ranked[last[-1] + 1] if last[-1] + 1 < len(ranked) else 0)) / 2 if len(last) else 2.0
+        # Of those that are precise enough, the one of the best balance of precision and recall.
+        balance = np.where(precise, np.cumsum(y[mine][order]) / (np.arange(1, mine.sum() + 1) + y[mine].sum()), -1.0)
+        at = int(np.argmax(balance)) if precise.any() else None
+        least[kind] = 2.0 if at is None else float(ranked[at] + (ranked[at + 1] if at + 1 < len(ranked) else 0)) / 2
     return trees, least
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -526,7 +527,7 @@ def test_pii_precision_and_recall_by_kind(spark):
     for kind in range(4, 8):
         mine = x[:, 0] == kind
         picked = mine & (p >= least[kind])
-        assert y[picked].mean() >= 0.93 and picked[mine & (y > 0)].mean() >= 0.75
+        assert y[picked].mean() >= 0.95 and picked[mine & (y > 0)].mean() >= 0.9
     docs = spark.read.parquet(f"{LEARN}/documents.parquet")
     planted = {(r.doc_id, m.start(1), m.end(1)) for r in docs.collect() for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text or "")}
     found = {(r.doc_id, int(s), int(e)) for r in pii.found(docs).collect() for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "secret"}
@@ -587,21 +588,45 @@ def test_pipeline_stage_by_stage(spark):
     mix = stage["mixing"](spark, clean, DATA)
     copies = {r.doc_id: r.copies for r in mixing.rates(clean).collect()}
     assert sorted(r.doc_id for r in mix.collect()) == sorted(i for i, n in copies.items() for _ in range(n))
-    ids = sum(r.length for r in stage["packing"](spark, mix, DATA).collect())
-    tk = packing.tokenizer(packing.vocabulary_path())
-    assert ids == sum(len(x) // 4 + 1 for x in tk.batch([r.text or "" for r in mix.collect()]))
+    assert packed_ids(stage["packing"](spark, mix, DATA)) == plain_ids(mix)
     assert all(df.columns == docs.columns for df in (kept, once, clean, mix))
 
 
+def packed_ids(pieces):
+    """How often each id is in the pieces of each document."""
+    rows = pieces.collect()
+    assert all(len(r.ids) == r.length for r in rows)
+    return Counter((r.doc_id, i) for r in rows for i in r.ids)
+
+
+def plain_ids(docs):
+    tk = packing.tokenizer(packing.vocabulary_path())
+    rows = docs.select("doc_id", "text").collect()
+    return Counter((r.doc_id, i) for r, ids in zip(rows, tk.batch([r.text or "" for r in rows]), strict=True) for i in [*np.frombuffer(ids, "<u4").tolist(), 0])
+
+
 def test_pipeline_stages_on_odd_tables(spark, edge, none):
     import corpus_pipeline
 
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    ids = lambda df: sorted((r.doc_id for r in df.select("doc_id").collect()), key=repr)
     for table in (edge, none, edge.unionAll(edge).withColumnsRenamed({"key": "copies", "rep": "at", "n": "label"})):
         docs = table
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, DATA)
             if name != "packing":
                 assert out.columns == docs.columns
-            rows = out.count()
-            assert rows == 0 if table is none else rows >= 0
+            if table is none:
+                assert out.count() == 0
+            elif name == "quality":
+                assert ids(out) == ids(quality.scored(docs, labels).filter(F.col("score") >= quality.THRESHOLD))
+            elif name == "neardup":
+                assert ids(out) == [1, 3, 4, 5, 6, 7]
+            elif name == "pii":
+                assert ids(out) == ids(docs) and {r.doc_id: r.text for r in out.collect()} == {r.doc_id: r.text for r in docs.collect()}  # they hold none
+            elif name == "mixing":
+                taken = mixing.rates(docs).collect()
+                assert ids(out) == sorted((r.doc_id for r in taken for _ in range(r.copies)), key=repr)
+            else:
+                assert packed_ids(out) == plain_ids(docs)
             docs = out if name != "quality" else docs  # the classifier may reject all of so few
