@@ -30,9 +30,9 @@ from ledgerloom.llm.common import written
 
 SEQUENCE = 1024
 END_ID = 0
-#: Words kept by a worker with their ids; beyond that the store is emptied, so memory stays bounded (about 200 bytes a word).
+#: Words kept by a worker with their ids; beyond that the store is emptied, so memory stays bounded (about 400 bytes a word).
 #: Longer words, and odd ones, are encoded each time. Either way gives the same ids.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 80_000
 KEPT_LENGTH = 40
 
 #: A single space between two other characters: no token of the vocabulary's pattern reaches across it.
