@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -54,6 +55,15 @@ def clean(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark's cleaner drop what no plan refers to any more: broadcasts that executors hold in memory, and shuffles on disk.
+
+    The cleaner learns of them when the driver's garbage is collected, by default every half hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read again; for tables that hold texts."""
     path = fresh_path(df.sparkSession, name)
