@@ -1,4 +1,7 @@
-"""The corpus pipeline: quality, near duplicates, personal data, mixing and packing, one stage after another."""
+"""The corpus pipeline: quality, near duplicates, personal data, mixing and packing, one stage after another.
+
+Each stage first releases what the stages before it left on executors.
+"""
 
 from __future__ import annotations
 
@@ -7,31 +10,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import mixing, neardup, packing, pii, quality
-from ledgerloom.llm.common import table, written
+from ledgerloom.llm.common import release, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    release(spark)
     return quality.filtered(docs, table(spark, sf_dir, "labels"))
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
+    release(spark)
     return neardup.deduplicated(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind."""
+    release(spark)
     return pii.redacted(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    release(spark)
     return mixing.mixed(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of fixed-length sequences, with their ids."""
+    release(spark)
     return packing.packed(docs, with_ids=True)
 
 
