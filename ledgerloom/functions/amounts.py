@@ -73,7 +73,7 @@ def coinbase(parts: Column, supercharged: Column) -> Column:
 
 def without_creation_fee(balance: Column, token: Column, paid: Column, native: str = NATIVE_TOKEN) -> Column:
     """A balance less the fee for the account's creation, where that is due: native token (or none), not paid; at least 0."""
-    due = (token.isNull() | (token == native)) & ~F.coalesce(paid, F.lit(False))
+    due = balance.isNotNull() & (token.isNull() | (token == native)) & ~F.coalesce(paid, F.lit(False))
     return F.when(due, F.greatest(balance - CREATION_FEE, F.lit(0))).otherwise(balance)
 
 

@@ -38,9 +38,11 @@ def query(sql: str | None = None):
     return add
 
 
-@query("SELECT event_id, ts, user_id, event_type, value FROM events WHERE event_id >= 100 AND event_id < 100000 AND event_type = 'purchase' ORDER BY ts DESC, event_id LIMIT 100")
+@query("SELECT event_id, ts, user_id, event_type, value FROM events WHERE event_id >= (SELECT max(event_id) // 10 FROM events) AND event_id < (SELECT max(event_id) // 10 * 9 FROM events) AND event_type = 'purchase' ORDER BY ts DESC, event_id LIMIT 100")
 def bounded_scan_top_k(spark, sf_dir):
-    found = listing(_t(spark, sf_dir, "events"), {"event_id_gte": 100, "event_id_lt": 100_000, "event_type": "purchase"}, [F.col("ts").desc(), F.col("event_id")])
+    e = _t(spark, sf_dir, "events")
+    tenth = e.agg(F.floor(F.max("event_id") / 10)).first()[0] or 0
+    found = listing(e, {"event_id_gte": tenth, "event_id_lt": 9 * tenth, "event_type": "purchase"}, [F.col("ts").desc(), F.col("event_id")])
     return found.select("event_id", "ts", "user_id", "event_type", "value")
 
 
@@ -452,11 +454,12 @@ def block_counts(spark, sf_dir):
     return found.withColumns({"all_epochs": F.col("all_epochs").cast("int"), "all_pks": F.col("all_pks").cast("int")})
 
 
-@query(f"WITH a AS (SELECT CAST(round(c_acctbal * 100) AS BIGINT) AS balance, c_nationkey * 1000 AS initial FROM customer), l AS (SELECT balance, greatest(initial - 100 * 20, 0) AS locked FROM a) SELECT count(*) AS accounts, sum(balance)::BIGINT AS total, sum(least(locked, balance))::BIGINT AS locked, (sum(balance) - sum(least(locked, balance)))::BIGINT AS circulating FROM l")
+@query("WITH a AS (SELECT CAST(round(c_acctbal * 100) AS BIGINT) AS balance, c_nationkey * 1000 AS initial, c_nationkey % 4 AS token, c_custkey % 3 > 0 AS timed FROM customer), l AS (SELECT balance, CASE WHEN timed THEN greatest(initial - 100 * 20, 0) END AS locked FROM a WHERE token = 1) SELECT count(*) AS accounts, sum(balance)::BIGINT AS total, sum(locked)::BIGINT AS locked, (sum(balance) - sum(locked))::BIGINT AS circulating FROM l")
 def locked_supply(spark, sf_dir):
-    """Locked amounts at slot 300 of accounts whose cliff is 100, with a period of 10 and an increment of 100."""
-    own = _t(spark, sf_dir, "customer").select(_cents("c_acctbal").alias("balance"), (F.col("c_nationkey") * 1000).alias("initial"))
-    return contracts.locked_total(own, amounts.minimum_balance(F.lit(300), F.col("initial"), F.lit(100), F.lit(10), F.lit(100)).cast("long"))
+    """Locked amounts at slot 300 of the accounts of token 1 whose cliff is 100, with a period of 10 and an increment of 100."""
+    own = _t(spark, sf_dir, "customer").select(_cents("c_acctbal").alias("balance"), (F.col("c_nationkey") * 1000).alias("initial"), (F.col("c_nationkey") % 4).alias("token"), (F.col("c_custkey") % 3 > 0).alias("timed"))
+    locked = amounts.minimum_balance(F.lit(300), F.col("initial"), F.lit(100), F.lit(10), F.lit(100)).cast("long")
+    return contracts.locked_total(own, F.when(F.col("timed"), locked), 1)
 
 
 @query("SELECT o_custkey AS pk, o_orderkey AS block, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders")

@@ -18,7 +18,7 @@ year(o_orderdate)::BIGINT AS epoch, day(o_orderdate)::BIGINT AS epoch_slot, date
 _COMMANDS = """c AS (SELECT l_orderkey * 8 + l_linenumber AS txn_hash, l_orderkey AS state_hash, o.height, l_orderkey * 3 AS global_slot, o.date_time_ms, l_suppkey AS sender, l_partkey AS receiver, CAST(round(l_tax * 100) AS BIGINT) AS fee, year(l_shipdate)::BIGINT AS epoch, coalesce(o.canonical, false) AS canonical, l_returnflag <> 'R' AS applied, l_quantity > 40 AS is_zkapp FROM lineitem LEFT JOIN b o ON o.state_hash = l_orderkey)"""
 _WORKS = "w AS (SELECT l_suppkey AS prover, l_orderkey AS state_hash, l_orderkey // 2 AS height, l_linenumber % 3 AS idx, min(CAST(round(l_extendedprice * l_discount * 100) AS BIGINT)) AS fee, bool_or(l_linestatus = 'F') AS canonical, min(year(l_shipdate))::BIGINT AS epoch FROM lineitem GROUP BY 1, 2, 3, 4)"
 _INTERNAL = "i AS (SELECT l_orderkey // 2 AS height, l_orderkey AS state_hash, CASE WHEN l_returnflag = 'A' THEN 'Coinbase' ELSE 'Fee_transfer' END AS kind, l_partkey AS receiver, l_linenumber AS idx, year(l_shipdate)::BIGINT AS epoch, l_linestatus = 'F' AS canonical FROM lineitem WHERE l_linenumber <= 2)"
-_ACCOUNTS = "a AS (SELECT c_custkey AS pk, c_nationkey AS token, CAST(round(c_acctbal * 100) AS BIGINT) AS balance, c_custkey % 7 AS nonce, c_mktsegment = 'BUILDING' AS is_zkapp, c_nationkey * 10 AS locked, c_name AS username FROM customer)"
+_ACCOUNTS = "a AS (SELECT c_custkey AS pk, c_nationkey AS token, CAST(round(c_acctbal * 100) AS BIGINT) AS balance, c_custkey % 7 AS nonce, c_mktsegment = 'BUILDING' AS is_zkapp, c_custkey % 11 * 10 AS locked, c_name AS username FROM customer)"
 
 
 def _blocks(spark, sf_dir):
@@ -36,8 +36,7 @@ def _commands(spark, sf_dir):
         (k * 8 + F.col("l_linenumber")).alias("txn_hash"), k.alias("state_hash"), (k * 3).alias("global_slot"), F.col("l_suppkey").alias("sender"), F.col("l_partkey").alias("receiver"), _cents("l_tax").alias("fee"),
         F.year("l_shipdate").cast("long").alias("epoch"), (F.col("l_returnflag") != "R").alias("applied"), (F.col("l_quantity") > 40).alias("is_zkapp"), F.array(F.struct(F.col("l_partkey").alias("pk"), F.lit("t").alias("token"))).alias("receivers"),
     )
-    blocks = _blocks(spark, sf_dir)
-    return listings.with_canonicity(own, blocks).join(blocks.select("state_hash", "height", "date_time_ms"), "state_hash", "left")
+    return listings.with_canonicity(own, _blocks(spark, sf_dir), "height", "date_time_ms")
 
 
 def _works(spark, sf_dir):
@@ -51,7 +50,7 @@ def _internal(spark, sf_dir):
 
 
 def _accounts(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pk"), F.col("c_nationkey").alias("token"), _cents("c_acctbal").alias("balance"), (F.col("c_custkey") % 7).alias("nonce"), (F.col("c_mktsegment") == "BUILDING").alias("is_zkapp"), (F.col("c_nationkey") * 10).alias("locked"), F.col("c_name").alias("username"))
+    return _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pk"), F.col("c_nationkey").alias("token"), _cents("c_acctbal").alias("balance"), (F.col("c_custkey") % 7).alias("nonce"), (F.col("c_mktsegment") == "BUILDING").alias("is_zkapp"), (F.col("c_custkey") % 11 * 10).alias("locked"), F.col("c_name").alias("username"))
 
 
 def _sorted(rows: DataFrame, root: str, columns: list[str], asked: dict | None = None, limit: int = 100) -> DataFrame:
@@ -93,9 +92,11 @@ def best_containing_block(spark, sf_dir):
     return listings.command(held, _blocks(spark, sf_dir), 7).select("txn_hash", "state_hash", "sender")
 
 
-@query(_sql(_INTERNAL, "height, state_hash, kind, receiver", "i WHERE kind = 'Coinbase' AND height < 5000", {"height": "height, state_hash, kind, receiver"}))
+@query(_sql(_INTERNAL, "height, state_hash, kind, receiver", "i WHERE kind = 'Coinbase' AND height < (SELECT max(height) // 2 FROM i)", {"height": "height, state_hash, kind, receiver"}))
 def internal_commands_page(spark, sf_dir):
-    return _sorted(_internal(spark, sf_dir), "internal_commands", ["height", "state_hash", "kind", "receiver"], {"kind": "Coinbase", "height_lt": 5000})
+    rows = _internal(spark, sf_dir)
+    middle = rows.agg(F.floor(F.max("height") / 2)).first()[0] or 0
+    return _sorted(rows, "internal_commands", ["height", "state_hash", "kind", "receiver"], {"kind": "Coinbase", "height_lt": middle})
 
 
 @query(_sql(_WORKS, "height, state_hash, prover, idx, fee", "w WHERE canonical", {"height": "height, state_hash, prover, idx"}))
@@ -168,7 +169,7 @@ SELECT state_hash, parent_hash AS previous_state_hash, height AS blockchain_leng
 (SELECT count(*) FROM b) AS total_blocks, (SELECT count(*) FROM b WHERE b.canonical) AS total_canonical_blocks, (SELECT count(*) FROM b WHERE b.supercharged) AS total_supercharged_blocks,
 (SELECT count(*) FROM w) AS total_snarks, (SELECT count(*) FROM w WHERE w.canonical) AS total_canonical_snarks, (SELECT count(*) FROM i) AS total_internal_commands, (SELECT count(*) FROM i WHERE i.canonical) AS total_canonical_internal_commands,
 (SELECT count(*) FROM a) AS total_accounts, (SELECT count(*) FROM a WHERE token = 0) AS total_native_accounts, (SELECT count(*) FROM a WHERE is_zkapp) AS total_zkapp_accounts, (SELECT count(*) FROM a WHERE is_zkapp AND token = 0) AS total_native_zkapp_accounts,
-(SELECT sum(locked)::BIGINT FROM a) AS locked_supply, (SELECT count(DISTINCT b.creator) FROM b WHERE b.height > tip.height - 500) AS unique_block_producers, (total_currency - (SELECT sum(locked)::BIGINT FROM a))::BIGINT AS circulating_supply FROM tip""")
+(SELECT coalesce(sum(locked), 0)::BIGINT FROM a WHERE token = 0) AS locked_supply, (SELECT count(DISTINCT b.creator) FROM b WHERE b.height > tip.height - 500) AS unique_block_producers, (total_currency - (SELECT coalesce(sum(locked), 0)::BIGINT FROM a WHERE token = 0))::BIGINT AS circulating_supply FROM tip""")
 def chain_summary(spark, sf_dir):
     return listings.summary(*(f(spark, sf_dir) for f in (_blocks, _works, _commands, _internal, _accounts)), native=0)
 
@@ -193,13 +194,13 @@ def staged_at_block(spark, sf_dir):
     return ledger.at_block(b, _diffs(spark, sf_dir), tip).drop("token")
 
 
-@query(f"""WITH {_DIFFS}, y AS (SELECT pk, h, phase, 0 AS seq, sub, d, nonce, delegate, false AS raised FROM x UNION ALL SELECT user_id, event_id // 100, 0, event_id % 100 + 1, 1, CAST(round(value * 100) AS BIGINT) * CASE WHEN event_id % 2 = 0 THEN -1 ELSE 1 END, NULL, CASE WHEN event_id % 11 = 0 THEN event_id % 50 END, event_id % 3 = 0 FROM events),
+@query(f"""WITH {_DIFFS}, y AS (SELECT pk, h, phase, 0 AS seq, sub, d, nonce, delegate, false AS raised FROM x UNION ALL SELECT user_id, event_id // 100, 0, event_id % 100 + 1, 1, -CAST(round(value * 100) AS BIGINT), NULL, NULL, false FROM events WHERE event_id % 13 = 0 UNION ALL SELECT user_id, event_id // 100, 0, event_id % 100 + 1, 2, CAST(round(value * 100) AS BIGINT) * CASE WHEN event_id % 2 = 0 THEN -1 ELSE 1 END, NULL, CASE WHEN event_id % 11 = 0 THEN event_id % 50 END, event_id % 3 = 0 FROM events),
 z AS (SELECT *, h * 10000 + phase * 1000 + seq * 2 + sub AS ord FROM y), n AS (SELECT pk, arg_max(nonce, ord) FILTER (nonce IS NOT NULL) AS base, max(ord) FILTER (nonce IS NOT NULL) AS since FROM z GROUP BY 1), m AS (SELECT pk, count(*) FILTER (raised AND (since IS NULL OR ord > since)) AS more FROM z JOIN n USING (pk) GROUP BY 1),
 f AS (SELECT *, sum(d) OVER (PARTITION BY pk ORDER BY ord ROWS UNBOUNDED PRECEDING) AS low FROM z)
 SELECT CAST(pk AS VARCHAR) AS pk, (sum(d) - least(min(low), 0))::BIGINT AS balance, (coalesce(any_value(base), 0) + any_value(more))::BIGINT AS nonce, CAST(coalesce(arg_max(delegate, ord) FILTER (delegate IS NOT NULL), pk) AS VARCHAR) AS delegate, min(h) AS since FROM f JOIN n USING (pk) JOIN m USING (pk) GROUP BY pk""")
 def accounts_with_updates(spark, sf_dir):
     at = F.col("event_id")
-    updates = _t(spark, sf_dir, "events").select(at.cast("string").alias("state_hash"), F.floor(at / 100).alias("height"), (at % 100 + 1).alias("seq"), F.lit(0).alias("sub_seq"), F.col("user_id").alias("pk"), F.lit("native").alias("token"), (_cents("value") * F.when(at % 2 == 0, -1).otherwise(1)).alias("delta"), F.when(at % 11 == 0, at % 50).alias("delegate"), (at % 3 == 0).alias("increments"))
+    updates = _t(spark, sf_dir, "events").select(at.cast("string").alias("state_hash"), F.floor(at / 100).alias("height"), (at % 100 + 1).alias("seq"), F.lit(0).alias("sub_seq"), F.col("user_id").alias("pk"), F.lit("native").alias("token"), (_cents("value") * F.when(at % 2 == 0, -1).otherwise(1)).alias("delta"), F.when(at % 11 == 0, at % 50).alias("delegate"), (at % 3 == 0).alias("increments"), F.when(at % 13 == 0, _cents("value")).alias("creation_fee"))
     return contracts.accounts_with_updates(_diffs(spark, sf_dir), updates).select("pk", "balance", "nonce", "delegate", "since")
 
 

@@ -2,23 +2,30 @@
 
 Blocks have ``state_hash`` (unique), ``parent_hash``, ``height``, ``vrf`` (binary) and optionally ``hardfork`` (boolean).
 
-A walk contracts the table first: heights are cut into segments of about ``SEGMENT`` blocks, and inside each the first
-ancestor beyond it is found for all of its blocks at once. Between segments few blocks are left, over which pointers are
-doubled, and only segments that a walk enters are walked inside. A table of n blocks takes one shuffle by segment and
-log2(n / SEGMENT) small rounds, whatever its depth. A block that is its own ancestor is an error.
+A walk contracts the table first: heights are cut into segments of at most about ``SEGMENT`` blocks, and inside each the
+first ancestor beyond it is found for all of its blocks at once. Between segments few blocks are left, whose pointers one
+task follows if they are at most ``FEW``, and which are doubled in rounds otherwise; only segments that a walk enters are
+walked inside. A table of n blocks takes one shuffle by segment and log2(n / SEGMENT) small rounds at most, whatever its
+depth. A block that is its own ancestor is an error.
 """
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEGMENT = 50_000
+#: Blocks of a segment at most, and at least; between them so many that each core has a few.
+SEGMENT, LEAST_SEGMENT = 50_000, 8192
+#: Pointers between segments, and tips, that one task follows; more are doubled in rounds.
+FEW, FEW_TIPS = 100_000, 100
 #: Depth of the recent part of the canonical chain (fixed value of the ledger format).
 RECENT = 10
 
@@ -48,9 +55,11 @@ class Contracted(NamedTuple):
     exits: DataFrame
 
 
-def contracted(blocks: DataFrame, segment: int = SEGMENT) -> Contracted:
+def contracted(blocks: DataFrame, segment: int | None = None) -> Contracted:
     """The table cut into segments; a range of heights that holds too many blocks is cut again, by hash."""
     n, low, high = blocks.agg(F.count(F.lit(1)), F.min("height"), F.max("height")).first()
+    if segment is None:
+        segment = min(SEGMENT, max(LEAST_SEGMENT, n // (2 * blocks.sparkSession.sparkContext.defaultParallelism)))
     width = max(1, math.ceil(((high or 0) - (low or 0) + 1) / max(1, math.ceil(n / segment))))
     bins = blocks.select(F.floor((F.col("height") - F.lit(low or 0)) / width).alias("bin"), "state_hash", "parent_hash")
     sizes = bins.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / (4 * segment)).alias("parts"))  # a row for each segment
@@ -97,6 +106,9 @@ def entries(ready: Contracted, tips: DataFrame) -> DataFrame:
     exits = ready.exits.filter("exit is not null")
     between = exits.select(F.col("exit").alias("state_hash")).unionAll(starts.select("state_hash")).distinct()
     jump = _cut(exits.join(between, "state_hash", "left_semi").select(F.col("state_hash").alias("at"), F.col("exit").alias("to")))
+    if jump.count() <= FEW and starts.count() <= FEW_TIPS:
+        kind = jump.schema["at"].dataType.simpleString()
+        return _cut(starts.withColumn("_a", F.lit(0)).groupBy("_a").cogroup(jump.withColumn("_b", F.lit(0)).groupBy("_b")).applyInArrow(_follow, f"tip {kind}, state_hash {kind}"))  # one small task
     reached = starts
 
     def step(jump: DataFrame) -> None:
@@ -108,6 +120,21 @@ def entries(ready: Contracted, tips: DataFrame) -> DataFrame:
     return reached
 
 
+def _follow(starts: pa.Table, jump: pa.Table) -> pa.Table:
+    up = dict(zip(jump["at"].to_pylist(), jump["to"].to_pylist(), strict=True))
+    tips, out = [], []
+    for tip, x in zip(starts["tip"].to_pylist(), starts["state_hash"].to_pylist(), strict=True):
+        first = len(out)
+        while x is not None:
+            tips.append(tip)
+            out.append(x)
+            if len(out) - first > len(up) + 1:
+                raise ValueError(f"block {x} is its own ancestor")
+            x = up.get(x)
+    kind = starts.schema.field("state_hash").type
+    return pa.table({"tip": pa.array(tips, kind), "state_hash": pa.array(out, kind)})
+
+
 def walked(ready: Contracted, reached: DataFrame) -> DataFrame:
     """(tip, state_hash) of the blocks that walks pass, from their entries to the ends of the segments."""
     kind = ready.nodes.schema["state_hash"].dataType.simpleString()
@@ -149,8 +176,17 @@ def _cut(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='spark-')}")
-    return df.checkpoint()
+        if not folder:
+            own = tempfile.mkdtemp(prefix="spark-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            folder = f"file://{own}"
+        context.setCheckpointDir(folder)
+    # Kept while it is counted and written, so that it is made once.
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint()
+    finally:
+        held.unpersist()
 
 
 def canonicity(blocks: DataFrame, ready: Contracted | None = None) -> DataFrame:
@@ -199,13 +235,7 @@ def discovery(blocks: DataFrame, roots: Column, recent: int = RECENT) -> DataFra
     tree = _cut(ends.join(starts, "top", "left_semi").join(linked.select("state_hash", "height"), "state_hash"))
     highest = tree.agg(F.max("height").alias("_highest"))  # one row
     tips = _cut(tree.crossJoin(F.broadcast(highest)).filter(F.col("height") == F.col("_highest")).select("state_hash", "height"))
-    tip = tips
-    if tips.count() > 1:
-        # Paths of equal length come in the order of a breadth-first walk if they are compared from the root on.
-        path = differing(ready, tips).join(linked.select("state_hash", "height"), "state_hash")
-        paths = path.groupBy("tip").agg(F.sort_array(F.collect_list(F.struct("height", "state_hash"))).alias("path"))
-        last = paths.agg(F.max_by("tip", F.transform("path", lambda p: p["state_hash"])).alias("state_hash"))
-        tip = _cut(tips.join(last, "state_hash", "left_semi"))
+    tip = _last_of_walk(ready, tips, linked) if tips.count() > 1 else tips
     chain = ancestors(linked, tip, ready).select("state_hash", F.lit(True).alias("on_chain"))
     least = tip.agg((F.max("height") - recent + 1).alias("_split"))  # one row, of null without a tip
     out = blocks.join(chain, "state_hash", "left").withColumn("on_chain", F.coalesce("on_chain", F.lit(False))).crossJoin(F.broadcast(least))
@@ -213,13 +243,34 @@ def discovery(blocks: DataFrame, roots: Column, recent: int = RECENT) -> DataFra
     return out.withColumn("status", status).drop("_split")
 
 
+def _last_of_walk(ready: Contracted, tips: DataFrame, linked: DataFrame) -> DataFrame:
+    """The tip, of several at one height, that a breadth-first walk in the order of state hashes comes to last.
+
+    Paths of equal length come in the order of such a walk if they are compared from the root on: at the lowest height at
+    which they differ the tips with the greatest block stay, and so on until one is left. No path is put together.
+    """
+    path = _cut(differing(ready, tips).join(linked.select("state_hash", "height"), "state_hash"))
+    while True:
+        own = path.join(tips.select(F.col("state_hash").alias("tip")), "tip", "left_semi")
+        split = own.groupBy("height").agg(F.min("state_hash").alias("least"), F.max("state_hash").alias("most")).filter("least < most")
+        found = split.agg(F.min("height").alias("height"), F.min_by("most", "height").alias("most")).first()
+        if found.height is None:
+            return tips
+        stays = path.filter((F.col("height") == found.height) & (F.col("state_hash") == F.lit(found.most))).select(F.col("tip").alias("state_hash"))
+        tips = _cut(tips.join(stays, "state_hash", "left_semi"))
+
+
 def _tops(ready: Contracted) -> DataFrame:
     """(state_hash, top): the last ancestor that the table holds, of every block."""
     known = ready.nodes.select(F.col("state_hash").alias("exit"))
     exits = ready.exits.join(known.withColumn("_in", F.lit(True)), "exit", "left").withColumn("exit", F.when(F.col("_in"), F.col("exit"))).drop("_in")
     entered = exits.filter("exit is not null").select(F.col("exit").alias("state_hash")).distinct()
     ends = _cut(exits.join(entered, "state_hash", "left_semi"))  # blocks that a walk enters a segment at
-    rounds = math.ceil(math.log2(ends.count() + 1)) + 1
+    many = ends.count()
+    rounds = math.ceil(math.log2(many + 1)) + 1
+    if many <= FEW:
+        kind = ready.nodes.schema["state_hash"].dataType.simpleString()
+        ends = _cut(ends.select("state_hash", "top", "exit", F.lit(0).alias("_a")).groupBy("_a").applyInArrow(_ends, f"state_hash {kind}, top {kind}, exit {kind}"))  # one small task
     for _ in range(rounds):
         if ends.filter("exit is not null").isEmpty():
             break
@@ -233,6 +284,25 @@ def _tops(ready: Contracted) -> DataFrame:
     return exits.join(far, "exit", "left").select("state_hash", F.coalesce("_top", "top").alias("top"))
 
 
+def _ends(table: pa.Table) -> pa.Table:
+    at, top, exit_ = (table[c].to_pylist() for c in ("state_hash", "top", "exit"))
+    up, last = dict(zip(at, exit_, strict=True)), dict(zip(at, top, strict=True))
+    ends: dict = {}
+    for start in at:
+        path, x = [], start
+        while x not in ends and up[x] is not None:
+            path.append(x)
+            if len(path) > len(up):
+                raise ValueError(f"block {start} is its own ancestor")
+            x = up[x]
+        end = ends.get(x, last[x])
+        ends[x] = end
+        for p in path:
+            ends[p] = end
+    kind = table.schema.field("state_hash").type
+    return pa.table({"state_hash": pa.array(at, kind), "top": pa.array([ends[x] for x in at], kind), "exit": pa.array([None] * len(at), kind)})
+
+
 def successors(blocks: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """new where it is strictly better than old, or else old: the best tip after more blocks."""
     return best_block(old.unionByName(new, allowMissingColumns=True))

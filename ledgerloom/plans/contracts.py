@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,17 +18,18 @@ ZERO = "0x" + "0" * 64
 
 
 def contract_state(updates: DataFrame, place: list[str], fields: tuple[str, ...] = FIELDS, state: int = STATE, zero: str = ZERO) -> DataFrame:
-    """(pk, token, updates, *fields, app_state) after all updates, taken in the order of ``place``.
+    """(pk, token, updates, *fields, app_state, proved) after all updates, taken in the order of ``place``.
 
-    updates have pk, token, the columns of place, which no two updates of an account share, the fields, and app_state, an
+    proved is true once an update was (without such a column it is false). updates have pk, token, the columns of place, which no two updates of an account share, the fields, and app_state, an
     array in which null keeps an element. A field that was never set is null, an element that was never set is ``zero``.
     The last values set are partial maxima, so a hot account is a row of each task, and no order of its updates is needed.
     """
     at = F.struct(*place)
     last = lambda c: F.max_by(c, F.when(c.isNotNull(), at))
     elements = [F.coalesce(last(F.get("app_state", F.lit(i))), F.lit(zero)).alias(f"_{i}") for i in range(state)]
-    out = updates.groupBy("pk", "token").agg(F.count(F.lit(1)).alias("updates"), *[last(F.col(c)).alias(c) for c in fields], *elements)
-    return out.select("pk", "token", "updates", *fields, F.array(*[f"_{i}" for i in range(state)]).alias("app_state"))
+    proved = F.coalesce(F.bool_or("proved"), F.lit(False)) if "proved" in updates.columns else F.bool_or(F.lit(False))
+    out = updates.groupBy("pk", "token").agg(F.count(F.lit(1)).alias("updates"), proved.alias("proved"), *[last(F.col(c)).alias(c) for c in fields], *elements)
+    return out.select("pk", "token", "updates", *fields, F.array(*[f"_{i}" for i in range(state)]).alias("app_state"), "proved")
 
 
 def update_nonces(payers: DataFrame, increments: DataFrame, place: list[str], keys: tuple[str, ...] = ("pk", "token")) -> DataFrame:
@@ -43,21 +46,30 @@ def update_nonces(payers: DataFrame, increments: DataFrame, place: list[str], ke
 
 
 def update_diffs(updates: DataFrame, native: str = NATIVE_TOKEN) -> DataFrame:
-    """The account changes of contract updates, as ``ledger.account_diffs`` has them: balance and delegate, after their command's own."""
+    """The account changes of contract updates, as ``ledger.account_diffs`` has them: balance and delegate, after their command's own.
+
+    What an update pays for the creation of its account (``creation_fee``, if there is such a column) is a change of its own
+    before it, so that the floor of 0 holds for each.
+    """
     token = F.when(F.col("token") == native, F.lit("native")).otherwise(F.col("token"))
-    place = [F.lit(0).alias("phase"), F.col("seq").cast("long").alias("seq"), (F.col("sub_seq") + 1).cast("int").alias("sub_seq")]
-    return updates.select("state_hash", "height", F.col("pk").cast("string").alias("pk"), token.alias("token"), *place, F.lit("Update").alias("kind"), F.col("delta").cast("long").alias("delta"), F.lit(None).cast("long").alias("nonce"), F.col("delegate").cast("string").alias("delegate"))
+    change = lambda kind, nth, delta, delegate: F.struct(F.lit(kind).alias("kind"), (2 * F.col("sub_seq") + nth).cast("int").alias("sub_seq"), delta.cast("long").alias("delta"), delegate.cast("string").alias("delegate"))
+    fee = F.coalesce("creation_fee", F.lit(0)) if "creation_fee" in updates.columns else F.lit(0)
+    own = change("Update", 2, F.col("delta"), F.col("delegate"))
+    both = F.when(fee > 0, F.array(change("CreationFee", 1, -fee, F.lit(None)), own)).otherwise(F.array(own))
+    rows = updates.select("state_hash", "height", F.col("pk").cast("string").alias("pk"), token.alias("token"), F.lit(0).alias("phase"), F.col("seq").cast("long").alias("seq"), F.explode(both).alias("d"))
+    return rows.select("state_hash", "height", "pk", "token", "phase", "seq", "d.sub_seq", "d.kind", "d.delta", F.lit(None).cast("long").alias("nonce"), "d.delegate")
 
 
 def accounts_with_updates(diffs: DataFrame, updates: DataFrame, height: int | None = None, native: str = NATIVE_TOKEN) -> DataFrame:
     """ledger.accounts() of all account changes and contract updates, in one order; an update may raise a nonce that was set before it.
 
-    updates have state_hash, height, seq, sub_seq, pk, token, delta, delegate and increments; null changes nothing.
+    updates have state_hash, height, seq, sub_seq, pk, token, delta, delegate and increments, and may have creation_fee; null
+    changes nothing.
     """
     place = ["height", "phase", "seq", "sub_seq"]
     own = updates if height is None else updates.filter(F.col("height") <= height)
     every = (diffs if height is None else diffs.filter(F.col("height") <= height)).unionByName(update_diffs(own, native))
-    raised = update_diffs(own.filter("increments"), native).select("pk", "token", *place)
+    raised = update_diffs(own.filter("increments"), native).filter("kind = 'Update'").select("pk", "token", *place)
     nonces = update_nonces(every.filter("nonce is not null").select("pk", "token", *place, "nonce"), raised, place).withColumnRenamed("nonce", "_nonce")
     out = ledger.accounts(every).join(nonces, ["pk", "token"], "left")
     return out.withColumn("nonce", F.coalesce("_nonce", "nonce")).drop("_nonce")
@@ -78,7 +90,11 @@ def token_history(changes: DataFrame, block: Column, order: list[str]) -> DataFr
     return ledger.running(changes, ["token"], block, order, {"supply": F.col("delta")}, {}, {})
 
 
-def locked_total(accounts: DataFrame, locked: Column) -> DataFrame:
-    """One row: accounts, total, locked and circulating amounts."""
-    own = accounts.agg(F.count(F.lit(1)).alias("accounts"), F.coalesce(F.sum("balance"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.least(locked, F.col("balance"))), F.lit(0)).alias("locked"))
+def locked_total(accounts: DataFrame, locked: Column, native: Any = NATIVE_TOKEN) -> DataFrame:
+    """One row: native accounts, and their total, locked and circulating amounts; accounts without a ``token`` are all native.
+
+    What is locked is the sum of minimum balances, whatever the accounts hold; null where an account has no timing.
+    """
+    home = accounts.filter(F.col("token") == F.lit(native)) if "token" in accounts.columns else accounts
+    own = home.agg(F.count(F.lit(1)).alias("accounts"), F.coalesce(F.sum("balance"), F.lit(0)).alias("total"), F.coalesce(F.sum(locked), F.lit(0)).alias("locked"))
     return own.withColumn("circulating", F.col("total") - F.col("locked"))

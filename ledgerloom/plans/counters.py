@@ -186,3 +186,50 @@ def token_ledger(diffs: DataFrame) -> DataFrame:
 def names_of(claims: DataFrame) -> DataFrame:
     """(pk, username, changes): the last name that canonical payments claimed for each account."""
     return claims.groupBy("pk").agg(F.max_by("username", F.struct("height", "seq")).alias("username"), F.count(F.lit(1)).alias("changes"))
+
+
+def stakes_of_blocks(blocks: DataFrame, ledgers: DataFrame) -> DataFrame:
+    """(state_hash, epoch, ledger_hash, delegated, delegators, total, share): what was delegated to each block's creator in its epoch.
+
+    blocks have state_hash, genesis_state_hash, epoch and creator; ledgers are staking accounts (ledger_hash, genesis_state_hash,
+    epoch, pk, delegate, balance), one ledger for each genesis and epoch. Delegations fold to a row for each epoch and
+    delegate before blocks meet them; a block of an epoch without a ledger keeps its row, of nulls.
+    """
+    keys = ["genesis_state_hash", "epoch"]
+    held = ledgers.groupBy(*keys, F.coalesce("delegate", "pk").alias("creator")).agg(F.sum("balance").alias("delegated"), F.count(F.lit(1)).alias("delegators"))
+    whole = ledgers.groupBy(*keys).agg(F.min("ledger_hash").alias("ledger_hash"), F.sum("balance").alias("total"))
+    own = blocks.select("state_hash", *keys, "creator").join(whole, keys, "left").join(held, [*keys, "creator"], "left")
+    known = lambda c: F.when(F.col("ledger_hash").isNotNull(), F.coalesce(c, F.lit(0))).alias(c)
+    share = F.when(F.col("ledger_hash").isNotNull(), ledger.share(F.coalesce("delegated", F.lit(0)), F.col("total")))
+    return own.select("state_hash", "epoch", "ledger_hash", known("delegated"), known("delegators"), "total", share.alias("share"))
+
+
+#: What an account's own counters count, of its current epoch and in all.
+COUNTED = ("blocks", "snarks", "user_commands", "zkapp_commands", "internal_commands")
+
+
+def account_view(accounts: DataFrame, tables: dict[str, DataFrame], epoch: Column) -> DataFrame:
+    """Accounts (pk, ...) with the twelve counters that an account's page shows.
+
+    ``epoch_num_*`` and ``total_num_*`` of each of COUNTED, from tables of that name (pk, epoch), and the numbers of all
+    accounts and of contract accounts (is_zkapp). A row in two roles of a command is two rows of its table. All tables fold by
+    account in one aggregate before the only join.
+    """
+    rows = None
+    for name in COUNTED:
+        own = tables[name].select("pk", F.lit(name).alias("name"), (F.col("epoch") == epoch).alias("now"))
+        rows = own if rows is None else rows.unionAll(own)
+    is_ = lambda n: F.col("name") == n
+    wide = rows.groupBy("pk").agg(*[F.count_if(is_(n) & F.col("now")).alias(f"epoch_num_{n}") for n in COUNTED], *[F.count_if(is_(n)).alias(f"total_num_{n}") for n in COUNTED])
+    whole = accounts.agg(F.count(F.lit(1)).alias("total_num_accounts"), F.count_if("is_zkapp").alias("total_num_zkapp_accounts"))  # one row
+    return accounts.join(wide, "pk", "left").na.fill(0, [c for c in wide.columns if c != "pk"]).crossJoin(F.broadcast(whole))
+
+
+def signed(changes: DataFrame, rows: DataFrame, keys: list[str], measures: dict[str, Column]) -> DataFrame:
+    """(*keys, *measures): what blocks that are applied add to sums, and blocks that are unapplied take back.
+
+    changes are (state_hash, change) as ``chain.reorganisation`` has them, rows carry state_hash. Sums of 0 are left out.
+    """
+    sign = F.when(F.col("change") == "apply", 1).otherwise(-1)
+    out = rows.join(changes.select("state_hash", "change"), "state_hash").groupBy(*keys).agg(*[F.sum(c.cast("long") * sign).alias(n) for n, c in measures.items()])
+    return out.filter(" OR ".join(f"{n} <> 0" for n in measures))

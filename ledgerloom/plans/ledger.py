@@ -151,24 +151,81 @@ def from_snapshot(snapshot: DataFrame, at: int, diffs: DataFrame, height: int |
 
 
 def snapshots(diffs: DataFrame, every: int = CADENCE) -> DataFrame:
-    """(pk, token, height, balance): balances after the heights that ``every`` divides, and after the end of the last period.
+    """(pk, token, height, balance, nonce, delegate, since): accounts after the heights that ``every`` divides, and after the end of the last period.
 
-    An account has a row for each period that changes it; its balance holds until its next row. Changes are folded, with
-    the floor of 0, inside a period, and periods are put together by a row each, so an account of any size is spread.
+    An account has a row for each period that changes it, which holds until its next one. Changes are folded, with the
+    floor of 0, inside a period, and periods are put together by a row each, so an account of any size is spread.
     """
     end = (F.ceil(F.col("height") / every) * every).cast("long")
-    at = diffs.select("pk", "token", end.alias("_end"), "height", "phase", "seq", "sub_seq", F.coalesce("delta", F.lit(0).cast("long")).alias("_d"))
+    place = F.struct("height", "phase", "seq", "sub_seq")
+    at = diffs.select("pk", "token", end.alias("_end"), "height", "phase", "seq", "sub_seq", F.coalesce("delta", F.lit(0).cast("long")).alias("_d"), *[F.col(c) if c in diffs.columns else F.lit(None).cast(t).alias(c) for c, t in (("nonce", "long"), ("delegate", "string"))])
     inner = Window.partitionBy("pk", "token", "_end").orderBy("height", "phase", "seq", "sub_seq").rowsBetween(Window.unboundedPreceding, 0)
-    parts = at.withColumn("_s", F.sum("_d").over(inner)).groupBy("pk", "token", "_end").agg(F.sum("_d").alias("_sum"), F.min("_s").alias("_low"))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"_{c}")
+    parts = at.withColumn("_s", F.sum("_d").over(inner)).groupBy("pk", "token", "_end").agg(F.sum("_d").alias("_sum"), F.min("_s").alias("_low"), last("nonce"), last("delegate"), F.min("height").alias("_first"))
     until = Window.partitionBy("pk", "token").orderBy("_end").rowsBetween(Window.unboundedPreceding, 0)
     parts = parts.withColumn("_all", F.sum("_sum").over(until))
     lowest = F.min(F.col("_all") - F.col("_sum") + F.col("_low")).over(until)
-    return parts.select("pk", "token", F.col("_end").alias("height"), (F.col("_all") - F.least(lowest, F.lit(0))).alias("balance"))
+    nonce, delegate = F.last("_nonce", True).over(until), F.last("_delegate", True).over(until)
+    return parts.select("pk", "token", F.col("_end").alias("height"), (F.col("_all") - F.least(lowest, F.lit(0))).alias("balance"), F.coalesce(nonce, F.lit(0).cast("long")).alias("nonce"), F.coalesce(delegate, "pk").alias("delegate"), F.min("_first").over(until).alias("since"))
 
 
 def stored(snapshots_: DataFrame, height: int) -> DataFrame:
-    """(pk, token, balance): the nearest stored ledger at or below a height, from snapshots()."""
-    return snapshots_.filter(F.col("height") <= height).groupBy("pk", "token").agg(F.max_by("balance", "height").alias("balance"))
+    """(pk, token, balance, nonce, delegate, since): the nearest stored ledger at or below a height, from snapshots()."""
+    return latest(snapshots_.filter(F.col("height") <= height), ["pk", "token"], ["height"], ["balance", "nonce", "delegate", "since"])
+
+
+def nearest_stored(blocks: DataFrame, tip: DataFrame, held: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """The highest block with a stored ledger among a block's ancestors, itself included, and the ancestors after it.
+
+    tip and held are rows of blocks (state_hash, height), one and some. Stored heights are tried from the tip down, one, then
+    two, then four of them at a time, and only blocks between are walked, so the walk is as long as the way to the ledger.
+    Without one the first is None, and the ancestors are all.
+    """
+    top = tip.first()
+    heights = [r.height for r in held.filter(F.col("height") <= top.height).select("height").distinct().orderBy(F.col("height").desc()).collect()]  # one a period
+    step, done = 1, 0
+    while done < len(heights):
+        done = min(done + step, len(heights))
+        step *= 2
+        low = heights[done - 1]
+        near = blocks.filter((F.col("height") >= low) & (F.col("height") <= top.height))
+        passed = _cut(ancestors(near, tip).select("state_hash").join(near.select("state_hash", "height"), "state_hash"))
+        base = passed.join(held.select("state_hash"), "state_hash", "left_semi").orderBy(F.col("height").desc()).first()
+        if base is not None:
+            one = passed.filter(F.col("state_hash") == F.lit(base.state_hash))
+            return one, passed.filter(F.col("height") > base.height)
+    return None, ancestors(blocks, tip).select("state_hash").join(blocks.select("state_hash", "height"), "state_hash")
+
+
+def at_block_from(blocks: DataFrame, diffs: DataFrame, tip: DataFrame, ledgers: DataFrame) -> DataFrame:
+    """at_block() from the nearest ledger that the block's own branch has in ledgers (state_hash, height, pk, token, balance, nonce, delegate, since).
+
+    Only diffs after it are folded; without one all are.
+    """
+    own = _cut(tip.join(blocks.select("state_hash", "height"), "state_hash") if "height" not in tip.columns else tip)
+    base, later = nearest_stored(blocks, own, ledgers.select("state_hash", "height").distinct())
+    if base is None:
+        return accounts(diffs.join(later.select("state_hash"), "state_hash", "left_semi"))
+    at = base.first()
+    start = ledgers.filter((F.col("height") == at.height) & (F.col("state_hash") == F.lit(at.state_hash)))
+    return from_snapshot(start, at.height, diffs.filter(F.col("height") > at.height).join(later.select("state_hash"), "state_hash", "left_semi"))
+
+
+def ledgers_at(diffs: DataFrame, canonical: DataFrame, every: int = CADENCE) -> DataFrame:
+    """(state_hash, height, pk, token, balance, nonce, delegate, since): whole ledgers after each canonical block (state_hash, height) whose height ``every`` divides.
+
+    diffs are those of the canonical chain. Each ledger has a row of each account that exists by then: periods that leave an
+    account alone repeat its row, as stored ledgers do.
+    """
+    ends = canonical.filter(F.col("height") % every == 0).select("state_hash", "height")
+    held = snapshots(diffs, every)
+    order = Window.partitionBy("pk", "token").orderBy("height")
+    held = held.withColumn("_next", F.lead("height").over(order))
+    last = ends.agg(F.max("height").alias("_last"))  # one row
+    held = held.crossJoin(F.broadcast(last)).filter(F.col("height") <= F.col("_last"))
+    upto = F.coalesce(F.least(F.col("_next") - every, F.col("_last")), F.col("_last"))
+    rows = held.withColumn("height", F.explode(F.sequence(F.col("height"), upto, F.lit(every).cast("long")))).drop("_next", "_last")
+    return rows.join(ends, "height").select("state_hash", "height", "pk", "token", "balance", "nonce", "delegate", "since")
 
 
 def unapplied(diffs: DataFrame, height: int) -> DataFrame:

@@ -9,7 +9,7 @@ from typing import Any, NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import amounts
+from ledgerloom.functions import amounts, keys
 from ledgerloom.plans import chain, predicates
 
 
@@ -37,12 +37,17 @@ ROOTS: dict[str, Root] = {
 }
 
 
-def page(rows: DataFrame, root: str, query: Mapping[str, Any] | None = None, sort: str | None = None, ascending: bool = False, limit: int = 100) -> DataFrame:
+def page(rows: DataFrame, root: str, query: Mapping[str, Any] | None = None, sort: str | None = None, ascending: bool = False, limit: int = 100, strict: bool = False) -> DataFrame:
     """A filter, an order and a limit; a descending order turns its ties around too. Spark keeps the first rows of each task alone.
 
-    Unknown fields and orders, and a missing field that the root needs, are errors.
+    Unknown fields and orders, and a missing field that the root needs, are errors; with ``strict``, so is a key or hash in
+    no known form, before anything is read. A limit of 0 of stakes of a ledger asks for its epoch alone.
     """
     known = ROOTS[root]
+    if strict and (bad := keys.wrong(query)):
+        raise ValueError("; ".join(bad))
+    if root == "stakes" and limit == 0 and (query or {}).get("ledger_hash") is not None:
+        return ledger_epoch(rows, query["ledger_hash"])
     missing = [n for n in known.needed if (query or {}).get(n) is None]
     if missing:
         raise ValueError(f"{root} must be asked for {', '.join(missing)}")
@@ -53,6 +58,21 @@ def page(rows: DataFrame, root: str, query: Mapping[str, Any] | None = None, sor
     return predicates.listing(rows, query, order, limit, known.fields)
 
 
+def ledger_epoch(rows: DataFrame, ledger_hash: Any) -> DataFrame:
+    """One row at most, with the columns of rows (ledger_hash, epoch, ...): a ledger's hash and epoch, all else null."""
+    own = rows.filter(F.col("ledger_hash") == F.lit(ledger_hash)).select("epoch", "ledger_hash").limit(1)
+    return own.select(*[F.col(f.name) if f.name in ("epoch", "ledger_hash") else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+
+
+def recent_blocks(blocks: DataFrame, limit: int | None = None, height: int | None = None) -> DataFrame:
+    """The last blocks of the best chain from the tip down, or those at a height, the canonical one first; 10 unless asked for, 100 at most."""
+    n = predicates.page_limit(limit)
+    if height is not None:
+        return blocks.filter(F.col("height") == height).orderBy(*predicates.canonical_first()).limit(n)
+    near = chain.best_chain(blocks, max(1, n))
+    return blocks.join(near.select("state_hash"), "state_hash", "left_semi").orderBy(F.col("height").desc()).limit(n)
+
+
 def block(blocks: DataFrame, query: Mapping[str, Any] | None = None) -> DataFrame:
     """One row at most: the first block that the query holds for, canonical ones first at a height; without a query the best tip."""
     if not query:
@@ -68,9 +88,9 @@ def command(commands: DataFrame, blocks: DataFrame, txn_hash: Any) -> DataFrame:
     return best.filter("best is not null").select("best.*")
 
 
-def with_canonicity(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """rows with ``canonical``, as their block (state_hash) has it; false where the block is unknown."""
-    known = blocks.select("state_hash", F.col("canonical").alias("_canonical"))
+def with_canonicity(rows: DataFrame, blocks: DataFrame, *also: str) -> DataFrame:
+    """rows with ``canonical``, as their block (state_hash) has it, and other columns of the block; false (null) where the block is unknown."""
+    known = blocks.select("state_hash", F.col("canonical").alias("_canonical"), *also)
     return rows.join(known, "state_hash", "left").withColumn("canonical", F.coalesce("_canonical", F.lit(False))).drop("_canonical")
 
 
@@ -151,7 +171,7 @@ def summary(blocks: DataFrame, snarks: DataFrame, commands: DataFrame, internal:
     at_home, zkapp = F.col("token") == F.lit(native), F.col("is_zkapp")
     held = accounts.agg(
         F.count(F.lit(1)).alias("total_accounts"), F.count_if(at_home).alias("total_native_accounts"), F.count_if(zkapp).alias("total_zkapp_accounts"),
-        F.count_if(zkapp & at_home).alias("total_native_zkapp_accounts"), F.coalesce(F.sum("locked"), F.lit(0)).alias("locked_supply"),
+        F.count_if(zkapp & at_home).alias("total_native_zkapp_accounts"), F.coalesce(F.sum(F.when(at_home, F.col("locked"))), F.lit(0)).alias("locked_supply"),
     )
     since = F.broadcast(tip.select((F.col("blockchain_length") - min(last, 1000)).alias("_since")))
     made = blocks.crossJoin(since).filter(F.col("height") > F.col("_since")).agg(F.countDistinct("creator").alias("unique_block_producers"))

@@ -4,35 +4,67 @@ Files are named ``network-height-hash.json``; network, height and state hash com
 version 2 has ``version`` and ``data`` around it. A file is read as one VARIANT value, so tagged arrays of mixed kinds
 need no schema; amounts are in nanounits throughout.
 
-Of files with one state hash the one of the smallest path is taken. Files with another name are left out.
+Of files with one state hash the one of the smallest path that parses is taken. Files with another name are left out.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import coinbase, vrf_bytes
+from ledgerloom.plans.chain import _cut as cut
 from ledgerloom.sources.files import named
 
 _STATE = "$.protocol_state"
 _CONSENSUS = f"{_STATE}.body.consensus_state"
-#: Calls inside a contract command are followed to this depth (fixed value of the ledger format: no call is deeper).
-CALL_DEPTH = 8
 
 
-def raw(spark: SparkSession, path: str, above: int | None = None, least: int | None = None) -> DataFrame:
-    """(network, height, state_hash, version, v): one row a block, above a height (exclusive) or from one on (inclusive)."""
+def _texts(spark: SparkSession, path: str, above: int | None, least: int | None) -> DataFrame:
     text = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
-    files = named(text.select("value", "_metadata"), "height", "state_hash").withColumn("file", F.col("_metadata.file_path"))
+    files = named(text.select("value", "_metadata"), "height", "state_hash").withColumn("file", F.col("_metadata.file_path")).drop("_metadata")
     if above is not None:
         files = files.filter(F.col("height") > above)
     if least is not None:
         files = files.filter(F.col("height") >= least)
-    first = files.groupBy("state_hash").agg(F.min("file").alias("file"))
-    parsed = files.join(first, ["state_hash", "file"]).withColumn("whole", F.parse_json("value"))
+    return files
+
+
+def raw(spark: SparkSession, path: str, above: int | None = None, least: int | None = None) -> DataFrame:
+    """(network, height, state_hash, version, v): one row a block, above a height (exclusive) or from one on (inclusive).
+
+    Files that are no JSON are left out; ``unread`` names them. Copies are found by their names, without a look into the
+    files, and only the copies are read twice. Several tables from many files are made faster from ``kept``.
+    """
+    files = _texts(spark, path, above, least)
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path)
+    names = named(names.select("_metadata"), "height", "state_hash").select("state_hash")
+    many = names.groupBy("state_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("state_hash")
+    copies = files.join(many, "state_hash").select("state_hash", "file", F.try_parse_json("value").isNotNull().alias("whole"))
+    first = copies.groupBy("state_hash").agg(F.min_by("file", F.struct(~F.col("whole"), "file")).alias("first"))
+    others = copies.join(first, "state_hash").filter("file <> first").select("file")
+    return parsed(files.join(others, "file", "left_anti"))
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """Block files (network, height, state_hash, value) as rows of raw(); what is no JSON is left out."""
+    whole = files.withColumn("whole", F.try_parse_json("value")).filter("whole is not null")
     data = F.try_variant_get("whole", "$.data", "variant")
-    return parsed.select("network", "height", "state_hash", F.when(data.isNull(), 1).otherwise(2).alias("version"), F.coalesce(data, F.col("whole")).alias("v"))
+    return whole.select("network", "height", "state_hash", F.when(data.isNull(), 1).otherwise(2).alias("version"), F.coalesce(data, F.col("whole")).alias("v"))
+
+
+def unread(spark: SparkSession, path: str) -> DataFrame:
+    """(file, height, state_hash, bytes) of block files that are no JSON: cut ones, which may come in full later."""
+    files = _texts(spark, path, None, None)
+    return files.filter(F.try_parse_json("value").isNull()).select("file", "height", "state_hash", F.octet_length("value").cast("long").alias("bytes"))
+
+
+def kept(raw_: DataFrame, path: str) -> DataFrame:
+    """The same rows, written as Parquet once and read from there, so that files are parsed once for all tables made of them."""
+    raw_.write.parquet(path)
+    return raw_.sparkSession.read.schema(raw_.schema).parquet(path)
 
 
 def get(path: str, kind: str = "string", of: str | Column = "v") -> Column:
@@ -82,14 +114,24 @@ def _commands(raw_: DataFrame) -> DataFrame:
     return raw_.select("network", "height", "state_hash", "version", F.posexplode(both).alias("seq", "own")).select("network", "height", "state_hash", "version", "own.diff_idx", "seq", "own.c")
 
 
-def _updates(c: Column) -> Column:
-    """All account updates of a contract command, those of one depth of calls after those of the depth above."""
-    level = F.coalesce(get("$.data[1].account_updates", "array<variant>", c), F.array().cast("array<variant>"))
-    out = [level]
-    for _ in range(CALL_DEPTH):
-        level = F.flatten(F.transform(level, lambda u: F.coalesce(get("$.elt.calls", "array<variant>", u), F.array().cast("array<variant>"))))
-        out.append(level)
-    return F.concat(*out)
+def call_forest(raw_: DataFrame) -> DataFrame:
+    """(height, state_hash, seq, path, u): every account update of contract commands, with its place among the calls.
+
+    A path has the number of the update at the top, of the call in it, and so on, and paths sort in the order in which
+    updates take effect: each is followed by its own calls. Calls are followed to any depth, one more in each round over
+    those updates alone that the round before found; rounds are checkpoints, so plans stay short.
+    """
+    none = F.array().cast("array<variant>")
+    rows = _commands(raw_).filter(get("$.data[0]", of="c") == "Zkapp_command")
+    top = F.posexplode(F.coalesce(get("$.data[1].account_updates", "array<variant>", "c"), none)).alias("at", "u")
+    front = cut(rows.select("height", "state_hash", "seq", top).select("height", "state_hash", "seq", F.array("at").alias("path"), "u"))
+    levels = []
+    while not front.isEmpty():
+        levels.append(front)
+        calls = F.posexplode(F.coalesce(get("$.elt.calls", "array<variant>", "u"), none)).alias("at", "call")
+        inner = front.select("height", "state_hash", "seq", "path", calls)
+        front = cut(inner.select("height", "state_hash", "seq", F.concat("path", F.array("at")).alias("path"), F.col("call").alias("u")))
+    return reduce(DataFrame.unionAll, levels) if levels else front
 
 
 def user_commands(raw_: DataFrame) -> DataFrame:
@@ -101,10 +143,13 @@ def user_commands(raw_: DataFrame) -> DataFrame:
     payer = F.coalesce(get(f"{common}.fee_payer_pk", of=c), get("$.data[1].fee_payer.body.public_key", of=c))
     sender = F.coalesce(get(f"{body}[1].source_pk", of=c), get(f"{body}[1][1].delegator", of=c), payer)
     to = F.coalesce(get(f"{body}[1].receiver_pk", of=c), get(f"{body}[1][1].new_delegate", of=c))
-    updates = _updates(c)
-    touched = F.transform(updates, lambda u: F.struct(get("$.elt.account_update.body.public_key", of=u).alias("pk"), get("$.elt.account_update.body.token_id", of=u).alias("token")))
+    body_of = "$.elt.account_update.body"
+    touched = F.struct("path", get(f"{body_of}.public_key", of="u").alias("pk"), get(f"{body_of}.token_id", of="u").alias("token"))
+    touched = call_forest(raw_).groupBy(F.col("state_hash").alias("_of"), F.col("seq").alias("_seq")).agg(F.sort_array(F.collect_list(touched)).alias("_touched"))  # one command's
     reason = F.coalesce(F.get(F.flatten(F.flatten(get("$.status[1]", "array<array<array<string>>>", c))), F.lit(0)), get("$.status[1][0]", of=c))
-    return _commands(raw_).select(
+    own = _commands(raw_).join(touched, (F.col("state_hash") == F.col("_of")) & (F.col("seq") == F.col("_seq")), "left")
+    touched = F.transform(F.coalesce("_touched", F.array().cast("array<struct<path:array<int>,pk:string,token:string>>")), lambda t: F.struct(t["pk"].alias("pk"), t["token"].alias("token")))
+    return own.select(
         "network", "height", "state_hash", "version", "diff_idx", "seq", kind.alias("kind"), sender.alias("sender"), payer.alias("fee_payer"),
         F.when(signed, F.array(F.struct(to.alias("pk"), F.lit(None).cast("string").alias("token")))).otherwise(touched).alias("receivers"),
         F.coalesce(get(f"{body}[1].amount", of=c).cast("long"), F.lit(0).cast("long")).alias("amount"),
@@ -118,24 +163,44 @@ def user_commands(raw_: DataFrame) -> DataFrame:
 
 
 def zkapp_updates(raw_: DataFrame) -> DataFrame:
-    """One row an account update of an applied contract command: pk, token, signed balance change, the fields it sets (else null), events and actions as JSON."""
-    c, u = F.col("c"), F.col("u")
+    """One row an account update of an applied contract command: pk, token, signed balance change, the fields it sets (else null), events and actions as JSON.
+
+    ``sub_seq`` is its place in the command, each update followed by its calls. ``creation_fee`` is what an update that
+    pays the creation of its account implicitly takes from it first, as much as its balance change (a rule of the format).
+    ``proved`` tells whether a proof authorised it and it was checked for its account's proved state.
+    """
+    u = F.col("u")
     at = "$.elt.account_update.body"
-    rows = _commands(raw_).filter((get("$.data[0]", of=c) == "Zkapp_command") & (get("$.status[0]", of=c) == "Applied"))
-    rows = rows.select("height", "state_hash", "seq", F.posexplode(_updates(c)).alias("sub_seq", "u"))
+    applied = _commands(raw_).filter((get("$.data[0]", of="c") == "Zkapp_command") & (get("$.status[0]", of="c") == "Applied")).select("state_hash", "seq")
+    one = Window.partitionBy("state_hash", "seq").orderBy("path")  # one command's
+    rows = call_forest(raw_).join(applied, ["state_hash", "seq"], "left_semi").withColumn("sub_seq", F.row_number().over(one) - 1)
     change = get(f"{at}.balance_change.magnitude", of=u).cast("long")
     given = lambda field, path="", kind="string": F.when(get(f"{at}.update.{field}[0]", of=u) == "Set", get(f"{at}.update.{field}[1]{path}", kind, u))
     state = F.transform(get(f"{at}.update.app_state", "array<variant>", u), lambda e: F.when(get("$[0]", of=e) == "Set", get("$[1]", of=e)))
     return rows.select(
         "height", "state_hash", "seq", "sub_seq", get(f"{at}.public_key", of=u).alias("pk"), get(f"{at}.token_id", of=u).alias("token"),
         F.when(get(f"{at}.balance_change.sgn[0]", of=u) == "Neg", -change).otherwise(change).alias("delta"),
+        F.when(get(f"{at}.implicit_account_creation_fee", "boolean", u), change).otherwise(F.lit(0).cast("long")).alias("creation_fee"),
         given("delegate").alias("delegate"), given("token_symbol").alias("symbol"), given("verification_key", ".hash").alias("verification_key"),
         F.to_json(given("permissions", kind="variant")).alias("permissions"), given("zkapp_uri").alias("uri"), F.to_json(given("timing", kind="variant")).alias("timing"),
-        given("voting_for").alias("voting_for"), state.alias("app_state"), F.coalesce(get(f"{at}.increment_nonce", "boolean", u), F.lit(False)).alias("increments"),
+        given("voting_for").alias("voting_for"), state.alias("app_state"), F.coalesce(get(f"{at}.authorization_kind[0]", of=u).isin("Proof", "Proof_") & (get(f"{at}.preconditions.account.proved_state[0]", of=u) == "Check"), F.lit(False)).alias("proved"), F.coalesce(get(f"{at}.increment_nonce", "boolean", u), F.lit(False)).alias("increments"),
         F.to_json(get(f"{at}.events", "variant", u)).alias("events"), F.to_json(get(f"{at}.actions", "variant", u)).alias("actions"),
     )
 
 
+def accounts_accessed(raw_: DataFrame) -> DataFrame:
+    """(height, state_hash, idx, pk, token, balance, nonce, delegate, symbol): accounts after a block as files of version 2 record them, in nanounits."""
+    rows = raw_.select("height", "state_hash", F.explode(get("$.accounts_accessed", "array<variant>")).alias("a"))
+    a = lambda field, kind="string": get(f"$[1].{field}", kind, "a")
+    return rows.select("height", "state_hash", get("$[0]", "long", "a").alias("idx"), a("public_key").alias("pk"), a("token_id").alias("token"), a("balance").cast("long").alias("balance"), a("nonce").cast("long").alias("nonce"), a("delegate").alias("delegate"), a("token_symbol").alias("symbol"))
+
+
+def accounts_created(raw_: DataFrame) -> DataFrame:
+    """(height, state_hash, pk, token, fee): accounts that a block created, with the fee paid for it, of files of version 2."""
+    rows = raw_.select("height", "state_hash", F.explode(get("$.accounts_created", "array<variant>")).alias("a"))
+    return rows.select("height", "state_hash", get("$[0][0]", of="a").alias("pk"), get("$[0][1]", of="a").alias("token"), get("$[1]", of="a").cast("long").alias("fee"))
+
+
 def snarks(raw_: DataFrame) -> DataFrame:
     """One row a completed work: state_hash, height, idx in the block, prover and fee."""
     works = F.flatten(F.transform(_diffs(), lambda d: F.coalesce(get("$.completed_works", "array<variant>", d), F.array().cast("array<variant>"))))

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.plans import chain
+from ledgerloom.sources import files, precomputed
+
+#: Reads of a file that is no JSON, after which it waits in quarantine to be looked at.
+ATTEMPTS = 5
+#: Files in quarantine that one batch reads again, those that were read least first.
+RETRIES = 1000
 
 
 def stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -22,6 +28,72 @@ def stream_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.json").text(path).select("value", F.col("_metadata.file_name").alias("file"))
 
 
+def ingest_files(spark: SparkSession, path: str, out: str, checkpoint: str) -> None:
+    """Takes all new block files of a folder, and once more those in quarantine; each block is kept once, in raw() form.
+
+    A file that is no JSON goes to quarantine with the number of its reads; it costs no other file. Every call reads files
+    of the quarantine again, up to ATTEMPTS times each, and takes those that are whole by then. What a batch keeps and
+    what it leaves in quarantine are parts under its number, so a batch that runs again leaves the same.
+    """
+
+    def read(paths: list[str]) -> DataFrame:
+        text = spark.read.text(paths, wholetext=True) if paths else spark.createDataFrame([], "value string")
+        return text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name")) if paths else text.select("value", F.lit("").alias("file"), F.lit("").alias("name"))
+
+    def take(batch: DataFrame, number: str, before: DataFrame | None) -> None:
+        again = [] if before is None else [r.file for r in before.filter(F.col("attempts") < ATTEMPTS).orderBy("attempts", "file").limit(RETRIES).collect()]
+        had = spark.createDataFrame([], "file string, attempts int") if before is None else before
+        both = batch.select("value", "file", "name").unionByName(read(again)).dropDuplicates(["file"])
+        rows = files.named(both.withColumn("_metadata", F.struct(F.col("name").alias("file_name"))), "height", "state_hash").drop("_metadata", "name")
+        fresh = precomputed.parsed(rows.select("network", "height", "state_hash", "value")).dropDuplicates(["state_hash"])
+        if (known := kept_files(spark, out, number)) is not None:
+            low, high = rows.agg(F.min("height"), F.max("height")).first()
+            near = known.filter(F.col("height").between(low, high))  # copies have one height, so older parts are passed over
+            fresh = fresh.join(near.select("state_hash"), "state_hash", "left_anti").select(fresh.columns)
+        fresh.write.mode("overwrite").parquet(f"{out}/blocks/batch={number}")
+        bad = rows.filter(F.try_parse_json("value").isNull()).select("file", "height", "state_hash")
+        bad = bad.join(had.select("file", "attempts"), "file", "left").withColumn("attempts", (F.coalesce("attempts", F.lit(0)) + 1).cast("int"))
+        rest = had.join(rows.select("file"), "file", "left_anti").select(bad.columns) if before is not None else bad.limit(0)
+        bad.unionByName(rest).write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
+
+    def step(batch: DataFrame, number: int) -> None:
+        take(batch.withColumn("name", F.element_at(F.split("file", "/"), -1)), _part(number), quarantined(spark, out, _part(number)))
+
+    rows = spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    before = _parts(spark, f"{out}/quarantine")
+    rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    after = _parts(spark, f"{out}/quarantine")
+    if before and after == before and not quarantined(spark, out).filter(F.col("attempts") < ATTEMPTS).isEmpty():
+        # No new files came: those in quarantine are read again as a part of their own, after the last batch's.
+        last, _, again = after[-1].partition("-")
+        take(read([]), f"{last}-{int(again or 0) + 1:06}", quarantined(spark, out))
+
+
+def _part(number: int) -> str:
+    return f"{number:012}"
+
+
+def _parts(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the finished parts of a folder, in order."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = fs.Path(folder)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in system.listStatus(at)] if system.exists(at) else []
+    return sorted(p.getName().partition("=")[2] for p in found if p.getName().startswith("batch=") and system.exists(fs.Path(p, "_SUCCESS")))
+
+
+def kept_files(spark: SparkSession, out: str, below: str | None = None) -> DataFrame | None:
+    """The blocks that ingest_files() kept, in raw() form, or those of the parts below one; None before the first."""
+    parts = [n for n in _parts(spark, f"{out}/blocks") if below is None or n < below]
+    return spark.read.parquet(*[f"{out}/blocks/batch={n}" for n in parts]).select("network", "height", "state_hash", "version", "v") if parts else None
+
+
+def quarantined(spark: SparkSession, out: str, below: str | None = None) -> DataFrame | None:
+    """(file, height, state_hash, attempts): files that are no JSON so far, after the last part or the last below one."""
+    parts = [n for n in _parts(spark, f"{out}/quarantine") if below is None or n < below]
+    return spark.read.parquet(f"{out}/quarantine/batch={parts[-1]}") if parts else None
+
+
 def ingest(rows: DataFrame, key: str, out: str, checkpoint: str, after=None) -> StreamingQuery:
     """Appends rows whose key is new to a Parquet folder, one part a batch; arrivals may repeat and come in any order.
 

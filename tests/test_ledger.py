@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts, codecs, keys
-from ledgerloom.operators import analogues, roots  # noqa: F401 - adds its queries
+from ledgerloom.operators import analogues, roots, states  # noqa: F401
 from ledgerloom.plans import chain, contracts, counters, ledger, listings, predicates
 from ledgerloom.plans.predicates import predicate
 from ledgerloom.sources import exports, files, precomputed
@@ -403,8 +403,9 @@ def test_numbers_and_histories_of_hot_tokens(spark):
     assert contracts.numbered(changes.limit(0), ["token"], F.floor(F.col("at") / 256), ["at"]).count() == 0
     none = spark.createDataFrame([], "balance long, locked long")
     assert contracts.locked_total(none, F.col("locked")).collect() == [(0, 0, 0, 0)]
-    some = spark.createDataFrame([(10, 4), (3, 9)], "balance long, locked long")
-    assert contracts.locked_total(some, F.col("locked")).collect() == [(2, 13, 7, 6)]
+    some = spark.createDataFrame([("n", 10, 4), ("n", 3, 9), ("t", 5, 1), ("n", 2, None)], "token string, balance long, locked long")
+    assert contracts.locked_total(some, F.col("locked"), "n").collect() == [(3, 15, 13, 2)]
+    assert contracts.locked_total(some.drop("token"), F.col("locked")).collect() == [(4, 20, 14, 6)]
 
 
 def test_pages_name_what_they_know(spark):
