@@ -32,8 +32,10 @@ SEQUENCE = 1024
 END_ID = 0
 #: Words kept by a worker with their ids; beyond that the store is emptied, so memory stays bounded (about 400 bytes a word).
 #: Longer words, and odd ones, are encoded each time. Either way gives the same ids.
-KEPT_WORDS = 80_000
+KEPT_WORDS = 40_000
 KEPT_LENGTH = 40
+#: Texts that are cut into words at once.
+SLICE = 256
 
 #: A single space between two other characters: no token of the vocabulary's pattern reaches across it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -125,7 +127,7 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, before = tokenizer(path).batch, TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (whole.slice(lo, SLICE) for whole in batches for lo in range(0, whole.num_rows, SLICE)):
             ids = [x + end for x in encode([text or "" for text in batch["text"].to_pylist()])]
             n = np.array([len(x) // 4 for x in ids], "int64")
             start = before + np.cumsum(n) - n
