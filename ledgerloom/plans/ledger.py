@@ -211,6 +211,29 @@ def at_block_from(blocks: DataFrame, diffs: DataFrame, tip: DataFrame, ledgers:
     return from_snapshot(start, at.height, diffs.filter(F.col("height") > at.height).join(later.select("state_hash"), "state_hash", "left_semi"))
 
 
+def at_ledger_hash(blocks: DataFrame, diffs: DataFrame, ledger_hash: str, ledgers: DataFrame) -> DataFrame | None:
+    """at_block_from() of the block (state_hash, height, staged_ledger_hash) that has a ledger hash, the lowest of several; None without one."""
+    found = blocks.filter(F.col("staged_ledger_hash") == F.lit(ledger_hash)).orderBy("height", "state_hash").select("state_hash", "height").limit(1)
+    tip = _cut(found)
+    return None if tip.isEmpty() else at_block_from(blocks, diffs, tip, ledgers)
+
+
+def memoized(blocks: DataFrame, diffs: DataFrame, tip: DataFrame, ledgers: str) -> DataFrame:
+    """at_block_from() of a block (a row of state_hash and height) over ledgers kept in a folder, where this one is then kept too.
+
+    A ledger is a part under its height and hash, so one that is made twice is there once.
+    """
+    spark = blocks.sparkSession
+    own = tip.first()
+    held = spark.read.parquet(ledgers)
+    found = held.filter((F.col("height") == own.height) & (F.col("state_hash") == F.lit(own.state_hash)))
+    if not found.isEmpty():
+        return found.drop("state_hash", "height")
+    made = at_block_from(blocks, diffs, tip, held)
+    made.select(F.lit(own.state_hash).alias("state_hash"), F.lit(own.height).alias("height"), "*").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("height", "state_hash").parquet(ledgers)
+    return spark.read.parquet(ledgers).filter((F.col("height") == own.height) & (F.col("state_hash") == F.lit(own.state_hash))).drop("state_hash", "height")
+
+
 def ledgers_at(diffs: DataFrame, canonical: DataFrame, every: int = CADENCE) -> DataFrame:
     """(state_hash, height, pk, token, balance, nonce, delegate, since): whole ledgers after each canonical block (state_hash, height) whose height ``every`` divides.
 

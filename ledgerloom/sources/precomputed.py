@@ -32,6 +32,17 @@ def _texts(spark: SparkSession, path: str, above: int | None, least: int | None)
     return files
 
 
+def paths(spark: SparkSession, path: str, above: int | None = None, least: int | None = None) -> DataFrame:
+    """(height, state_hash, network, file, bytes) of block files, by height and then by hash; no file is read."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path)
+    files = named(names.select("_metadata", F.col("length").alias("bytes")), "height", "state_hash")
+    if above is not None:
+        files = files.filter(F.col("height") > above)
+    if least is not None:
+        files = files.filter(F.col("height") >= least)
+    return files.select("height", "state_hash", "network", F.col("_metadata.file_path").alias("file"), "bytes").orderBy("height", "state_hash", "file")
+
+
 def raw(spark: SparkSession, path: str, above: int | None = None, least: int | None = None) -> DataFrame:
     """(network, height, state_hash, version, v): one row a block, above a height (exclusive) or from one on (inclusive).
 
@@ -39,9 +50,7 @@ def raw(spark: SparkSession, path: str, above: int | None = None, least: int | N
     files, and only the copies are read twice. Several tables from many files are made faster from ``kept``.
     """
     files = _texts(spark, path, above, least)
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path)
-    names = named(names.select("_metadata"), "height", "state_hash").select("state_hash")
-    many = names.groupBy("state_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("state_hash")
+    many = paths(spark, path, above, least).groupBy("state_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("state_hash")
     copies = files.join(many, "state_hash").select("state_hash", "file", F.try_parse_json("value").isNotNull().alias("whole"))
     first = copies.groupBy("state_hash").agg(F.min_by("file", F.struct(~F.col("whole"), "file")).alias("first"))
     others = copies.join(first, "state_hash").filter("file <> first").select("file")
