@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Gives memory that a Python worker has freed back to the system, as workers are used again for other work."""
+    pa.default_memory_pool().release_unused()
+    if (give_back := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # the C library of Linux has it
+        give_back(0)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read again; for tables that hold texts."""
     path = fresh_path(df.sparkSession, name)

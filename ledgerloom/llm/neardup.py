@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import by_key, cut, free, marked, marks, written
+from ledgerloom.llm.common import by_key, cut, free, marked, marks, trim, written
 from ledgerloom.llm.components import components
 from ledgerloom.llm.shingles import mix, seeded, shingles
 
@@ -124,6 +124,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 keys = np.stack([*sums, sizes.astype(np.uint64)], 1).astype("<u8")
                 some = sizes > 0
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h1"], batch["h2"], pa.array(sizes.astype("int64")), pa.array([k.tobytes() if s else None for k, s in zip(keys, some, strict=True)], pa.binary()), pa.array([r.tobytes() if s else None for r, s in zip(rows, some, strict=True)], pa.binary())], ["doc_id", "h1", "h2", "n_shingles", "set_key", "registers"])
+        trim()
 
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *text_hash(text)).mapInArrow(run, "doc_id long, h1 long, h2 long, n_shingles long, set_key binary, registers binary")
@@ -191,6 +192,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
                         left.append(a)
                         right.append(b)
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+        trim()
 
     return ready.select("text", "turn", "a", "id").mapInArrow(run, "a long, b long")
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import written
+from ledgerloom.llm.common import trim, written
 
 SEQUENCE = 1024
 END_ID = 0
@@ -134,6 +134,7 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
             before += int(n.sum())
             # Two bytes an id are enough on disk where the vocabulary allows; narrow() keeps wider ids as they are.
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(start), batch["doc_id"].cast(pa.int64()), pa.array(n), pa.array([narrow(x) for x in ids], pa.binary())], ["part", "before", "doc_id", "n", "ids"])
+        trim()
 
     # doc_id is a long here, since the schema of the result is fixed.
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, before long, doc_id long, n long, ids binary")
@@ -172,5 +173,6 @@ def packed(docs: DataFrame, length: int = SEQUENCE, path: str | None = None, end
                         column.append(x)
                     start += take
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64()) if name == "ids" else pa.int64()) for name, x in zip(names, rows, strict=True)], names)
+        trim()
 
     return placed.mapInArrow(cut, schema)

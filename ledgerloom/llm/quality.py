@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import trim
 from ledgerloom.llm.shingles import _LOWER, bytes_of, hashes, mix, words
 
 BITS = 18
@@ -31,6 +32,8 @@ THRESHOLD = 0.3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
 #: Weight of a family's mean against the bias.
 SCALE = 8.0
+#: Texts whose tokens are held at once: some two hundred bytes a token.
+SLICE = 64
 
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[48:58], _SHAPE[65:91], _SHAPE[97:123], _SHAPE[128:] = ord("0"), ord("A"), ord("a"), ord("e")
@@ -68,6 +71,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) ->
 
     for _ in range(epochs):
         for feature, value, label in rows:
+            value = value.astype("f8")
             w = weights(feature)
             p = 1 / (1 + np.exp(-np.clip(w @ value, -35, 35)))
             g = (p - label) * value
@@ -91,11 +95,11 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(1))
 
 
-def trained(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float] | None:
-    """Numbers and values of the weights that are not 0, and the bias; None without labelled rows."""
-
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rank, quality, x, v): each text's distinct features and the sums of their weights."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(lo, SLICE)
             feature, doc, weight = tokens(batch["text"])
             order = np.argsort(doc, kind="stable")
             cuts = np.searchsorted(doc[order], np.arange(batch.num_rows + 1))
@@ -105,13 +109,21 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple
                 xs.append(x.astype("<i4").tobytes())
                 vs.append(np.bincount(at, weight[order[a:b]], len(x)).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([batch["rank"], batch["quality"], pa.array(xs, pa.binary()), pa.array(vs, pa.binary())], ["rank", "quality", "x", "v"])
+    trim()
+
+
+def trained(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """Numbers and values of the weights that are not 0, and the bias; None without labelled rows."""
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(np.append(np.frombuffer(x, "<i4"), 1 << BITS), np.append(np.frombuffer(v, "<f4"), 1.0), y) for b in batches for x, v, y in zip(b["x"].to_pylist(), b["v"].to_pylist(), b["quality"].to_pylist(), strict=True)]
+        last, one = np.array([1 << BITS], "<i4"), np.ones(1, "<f4")
+        rows = [(np.append(np.frombuffer(x.as_buffer(), "<i4"), last), np.append(np.frombuffer(v.as_buffer(), "<f4"), one), y.as_py()) for b in batches for x, v, y in zip(b["x"], b["v"], b["quality"], strict=True)]
         if rows:
             w, bias = fit(rows)
             at = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i4").tobytes()]), pa.array([w[at].astype("<f4").tobytes()]), pa.array([bias])], ["x", "w", "bias"])
+        del rows
+        trim()
 
     ready = training_rows(docs, labels, most).mapInArrow(featured, "rank long, quality int, x binary, v binary")
     model = ready.repartition(1).sortWithinPartitions("rank", "quality", "x").mapInArrow(fitted, "x binary, w binary, bias double").first()  # one bounded sample
@@ -128,10 +140,11 @@ def scorer(spark: SparkSession, model: tuple[np.ndarray, np.ndarray, float] | No
             return pa.array(np.full(len(texts), 0.5))
         w, bias = dense(sent)
         out = []
-        for lo in range(0, len(texts), 256):
-            part = texts.slice(lo, 256)
+        for lo in range(0, len(texts), SLICE):
+            part = texts.slice(lo, SLICE)
             feature, doc, weight = tokens(part)
             out.append(np.bincount(doc, w[feature] * weight, len(part)) + bias)
+        trim()
         return pa.array(1 / (1 + np.exp(-np.clip(np.concatenate([np.zeros(0), *out]), -35, 35))))
 
     return score

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -74,3 +75,20 @@ def test_scores_against_a_plain_copy(spark):
         assert math.isclose(r.score, 1 / (1 + math.exp(-margin)), rel_tol=1e-6) and r.predicted == int(r.score >= 0.3)
     kept = {r.doc_id for r in quality.filtered(more, labels).select("doc_id").collect()}
     assert kept == {r.doc_id for r in rows if r.score >= 0.3}
+
+
+def test_features_of_a_batch_hold_the_tokens_of_a_few_texts_at_once():
+    rnd = random.Random(9)
+    texts = [" ".join(f"w{rnd.randrange(5000)}" for _ in range(rnd.choice([0, 5, 300, 900]))) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([1] * 1000, pa.int32()), pa.array(texts)], ["rank", "quality", "text"])
+    tracemalloc.start()
+    got = list(quality.featured(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # all texts at once take more than 100 MB
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["rank"] for r in rows] == list(range(1000))
+    for i in (0, 63, 64, 500, 999):
+        want = plain_tokens(texts[i])
+        found = dict(zip(np.frombuffer(rows[i]["x"], "<i4").tolist(), np.frombuffer(rows[i]["v"], "<f4").tolist(), strict=True))
+        assert found.keys() == want.keys() and all(math.isclose(found[f], want[f], rel_tol=1e-5) for f in want)
