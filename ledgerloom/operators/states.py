@@ -25,7 +25,7 @@ def accounts_as_of(spark, sf_dir):
     diffs = _diffs(spark, sf_dir)
     top = F.broadcast(_t(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("top")))  # one row
     asked = _t(spark, sf_dir, "events").crossJoin(top).select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("pk"), (F.col("event_id") * 37 % F.col("top")).alias("height"))
-    return history.as_of(asked, history.after_blocks(diffs), ["pk"], ["balance", "nonce", "delegate"])
+    return history.accounts_at(asked, diffs)
 
 
 _UPDATES = "u AS (SELECT user_id AS pk, event_id // 4 AS height, event_id % 4 AS seq, CASE WHEN event_id % 3 = 0 THEN event_type END AS symbol, CASE WHEN event_id % 5 = 0 THEN CAST(event_id % 9 AS VARCHAR) END AS uri FROM events)"

@@ -6,34 +6,78 @@ is spread.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import NATIVE_TOKEN, without_creation_fee
 from ledgerloom.plans import ledger
+from ledgerloom.plans.chain import _cut
 
 PLACE = ("height", "phase", "seq", "sub_seq")
 
 
-def after_changes(diffs: DataFrame, block: int = 1024) -> DataFrame:
+def _folded(rows: DataFrame, block: int, many: int) -> DataFrame:
+    """rows (pk, token, *PLACE, delta, nonce, delegate, changed) with the account after each: _sum, _low, _nonce, _delegate, _changed.
+
+    ``_next`` is the height of the account's next row in its block, null after its last one. All rows are sorted once.
+    Accounts of more than ``many`` rows, which are few, are sorted in blocks of heights; a row for each block is then
+    added to theirs.
+    """
+    keys, of = ["pk", "token"], F.col
+    sizes = _cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    size = sizes.agg(F.sum("_n")).first()[0] or 0
+    large = sizes.filter(of("_n") > many).select(*keys, F.lit(True).alias("_large"))
+    at = rows.join(F.broadcast(large), keys, "left").withColumn("_block", F.when(of("_large"), F.floor(of("height") / block)).otherwise(0))
+    own = Window.partitionBy(*keys, "_block").orderBy(*PLACE)
+    whole = own.rowsBetween(Window.unboundedPreceding, 0)
+    lasts = ("nonce", "delegate", "changed")
+    at = ledger.spread(at, [*keys, "_block"], size).withColumns({"_sum": F.sum("delta").over(whole), "_next": F.lead("height").over(own), **{f"_{c}": F.last(c, True).over(whole) for c in lasts}})
+    at = at.withColumn("_low", F.min("_sum").over(whole))
+    if large.isEmpty():
+        return at
+    ends = at.filter("_large").groupBy(*keys, "_block").agg(F.sum("delta").alias("_all"), F.min("_low").alias("_least"), *[F.max_by(c, F.when(of(c).isNotNull(), F.struct(*PLACE))).alias(f"_b{c}") for c in lasts])
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_start", F.coalesce(F.sum("_all").over(earlier), F.lit(0)))
+    before = ends.select(*keys, "_block", "_start", F.min(of("_start") + of("_least")).over(earlier).alias("_lowest"), *[F.last(f"_b{c}", True).over(earlier).alias(f"_b{c}") for c in lasts])
+    start = F.coalesce("_start", F.lit(0))
+    out = {"_sum": start + of("_sum"), "_low": F.least("_lowest", start + of("_low")), **{f"_{c}": F.coalesce(f"_{c}", f"_b{c}") for c in lasts}}
+    return at.join(before, [*keys, "_block"], "left").withColumns(out)
+
+
+def _changes(diffs: DataFrame, *more: str) -> DataFrame:
+    return diffs.select("pk", "token", *PLACE, F.coalesce("delta", F.lit(0).cast("long")).alias("delta"), "nonce", "delegate", F.col("height").alias("changed"), *more)
+
+
+def _shown() -> list[Column]:
+    return [(F.col("_sum") - F.least(F.col("_low"), F.lit(0))).alias("balance"), F.coalesce("_nonce", F.lit(0).cast("long")).alias("nonce"), F.coalesce("_delegate", "pk").alias("delegate")]
+
+
+def after_changes(diffs: DataFrame, block: int = 1024, many: int = ledger.MANY) -> DataFrame:
     """(state_hash, pk, token, height, phase, seq, sub_seq, balance, nonce, delegate): an account after each of its changes.
 
     diffs are those of ``ledger.account_diffs`` of one chain. A balance is the sum so far less the lowest sum so far, if
     that is negative: what a floor of 0 at each change leaves. Nonce and delegate are the last ones set.
     """
-    at = F.floor(F.col("height") / block)
-    place = F.struct(*PLACE)
-    own = diffs.select("state_hash", "pk", "token", *PLACE, F.coalesce("delta", F.lit(0).cast("long")).alias("_d"), *[F.when(F.col(c).isNotNull(), F.struct(place.alias("at"), F.col(c).alias("value"))).alias(f"_{c}") for c in ("nonce", "delegate")])
-    sums = ledger.running(own, ["pk", "token"], at, list(PLACE), {"_sum": F.col("_d")}, {"_set_nonce": F.col("_nonce"), "_set_delegate": F.col("_delegate")}, {}).drop("nth")
-    lows = ledger.running(sums, ["pk", "token"], at, list(PLACE), {}, {}, {"_low": F.col("_sum")})
-    balance = F.col("_sum") - F.least(F.col("_low"), F.lit(0))
-    return lows.select("state_hash", "pk", "token", *PLACE, balance.alias("balance"), F.coalesce("_set_nonce.value", F.lit(0).cast("long")).alias("nonce"), F.coalesce("_set_delegate.value", "pk").alias("delegate"))
+    return _folded(_changes(diffs, "state_hash"), block, many).select("state_hash", "pk", "token", *PLACE, *_shown())
 
 
-def after_blocks(diffs: DataFrame, block: int = 1024) -> DataFrame:
+def after_blocks(diffs: DataFrame, block: int = 1024, many: int = ledger.MANY) -> DataFrame:
     """(state_hash, pk, token, height, balance, nonce, delegate): an account after each block of one chain that changes it."""
-    last = F.max_by(F.struct("state_hash", "balance", "nonce", "delegate"), F.struct("phase", "seq", "sub_seq")).alias("_last")
-    return after_changes(diffs, block).groupBy("pk", "token", "height").agg(last).select("_last.state_hash", "pk", "token", "height", "_last.balance", "_last.nonce", "_last.delegate")
+    last = _folded(_changes(diffs, "state_hash"), block, many).filter(F.col("_next").isNull() | (F.col("_next") != F.col("height")))
+    return last.select("state_hash", "pk", "token", "height", *_shown())
+
+
+def accounts_at(requests: DataFrame, diffs: DataFrame, token: str = "native", block: int = 1024, many: int = ledger.MANY) -> DataFrame:
+    """requests (id, pk, height) with balance, nonce and delegate of the account of a token after the last block at or below the height that changes it, and since, its height.
+
+    Those of as_of() over after_blocks(), found in the order of changes itself; null where no block is so low.
+    """
+    null = lambda c: F.lit(None).cast(diffs.schema[c].dataType).alias(c)
+    last = {"phase": F.lit(2**31 - 1), "seq": F.lit(0), "sub_seq": F.lit(0)}  # after all changes of the height
+    asked = requests.select("pk", F.lit(token).alias("token"), "height", *[v.alias(c) for c, v in last.items()], F.lit(0).cast("long").alias("delta"), null("nonce"), null("delegate"), null("height").alias("changed"), "id", F.lit(True).alias("_asks"))
+    held = _changes(diffs.filter(F.col("token") == F.lit(token))).withColumns({"id": F.lit(None).cast(requests.schema["id"].dataType), "_asks": F.lit(False)})
+    found = _folded(asked.unionByName(held), block, many).filter("_asks").select("id", "pk", "height", *_shown(), F.col("_changed").alias("since"))
+    return found.select("id", "pk", "height", *[F.when(F.col("since").isNotNull(), F.col(c)).alias(c) for c in ("balance", "nonce", "delegate")], "since")
 
 
 def mismatches(after: DataFrame, accessed: DataFrame, paid: DataFrame | None = None, native: str = NATIVE_TOKEN) -> DataFrame:

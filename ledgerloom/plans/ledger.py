@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,16 @@ from ledgerloom.plans.chain import _cut, ancestors
 BLOCK = 65_536
 #: Canonical heights from one stored ledger to the next (fixed value of the ledger format).
 CADENCE = 1000
+#: Changes that one task sorts, about; more rows are more tasks.
+TASK_ROWS = 1 << 19
+#: Changes up to which an account is one window; those of one with more are put together from blocks of heights.
+MANY = 1 << 18
+
+
+def spread(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """rows dealt out by keys for a window or a group, to so many tasks that none sorts much more than TASK_ROWS of the size; few rows stay as they are."""
+    parts = math.ceil(size / TASK_ROWS)
+    return rows.repartition(parts, *keys) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
 
 
 def saturating_balance(changes: DataFrame, keys: list[str], order: str, delta: Column, block: int = BLOCK, then: tuple[str | Column, ...] = (), most: tuple[str, ...] = ()) -> DataFrame:
