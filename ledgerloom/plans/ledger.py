@@ -128,29 +128,34 @@ def account_diffs(commands: DataFrame, fees: DataFrame, blocks: DataFrame) -> Da
     return rows.select("state_hash", "height", "d.pk", F.lit("native").alias("token"), "phase", "seq", "d.sub_seq", "d.kind", "d.delta", "d.nonce", "d.delegate")
 
 
-def accounts(diffs: DataFrame, height: int | None = None, above: int | None = None, block: int = 1024) -> DataFrame:
+def accounts(diffs: DataFrame, height: int | None = None, above: int | None = None, block: int = 1024, size: int | None = None) -> DataFrame:
     """(pk, token, balance, nonce, delegate, since) after the block at a height (None: the last), from diffs of one chain.
 
     Balances are never below 0 on the way. Nonce and delegate are the last ones set; an account is its own delegate until
     then; since is the height that created it. Each account's changes are folded in the order of height, phase, seq and
-    sub_seq, in blocks of heights, so an account of any size is spread.
+    sub_seq, in blocks of heights, so an account of any size is spread. Changes are sorted once, and blocks are a row each.
+    size is a bound of the number of changes; without one they are counted.
     """
     own = diffs if height is None else diffs.filter(F.col("height") <= height)
     own = own if above is None else own.filter(F.col("height") > above)
-    place = F.struct("height", "phase", "seq", "sub_seq")
-    moved = saturating_balance(own, ["pk", "token"], "height", F.coalesce("delta", F.lit(0).cast("long")), block, ("phase", "seq", "sub_seq"))
-    last = own.groupBy("pk", "token").agg(
-        F.max_by(F.when(F.col("nonce").isNotNull(), F.col("nonce")), F.when(F.col("nonce").isNotNull(), place)).alias("nonce"),
-        F.max_by("delegate", F.when(F.col("delegate").isNotNull(), place)).alias("delegate"),
-        F.min("height").alias("since"),
-    )
-    return moved.join(last, ["pk", "token"]).select("pk", "token", "balance", F.coalesce("nonce", F.lit(0).cast("long")).alias("nonce"), F.coalesce("delegate", "pk").alias("delegate"), "since")
+    size = own.count() if size is None else size
+    keys, place, of = ["pk", "token"], ["height", "phase", "seq", "sub_seq"], F.col
+    at = own.select(*keys, *place, "nonce", "delegate", F.coalesce("delta", F.lit(0).cast("long")).alias("_d"), F.floor(of("height") / block).alias("_block"))
+    inner = Window.partitionBy(*keys, "_block").orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c, by: F.max_by(c, F.when(of(c).isNotNull(), by)).alias(c)
+    summed = spread(at, [*keys, "_block"], size).withColumn("_s", F.sum("_d").over(inner))
+    parts = summed.groupBy(*keys, "_block").agg(F.sum("_d").alias("_sum"), F.min("_s").alias("_low"), last("nonce", F.struct(*place)), last("delegate", F.struct(*place)), F.min("height").alias("since"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = spread(parts, keys, size).withColumn("_low", of("_low") + before)
+    out = parts.groupBy(*keys).agg((F.sum("_sum") - F.least(F.min("_low"), F.lit(0))).alias("balance"), last("nonce", of("_block")), last("delegate", of("_block")), F.min("since").alias("since"))
+    return out.select(*keys, "balance", F.coalesce("nonce", F.lit(0).cast("long")).alias("nonce"), F.coalesce("delegate", "pk").alias("delegate"), "since")
 
 
 def at_block(blocks: DataFrame, diffs: DataFrame, tip: DataFrame) -> DataFrame:
     """accounts() after one block (a row with state_hash), on whatever branch: only its ancestors' diffs are folded."""
-    passed = ancestors(blocks, tip).select("state_hash")
-    return accounts(diffs.join(passed, "state_hash", "left_semi"))
+    size = diffs.count()
+    passed = spread(ancestors(blocks, tip).select("state_hash"), ["state_hash"], size)
+    return accounts(diffs.join(passed, "state_hash", "left_semi"), size=size)
 
 
 def from_snapshot(snapshot: DataFrame, at: int, diffs: DataFrame, height: int | None = None, block: int = 1024) -> DataFrame:
